@@ -19,6 +19,9 @@ SPAN = 1 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Bytes outside words made of ASCII letters, digits and any other script's letters.
+PUNCT = np.ones(256, dtype=bool)
+PUNCT[np.r_[48:58, 65:91, 97:123, 128:256]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -64,11 +67,12 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def spans(offsets: np.ndarray, limit: int = SPAN):
-    """Runs ``(first, last)`` of documents of at most ``limit`` bytes, one document at least."""
+def spans(offsets: np.ndarray, limit: int = SPAN, most: int = 50_000):
+    """Runs ``(first, last)`` of at most ``most`` documents and ``limit`` bytes, one document at least."""
     n, at = len(offsets) - 1, 0
     while at < n:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
+        to = min(to, at + most)
         yield at, to
         at = to
 
@@ -77,11 +81,11 @@ class Words:
     """Words of a run of documents: ``start``/``end`` byte offsets, ``hash`` and
     ``first`` (index of each document's first word, one entry more than documents)."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True, space: np.ndarray = _SPACE):
         n = len(data)
         self.data = _LOWER[data] if lower else data
         gap = np.ones(n + 2, dtype=bool)
-        gap[1:-1] = _SPACE[data]
+        gap[1:-1] = space[data]
         inner = offsets[1:-1]
         inner = inner[(inner > 0) & (inner < n)]
         begins, ends = gap[:-2] & ~gap[1:-1], gap[2:] & ~gap[1:-1]
@@ -143,9 +147,11 @@ def shingles(hashes: np.ndarray, first: np.ndarray, k: int, whole_if_short: bool
 
 
 def distinct_by_doc(values: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values of each document, sorted by document and value."""
-    order = np.lexsort((values, docs))
-    values, docs = values[order], docs[order]
+    """Distinct values of each document, sorted by document and value; ``docs`` is ascending."""
+    values = values.copy()
+    edges = np.flatnonzero(np.diff(docs, prepend=-1, append=docs[-1] + 1 if len(docs) else 0))
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        values[a:b].sort()
     keep = np.ones(len(values), dtype=bool)
     keep[1:] = (values[1:] != values[:-1]) | (docs[1:] != docs[:-1])
     return values[keep], docs[keep]

@@ -1,11 +1,11 @@
 """Queries and SQL of the training-data operators, for ``__spark_entry__``."""
 
-from bitloom.llm import line_dedup
+from bitloom.llm import line_dedup, mixing
 
 
 def queries() -> dict:
-    return {"op2_line_dedup": line_dedup.query}
+    return {"op2_line_dedup": line_dedup.query, "op5_mixing": mixing.query}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": line_dedup.ORACLE}
+    return {"op2_line_dedup": line_dedup.ORACLE, "op5_mixing": mixing.ORACLE}
