@@ -1,10 +1,15 @@
 """Queries and SQL of the training-data operators, for ``__spark_entry__``."""
 
-from bitloom.llm import line_dedup, mixing
+from bitloom.llm import line_dedup, mixing, quality, toxicity
 
 
 def queries() -> dict:
-    return {"op2_line_dedup": line_dedup.query, "op5_mixing": mixing.query}
+    return {
+        "op1_toxicity": toxicity.query,
+        "op2_line_dedup": line_dedup.query,
+        "op5_mixing": mixing.query,
+        "op9_quality": quality.query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
