@@ -1,14 +1,16 @@
 """Queries and SQL of the training-data operators, for ``__spark_entry__``."""
 
-from bitloom.llm import line_dedup, mixing, quality, toxicity
+from bitloom.llm import decontaminate, jaccard_join, line_dedup, mixing, quality, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_toxicity": toxicity.query,
         "op2_line_dedup": line_dedup.query,
+        "op3_jaccard_join": jaccard_join.query,
         "op5_mixing": mixing.query,
         "op9_quality": quality.query,
+        "op10_decontaminate": decontaminate.query,
     }
 
 
