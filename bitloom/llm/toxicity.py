@@ -181,11 +181,12 @@ class ConvNet:
 
 def association(ids: np.ndarray, counts: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Signed root of the likelihood ratio of each word's presence against the label, scaled to about 1."""
-    docs = np.repeat(np.arange(len(counts)), counts)
-    key = np.unique((docs.astype(np.int64)[:, None] * (BUCKETS + 1) + ids).ravel())
-    doc, word = key // (BUCKETS + 1), key % (BUCKETS + 1) - 1
-    with_, rate = np.bincount(word, minlength=BUCKETS).astype(float), y.mean()
-    pos = np.bincount(word, weights=y[doc], minlength=BUCKETS)
+    with_, pos, rate, at = np.zeros(BUCKETS), np.zeros(BUCKETS), y.mean(), 0
+    for n, label in zip(counts.tolist(), y.tolist()):  # a text at a time, so that memory stays small
+        rows = np.unique(ids[at : at + n]) - 1
+        with_[rows] += 1
+        pos[rows] += label
+        at += n
     neg = with_ - pos
     with np.errstate(divide="ignore", invalid="ignore"):
         g = 2 * (np.where(pos > 0, pos * np.log(pos / (with_ * rate)), 0) + np.where(neg > 0, neg * np.log(neg / (with_ * (1 - rate))), 0))
@@ -206,7 +207,7 @@ def best_cut(z: np.ndarray, y: np.ndarray) -> float:
     return float((low + high) / 2)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = 12_000, min_lang: int = 50) -> tuple[ConvNet, dict[str, float]]:
+def train(docs: DataFrame, labels: DataFrame, max_train: int = 8_000, min_lang: int = 50) -> tuple[ConvNet, dict[str, float]]:
     """The net and a threshold on the score for each language with ``min_lang`` labels."""
 
     def run(batches):
@@ -228,7 +229,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 12_000, min_lang:
     return net, cuts
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = 12_000) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = 8_000) -> DataFrame:
     """``docs`` (with ``doc_id``, ``text`` and ``lang``) and ``_score, _lang_threshold, _flagged``.
 
     Learns only from labelled rows that are not held out; the score reads the text
