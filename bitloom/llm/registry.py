@@ -1,6 +1,6 @@
 """Queries and SQL of the training-data operators, for ``__spark_entry__``."""
 
-from bitloom.llm import decontaminate, jaccard_join, line_dedup, mixing, quality, toxicity
+from bitloom.llm import decontaminate, jaccard_join, line_dedup, mixing, quality, repeats, toxicity
 
 
 def queries() -> dict:
@@ -8,6 +8,7 @@ def queries() -> dict:
         "op1_toxicity": toxicity.query,
         "op2_line_dedup": line_dedup.query,
         "op3_jaccard_join": jaccard_join.query,
+        "op4_repeats": repeats.query,
         "op5_mixing": mixing.query,
         "op9_quality": quality.query,
         "op10_decontaminate": decontaminate.query,
