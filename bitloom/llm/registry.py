@@ -1,6 +1,6 @@
 """Queries and SQL of the training-data operators, for ``__spark_entry__``."""
 
-from bitloom.llm import decontaminate, jaccard_join, line_dedup, mixing, quality, repeats, toxicity
+from bitloom.llm import chat, decontaminate, jaccard_join, line_dedup, mixing, quality, repeats, toxicity
 
 
 def queries() -> dict:
@@ -10,10 +10,11 @@ def queries() -> dict:
         "op3_jaccard_join": jaccard_join.query,
         "op4_repeats": repeats.query,
         "op5_mixing": mixing.query,
+        "op6_chat": chat.query,
         "op9_quality": quality.query,
         "op10_decontaminate": decontaminate.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": line_dedup.ORACLE, "op5_mixing": mixing.ORACLE}
+    return {"op2_line_dedup": line_dedup.ORACLE, "op5_mixing": mixing.ORACLE, "op6_chat": chat.ORACLE}
