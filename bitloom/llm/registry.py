@@ -1,6 +1,6 @@
 """Queries and SQL of the training-data operators, for ``__spark_entry__``."""
 
-from bitloom.llm import chat, decontaminate, jaccard_join, line_dedup, mixing, nearest, quality, repeats, toxicity
+from bitloom.llm import chat, decontaminate, jaccard_join, line_dedup, mixing, nearest, quality, repeats, surrogates, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op5_mixing": mixing.query,
         "op6_chat": chat.query,
         "op7_nearest": nearest.query,
+        "op8_surrogates": surrogates.query,
         "op9_quality": quality.query,
         "op10_decontaminate": decontaminate.query,
     }
