@@ -1,8 +1,8 @@
 """Removal of long repeated byte strings with a run-length index.
 
-A string of 200 bytes belongs to the place of its smallest 32-byte hash (its
+A string of 200 bytes belongs to the place of its smallest 64-byte hash (its
 anchor), and equal strings have equal anchors at the same offset.  The strings of
-one anchor form one context, at most 368 bytes of text, so each start of a string
+one anchor form one context, at most 336 bytes of text, so each start of a string
 lies in exactly one context and equal strings meet under one anchor hash.
 
 1. One pass makes a row per context: anchor hash, context hash, place.
@@ -22,6 +22,7 @@ different contexts by their bytes.
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
@@ -29,13 +30,13 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, Stru
 from bitloom.llm import kernels as K
 from bitloom.llm.store import materialize
 
-GRAM = 32
+GRAM = 64
 #: Bytes of a document handled at once; longer ones are cut, with overlap.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Contexts of one anchor that one index takes; beyond, strings meet one by one.
 GROUP = 20_000
 #: Bytes of context text in one index.
-TEXT = 4 << 20
+TEXT = 1 << 20
 
 
 def contexts(data: np.ndarray, offsets: np.ndarray, length: int):
@@ -159,72 +160,60 @@ def _kinds(table, copy, amb):
 class RunLengthIndex:
     """Run-compressed Burrows-Wheeler transform of context texts with samples at run ends."""
 
-    DEPTH = 512  # above the longest context
-
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         """``data`` joins the contexts; each gets an end mark of its own after it."""
         n, docs = len(data) + len(offsets) - 1, len(offsets) - 1
-        text = np.full(n, 255, dtype=np.uint8)
+        text = np.full(n + 8, 255, dtype=np.uint8)
         self.begin = offsets[:-1] + np.arange(docs)
-        self.stop = self.begin + np.diff(offsets)  # place of the end mark
         text[K.arange_runs(self.begin, np.diff(offsets))] = data
-        self.text, self.n = text, n
-        # eight bytes at once; what reaches an end mark is told apart by the mark's number
-        room = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
-        left = np.repeat(self.stop, np.diff(offsets) + 1) - np.arange(n)
+        self.text, self.n = text[:n], n
+        doc = np.repeat(np.arange(docs, dtype=np.int32), np.diff(offsets) + 1)
+        self.left = ((self.begin + np.diff(offsets))[doc] - np.arange(n)).astype(np.int32)  # bytes before the end mark
         packed = np.zeros(n, dtype=np.uint64)
         for j in range(8):
-            packed = (packed << np.uint64(8)) | np.where(left >= j, room[j : n + j], np.uint64(0))
-        mark = np.where(left < 8, np.repeat(np.arange(docs), np.diff(offsets) + 1) + 1, 0)
-        order = np.lexsort((mark, packed))
-        self.ranks = [self._rank(order, packed, mark)]
-        width = 8
-        while width < self.DEPTH and int(self.ranks[-1].max()) + 1 < n:
-            rank = self.ranks[-1].astype(np.uint64)
-            ahead = np.zeros(n, dtype=np.uint64)
-            ahead[: max(0, n - width)] = rank[width:] + np.uint64(1)
-            key = (rank << np.uint64(32)) | ahead
-            order = np.argsort(key, kind="stable")
-            self.ranks.append(self._rank(order, key, None))
+            packed = (packed << np.uint64(8)) | np.where(self.left >= j, text[j : n + j], np.uint8(0))
+        order = np.argsort(packed).astype(np.int32)
+        new = np.ones(n + 1, dtype=bool)
+        new[1:n] = packed[order[1:]] != packed[order[:-1]]
+        del packed
+        # the rank of a suffix is the place of its group's first one, so settled suffixes keep theirs
+        rank = np.empty(n, dtype=np.int32)
+        rank[order] = np.maximum.accumulate(np.where(new[:n], np.arange(n, dtype=np.int32), 0))
+        self.ranks, width = [rank.copy()], 8
+        while len(slots := np.flatnonzero(~(new[:-1] & new[1:]))):
+            at = order[slots]
+            ended = self.left[at] < width  # the end mark decides: each is a letter of its own
+            ahead = np.where(ended, n + doc[at], rank[np.minimum(at + width, n - 1)])
+            key = (rank[at].astype(np.uint64) << np.uint64(32)) | ahead.astype(np.uint64)
+            sub = np.argsort(key)
+            key, at = key[sub], at[sub]
+            order[slots] = at
+            fresh = np.ones(len(at), dtype=bool)
+            fresh[1:] = key[1:] != key[:-1]
+            new[slots] |= fresh
+            rank[at] = slots[np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))]
+            self.ranks.append(rank.copy())
             width *= 2
         self.order = order
-        before = text[order - 1]
+        before = self.text[order - 1]
         run = np.ones(n, dtype=bool)  # a new run starts; end marks never continue one
         run[1:] = (before[1:] != before[:-1]) | (before[1:] == 255)
         self.run_heads = np.flatnonzero(run)
 
-    @staticmethod
-    def _rank(order, key, mark):
-        new = np.ones(len(order), dtype=np.int64)
-        new[1:] = key[order[1:]] != key[order[:-1]]
-        if mark is not None:
-            new[1:] |= mark[order[1:]] != mark[order[:-1]]
-        rank = np.empty(len(order), dtype=np.int64)
-        rank[order] = np.cumsum(new) - 1
-        return rank
-
     def common_prefix(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Longest common prefixes of pairs of suffixes, by halving the sorted depths."""
-        a, b, total = a.copy(), b.copy(), np.zeros(len(a), dtype=np.int64)
+        most = np.minimum(self.left[a], self.left[b]).astype(np.int64)
+        a, b, total = a.astype(np.int64), b.astype(np.int64), np.zeros(len(a), dtype=np.int64)
         for level in range(len(self.ranks) - 1, -1, -1):
             width, rank = 8 << level, self.ranks[level]
-            while True:
-                inside = (a < self.n) & (b < self.n)
-                same = np.zeros(len(a), dtype=bool)
-                same[inside] = rank[a[inside]] == rank[b[inside]]
-                total[same] += width
-                a[same] += width
-                b[same] += width
-                if level < len(self.ranks) - 1 or not same.any():
-                    break
+            same = (total < most) & (rank[np.minimum(a, self.n - 1)] == rank[np.minimum(b, self.n - 1)])
+            for x in (total, a, b):
+                x[same] += width
         for _ in range(7):  # the last bytes one by one
-            inside = (a < self.n) & (b < self.n)
-            same = np.zeros(len(a), dtype=bool)
-            same[inside] = (self.text[a[inside]] == self.text[b[inside]]) & (self.text[a[inside]] != 255)
-            total[same] += 1
-            a[same] += 1
-            b[same] += 1
-        return total
+            same = (total < most) & (self.text[np.minimum(a, self.n - 1)] == self.text[np.minimum(b, self.n - 1)])
+            for x in (total, a, b):
+                x[same] += 1
+        return np.minimum(total, most)
 
     def matching_statistics(self) -> np.ndarray:
         """Length of the longest match of each place with any other place of the text."""
@@ -279,13 +268,17 @@ def _matches(length: int):
             table = pa.Table.from_batches([batch])
             table = table if held is None else pa.concat_tables([held, table])
             h = table.column(0).to_numpy()
-            if table.nbytes < TEXT or not len(h):
+            if table.nbytes < 2 * TEXT or not len(h):
                 held = table
                 continue
-            last = int(np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))[-1])
-            held = table.slice(last)
-            if last and (out := decide(table.slice(0, last).combine_chunks())) is not None:
-                yield out
+            # whole anchors, about TEXT bytes at a time; the last one may go on
+            starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            size = np.concatenate([[0], np.cumsum(pc.binary_length(table.column(4)).to_numpy())])[starts]
+            cuts = [0, *starts[1:][size[1:] // TEXT != size[:-1] // TEXT].tolist()]
+            for x, y in zip(cuts[:-1], cuts[1:]):
+                if (out := decide(table.slice(x, y - x).combine_chunks())) is not None:
+                    yield out
+            held = table.slice(cuts[-1])
         if held is not None and held.num_rows and (out := decide(held.combine_chunks())) is not None:
             yield out
 
@@ -312,11 +305,11 @@ def _cut(schema, text_at: int):
             data, offsets = K.utf8(batch.column(text_at))
             marks = batch.column(batch.num_columns - 1)
             counts = np.diff(marks.offsets.to_numpy()) if len(marks) else np.zeros(0, np.int64)
-            rows = marks.flatten()
-            of = np.repeat(np.arange(batch.num_rows), counts)
+            code = marks.flatten().to_numpy()
+            start = offsets[np.repeat(np.arange(batch.num_rows), counts)] + code // 1024
             change = np.zeros(len(data) + 1, dtype=np.int32)
-            np.add.at(change, offsets[of] + rows.field(0).to_numpy(), 1)
-            np.add.at(change, offsets[of] + rows.field(1).to_numpy(), -1)
+            np.add.at(change, start, 1)
+            np.add.at(change, start + code % 1024, -1)
             gone = np.cumsum(change[:-1]) > 0
             kept = np.concatenate([[0], np.cumsum(~gone)])[offsets]
             # maximal removed runs: a run begins at a removed byte that follows a kept one or a text's begin
@@ -343,7 +336,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
 
     A byte goes if a ``length``-byte string that covers it also starts at another
     place, in this text or in another.  Texts are UTF-8 bytes; removal may split a
-    character, so ``_kept`` is binary.  A null text is empty.  Repeated rows are
+    character, so ``_kept`` is binary.  ``length`` is from 64 to 500.  A null text is empty.  Repeated rows are
     texts like any others, so each is the other's copy.  A null id is an id of its
     own.  Texts shorter than ``length`` stay whole; an empty table stays empty.
     """
@@ -372,12 +365,12 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     twice = starts.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string")
     marks = marks.union(starts.join(twice, "string", "left_semi").select("id", "tag", "a", (F.col("a") + length).alias("b")))
     marks = marks.union(met.where("kind = 0").select("id", "tag", F.col("lo").alias("a"), (F.col("hi") + length).alias("b")))
-    marks = materialize(marks.groupBy("id", "tag").agg(F.collect_set(F.struct("a", "b")).alias("_marks")), "marks")
+    marks = materialize(marks.groupBy("id", "tag").agg(F.collect_set(F.col("a") * 1024 + (F.col("b") - F.col("a"))).alias("_marks")), "marks")
 
     rows = docs.select(F.struct("*").alias("_row"))
     given = F.coalesce(F.col("_row")[text_col], F.lit(""))
     rows = rows.withColumn("id", F.coalesce(F.col("_row")[id_col].cast("long"), F.lit(-(1 << 62)))).withColumn("tag", F.xxhash64(given))
-    joined = rows.join(marks, ["id", "tag"], "left").select("_row.*", F.coalesce("_marks", F.array().cast("array<struct<a:bigint,b:bigint>>")).alias("_marks"))
+    joined = rows.join(marks, ["id", "tag"], "left").select("_row.*", F.coalesce("_marks", F.array().cast("array<bigint>")).alias("_marks"))
     spans = ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())]))
     schema = StructType([*docs.schema.fields, StructField("_kept", BinaryType()), StructField("_spans", spans)])
     return joined.mapInArrow(_cut(schema, docs.columns.index(text_col)), schema)
