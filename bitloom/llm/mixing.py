@@ -4,8 +4,10 @@ A document's hash places it on a line of 2**60 points.  A source's budget become
 a threshold on that line: tokens are summed by source and hash bucket, the bucket
 in which the running sum passes the budget is the boundary, and only that bucket
 is histogrammed again at the next 12 bits.  Documents below the threshold are
-taken by a plain filter; nothing is sorted.  What is left of the budget is filled
-by a few best-fitting single documents.
+taken by a plain filter; nothing is sorted.  The document at the boundary does not
+fit the rest of the budget; the rest gets a threshold of its own among the documents
+that do fit it, and so on: nested budgets, each smaller than the document that ended
+the one before.
 
 Each level is one aggregation with map-side sums over (id, source, size); a source
 that holds a third of all rows sends at most 4096 partial rows a task.
@@ -53,51 +55,54 @@ def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weig
     return per.select("source", "source_size", "target")
 
 
-def thresholds(sizes: DataFrame, targets: DataFrame, fill: int = 4) -> DataFrame:
-    """Per source: ``copies`` (whole passes), ``cut`` (hash below: one more copy)
-    and ``picks`` (ids' hashes that fill the rest)."""
+def thresholds(sizes: DataFrame, targets: DataFrame, rounds: int = 8) -> DataFrame:
+    """Per source: ``copies`` (whole passes over it) and ``cuts``: a document of at most
+    ``limit`` tokens with a hash below ``hi``, in any of them, is taken once more."""
     one = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     state = targets.withColumn("copies", one.cast("long"))
     state = state.withColumn("rest", F.col("target") - F.col("copies") * F.col("source_size"))
-    state = materialize(state.withColumn("at", F.lit(0).cast("long")).withColumn("cut", F.lit(None).cast("long")), "mix")
+    state = state.withColumn("cuts", F.array().cast("array<struct<limit:double,hi:bigint>>"))
+    state = materialize(state, "mix")
     rows = sizes.where(F.col("size") > 0).select(F.col("source").alias("src"), "size", "h")
+    for _ in range(rounds):
+        state, more = _nested(rows, state)
+        if not more:
+            break
+    return state
+
+
+def chosen(size: Column, h: Column) -> Column:
+    return F.exists("cuts", lambda c: (size <= c["limit"]) & (h < c["hi"]))
+
+
+def _nested(rows: DataFrame, state: DataFrame) -> tuple[DataFrame, bool]:
+    """One more threshold per source for what is left of its budget; false if none found a document."""
+    keep = ("source", "source_size", "target", "copies", "cuts", "rest")
+    state = state.select(*keep, F.col("rest").alias("limit"), F.lit(0).cast("long").alias("at"), F.lit(None).cast("long").alias("cut"))
     for level in range(1, BITS // STEP + 1):
         shift, last = BITS - STEP * level, level == BITS // STEP
-        inside = rows.join(state.select("source", "at", "rest", "cut"), F.col("src").eqNullSafe(F.col("source")))
-        inside = inside.where(F.col("cut").isNull() & (F.shiftright("h", shift + STEP) == F.col("at")))
+        inside = rows.join(state, F.col("src").eqNullSafe(F.col("source")))
+        inside = inside.where(F.col("cut").isNull() & (F.shiftright("h", shift + STEP) == F.col("at")) & (F.col("size") <= F.col("limit")) & ~chosen(F.col("size"), F.col("h")))
         hist = inside.groupBy("source", F.shiftright("h", shift).alias("b")).agg(F.sum("size").alias("s"), F.count("*").alias("n"), F.first("rest").alias("rest"))
-        hist = hist.withColumn("cum", F.sum("s").over(Window.partitionBy("source").orderBy("b")))
         over = F.col("cum") > F.col("rest")
-        step = hist.groupBy("source").agg(
-            F.min(F.when(over, F.col("b"))).alias("nb"), F.max(F.when(~over, F.col("cum"))).alias("done"), F.min(F.when(over, F.struct("b", "n"))).alias("edge")
+        step = hist.withColumn("cum", F.sum("s").over(Window.partitionBy("source").orderBy("b"))).groupBy(F.col("source").alias("src")).agg(
+            F.min(F.when(over, F.struct("b", "n"))).alias("edge"), F.max(F.when(~over, F.col("cum"))).alias("done")
         )
-        step = step.select(F.col("source").alias("src"), "nb", "done", F.col("edge")["n"].alias("n"))
         new = state.join(step, F.col("src").eqNullSafe(F.col("source")), "left")
-        open_ = F.col("cut").isNull()
+        nb, open_ = F.col("edge")["b"], F.col("cut").isNull()
         # all of the bucket fits: the threshold is its end; a lone document on the edge: its bucket's start
         end = F.shiftleft(F.col("at") + 1, shift + STEP)
-        settled = F.when(F.col("nb").isNull(), end).when((F.col("n") <= 1) | F.lit(last), F.shiftleft("nb", shift))
+        settled = F.when(nb.isNull(), end).when((F.col("edge")["n"] <= 1) | F.lit(last), F.shiftleft(nb, shift))
         new = new.select(
-            "source", "source_size", "target", "copies",
-            F.when(open_, F.col("rest") - F.coalesce("done", F.lit(0))).otherwise(F.col("rest")).alias("rest"),
-            F.when(open_, F.coalesce("nb", "at")).otherwise(F.col("at")).alias("at"),
-            F.when(open_, settled).otherwise(F.col("cut")).alias("cut"),
+            *keep[:-1], F.when(open_, F.col("rest") - F.coalesce("done", F.lit(0))).otherwise(F.col("rest")).alias("rest"), "limit",
+            F.when(open_, F.coalesce(nb, "at")).otherwise(F.col("at")).alias("at"), F.when(open_, settled).otherwise(F.col("cut")).alias("cut"),
         )
         state = materialize(new, "mix")
         if last or not state.where(F.col("cut").isNull()).take(1):
             break
-    state = state.withColumn("picks", F.array().cast("array<bigint>"))
-    for _ in range(fill):
-        free = rows.join(state.select("source", "cut", "rest", "picks"), F.col("src").eqNullSafe(F.col("source")))
-        free = free.where((F.col("h") >= F.col("cut")) & (F.col("size") <= F.col("rest")) & ~F.array_contains("picks", F.col("h")))
-        best = free.groupBy("src").agg(F.max(F.struct("size", (-F.col("h")).alias("nh"))).alias("best"))
-        state = state.join(best, F.col("src").eqNullSafe(F.col("source")), "left").select(
-            "source", "source_size", "target", "copies", "cut",
-            (F.col("rest") - F.coalesce(F.col("best")["size"], F.lit(0))).alias("rest"),
-            F.when(F.col("best").isNotNull(), F.array_append("picks", -F.col("best")["nh"])).otherwise(F.col("picks")).alias("picks"),
-        )
-        state = materialize(state, "mix")
-    return state
+    more = bool(state.where("rest < limit").take(1))
+    cut = F.struct(F.col("limit"), F.col("cut").alias("hi"))
+    return state.withColumn("cuts", F.when(F.col("rest") < F.col("limit"), F.array_append("cuts", cut)).otherwise(F.col("cuts"))).select(*keep), more
 
 
 def mix_sources(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights=WEIGHTS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -119,9 +124,8 @@ def mix_sources(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights=
 
 def _take(rows: DataFrame, plan: DataFrame, source: Column) -> DataFrame:
     plan = plan.withColumnRenamed("source", "_of")
-    chosen = (F.col("_h") < F.col("cut")) | F.array_contains("picks", F.col("_h"))
     joined = rows.join(plan, source.eqNullSafe(F.col("_of")))
-    return joined.withColumn("_taken", F.col("_size") * (F.col("copies") + F.when(chosen, 1).otherwise(0)))
+    return joined.withColumn("_taken", F.col("_size") * (F.col("copies") + F.when(chosen(F.col("_size"), F.col("_h")), 1).otherwise(0)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -134,7 +138,7 @@ def query(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_size").alias("size"), "source_size", "target", F.col("_taken").alias("taken"))
 
 
-def _oracle(fill: int = 4) -> str:
+def _oracle(rounds: int = 8) -> str:
     sql = r"""
 WITH sizes AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
@@ -157,25 +161,22 @@ targets AS (
   SELECT source, source_size, least(cap, wl * w) AS target,
          CASE WHEN source_size > 0 THEN CAST(floor(least(cap, wl * w) / source_size) AS BIGINT) ELSE 0 END AS copies
   FROM levels, water),
-ranked AS (
-  SELECT s.*, t.source_size, t.target, t.copies, t.target - t.copies * t.source_size AS rest,
-         CAST(sum(size) OVER (PARTITION BY s.source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cum
-  FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
 r0 AS (
-  SELECT *, size > 0 AND cum <= rest AS chosen,
-         rest - coalesce(max(CASE WHEN cum <= rest THEN cum END) OVER (PARTITION BY source), 0) AS gap
-  FROM ranked)"""
-    for i in range(fill):
+  SELECT s.*, t.source_size, t.target, t.copies, t.target - t.copies * t.source_size AS gap, FALSE AS chosen
+  FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)"""
+    for i in range(rounds):
         sql += f""",
-p{i} AS (
-  SELECT source, max({{'size': size, 'nh': -h}}) AS best FROM r{i}
-  WHERE size > 0 AND NOT chosen AND size <= gap GROUP BY source),
+e{i} AS (
+  SELECT *, NOT chosen AND size > 0 AND size <= gap AS fits,
+         CAST(sum(CASE WHEN NOT chosen AND size > 0 AND size <= gap THEN size ELSE 0 END)
+              OVER (PARTITION BY source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cum
+  FROM r{i}),
 r{i + 1} AS (
-  SELECT r.* EXCLUDE (chosen, gap), r.chosen OR coalesce(r.size > 0 AND r.h = -p.best.nh, FALSE) AS chosen,
-         r.gap - coalesce(p.best.size, 0) AS gap
-  FROM r{i} r LEFT JOIN p{i} p ON r.source IS NOT DISTINCT FROM p.source)"""
+  SELECT doc_id, source, size, h, source_size, target, copies,
+         gap - coalesce(max(CASE WHEN fits AND cum <= gap THEN cum END) OVER (PARTITION BY source), 0) AS gap, chosen OR (fits AND cum <= gap) AS chosen
+  FROM e{i})"""
     return sql + f"""
-SELECT doc_id, size, source_size, target, size * (copies + CASE WHEN chosen THEN 1 ELSE 0 END) AS taken FROM r{fill}
+SELECT doc_id, size, source_size, target, size * (copies + CASE WHEN chosen THEN 1 ELSE 0 END) AS taken FROM r{rounds}
 """
 
 
