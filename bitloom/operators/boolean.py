@@ -189,6 +189,49 @@ def greedy_cover(cubes: DataFrame, on: DataFrame, bits: int) -> DataFrame:
     return picked
 
 
+def minimum_cover(cubes: DataFrame, on: DataFrame) -> DataFrame:
+    """A cover of fewest cubes, then fewest literals, of each function: the chart of a
+    function meets in one group and is searched depth first with a bound.  Meant for
+    charts of tens of cubes; wide ones take ``greedy_cover``."""
+
+    def run(pdf):
+        names = sorted({(int(m), int(v)) for m, v in zip(pdf["mask"], pdf["value"])})
+        at = {c: i for i, c in enumerate(names)}
+        options: dict[int, int] = {}
+        for m, v, t in zip(pdf["mask"], pdf["value"], pdf["minterm"]):
+            options[int(t)] = options.get(int(t), 0) | 1 << at[int(m), int(v)]
+        need = sorted(set(options.values()), key=lambda o: (o.bit_count(), o))
+        lits = [m.bit_count() for m, _ in names]
+        best = [(len(names) + 1, 0, 0)]
+
+        def search(taken: int, terms: int, literals: int) -> None:
+            if (terms, literals) >= best[0][:2]:
+                return
+            left = next((o for o in need if not o & taken), None)
+            if left is None:
+                best[0] = (terms, literals, taken)
+                return
+            for i in range(len(names)):
+                if left >> i & 1:
+                    search(taken | 1 << i, terms + 1, literals + lits[i])
+
+        search(0, 0, 0)
+        keep = [c for i, c in enumerate(names) if best[0][2] >> i & 1]
+        return pdf.iloc[: len(keep)].assign(mask=[m for m, _ in keep], value=[v for _, v in keep])[["fn", "mask", "value"]]
+
+    return chart(cubes, on).groupBy("fn").applyInPandas(run, "fn string, mask int, value int")
+
+
+def gate_counts(cubes: DataFrame, bits: int) -> DataFrame:
+    """Nodes of the shared two-level network of each cover: pins, inverters, ANDs of two or
+    more inputs, the final OR."""
+    c = distinct_cubes(cubes)
+    return c.groupBy("fn").agg(
+        F.lit(bits).cast("long").alias("pins"), popcount(F.bit_or(F.col("mask").bitwiseAND(F.bitwise_not("value")))).cast("long").alias("nots"),
+        F.count_if(popcount(F.col("mask")) > 1).alias("ands"), (F.count("*") > 1).cast("long").alias("ors"),
+    )
+
+
 def column_of(cubes: list[tuple[int, int]], bits: list):
     """A cover as one Boolean column over named bit columns: OR of ANDs, no Python at run time."""
     out = F.lit(False)

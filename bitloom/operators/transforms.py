@@ -9,7 +9,7 @@ Null texts have no bytes.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bitloom.functions.bits import text_bytes
+from bitloom.functions.bits import bits_for_count, text_bytes
 
 
 def byte_relation(df: DataFrame, key: Column, text: Column) -> DataFrame:
@@ -112,6 +112,27 @@ def digest(rel: DataFrame, prefix: str = "") -> DataFrame:
     )
 
 
+PLANS = {
+    "identity": lambda r: r, "delta": delta, "xor": xor, "delta-4": lambda r: delta(r, 4), "xor-4": lambda r: xor(r, 4), "bit-planes": bit_planes,
+}
+
+
+def plan_sizes(rel: DataFrame, plans=tuple(PLANS)) -> DataFrame:
+    """Bytes of each text as fixed-width ids after each plan: ``k, plan, size``."""
+    out = None
+    for name in plans:
+        made = PLANS[name](rel).select("k", F.lit(name).alias("plan"), "b")
+        out = made if out is None else out.union(made)
+    s = out.groupBy("k", "plan", "b").agg(F.count("*").alias("n")).groupBy("k", "plan").agg(F.sum("n").alias("n"), F.count("*").alias("s"))
+    return s.select("k", "plan", (F.ceil(F.col("n") * bits_for_count(F.col("s")) / 8) + F.col("s")).cast("long").alias("size"))
+
+
+def best_plan(sizes: DataFrame, plans=tuple(PLANS)) -> DataFrame:
+    """The plan of least size for each text; ties go to the earlier plan."""
+    rank = F.array_position(F.array(*[F.lit(p) for p in plans]), F.col("plan"))
+    return sizes.groupBy("k").agg(F.min(F.struct("size", rank.alias("rank"), "plan")).alias("x")).select("k", "x.plan", "x.size")
+
+
 def period_scores(rel: DataFrame, max_period: int = 16, top: int = 3, least: int = 2048, samples: int = 20_000) -> DataFrame:
     """The periods at which bytes most often equal the byte one period before.
 

@@ -121,9 +121,56 @@ def gate(spark, sf):
 
 
 def methods(spark, sf):
-    """Chosen methods by region name of nothing but their order: the dimension of methods, joined to use."""
-    used = method(spark, sf).groupBy("method").agg(F.count("*").alias("texts"), F.sum("total").cast("long").alias("bytes"))
-    return used
+    """Texts and bytes by chosen method."""
+    return method(spark, sf).groupBy("method").agg(F.count("*").alias("texts"), F.sum("total").cast("long").alias("bytes"))
+
+
+def payloads(spark, sf):
+    """Texts that are equal byte for byte: content hash, length, how many, the first."""
+    d = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    return d.groupBy(F.md5("t").alias("hash"), F.octet_length("t").cast("long").alias("bytes")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc"))
+
+
+def head_bytes(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n"))
+    return d.select("doc_id", *[T.heads(F.col("n"), p, h).cast("long").alias(f"heads_{p}_{h}") for p, h in ((4, 1), (8, 3), (257, 1))])
+
+
+def best_plan(spark, sf):
+    return T.best_plan(T.plan_sizes(_rel(spark, sf))).withColumnRenamed("k", "doc_id")
+
+
+def groups(spark, sf):
+    return C.best_groups(C.text_chunks(table(spark, sf, "documents"), F.col("doc_id"), F.col("text"), 512), 4).withColumnRenamed("k", "doc_id")
+
+
+GROUPS = BYTES + """, p AS (SELECT k, pos // 2048 AS block, CAST(pos // 512 % 4 AS INTEGER) AS i, b FROM rel),
+used AS (SELECT k, block, max(i) + 1 AS chunks FROM p GROUP BY ALL),
+cost AS (
+  SELECT k, block, chunks, lo, hi, CAST((n * CAST(greatest(1, ceil(log2(s))) AS BIGINT) + 7) // 8 + s + 36 + CASE WHEN hi - lo = 1 THEN 10 ELSE 18 END AS BIGINT) AS cost
+  FROM (SELECT k, block, chunks, lo, hi, count(*) AS n, count(DISTINCT b) AS s
+        FROM p JOIN used USING (k, block), (SELECT l.i AS lo, h.i AS hi FROM range(4) l(i), range(1, 5) h(i) WHERE l.i < h.i)
+        WHERE i >= lo AND i < hi AND hi <= chunks GROUP BY 1, 2, 3, 4, 5)),
+b1 AS (SELECT * FROM cost WHERE hi - lo = 1)""" + "".join(
+    f""",
+s{n} AS (SELECT a.k, a.block, a.lo, z.hi, min(a.cost + z.cost) + 2 AS split FROM b{n - 1} a JOIN b{n - 1} z ON a.k = z.k AND a.block = z.block AND a.hi = z.lo AND z.hi - a.lo = {n} GROUP BY ALL),
+b{n} AS (SELECT * FROM b{n - 1} UNION ALL SELECT c.k, c.block, c.chunks, c.lo, c.hi, least(c.cost, s.split) FROM cost c JOIN s{n} s USING (k, block, lo, hi))"""
+    for n in (2, 3, 4)
+) + """
+SELECT w.k AS doc_id, w.block, CAST(w.chunks AS INTEGER) AS chunks, w.cost AS best, CAST(q.plain AS BIGINT) AS plain
+FROM b4 w JOIN (SELECT k, block, sum(cost) AS plain FROM b1 GROUP BY ALL) q USING (k, block) WHERE lo = 0 AND hi = chunks"""
+
+
+def _plan_sql() -> str:
+    parts = {
+        "identity": "SELECT k, n, pos, b FROM t0", "delta": _sql_delta("t0", 1), "xor": _sql_xor("t0", 1), "delta-4": _sql_delta("t0", 4), "xor-4": _sql_xor("t0", 4),
+        "bit-planes": "SELECT k, n, (i * n + pos) // 8 AS pos, CAST(sum(((b >> i) & 1) << CAST((i * n + pos) % 8 AS INTEGER)) AS INTEGER) AS b"
+        " FROM t0, (SELECT CAST(i AS INTEGER) AS i FROM range(8) r(i)) GROUP BY ALL",
+    }
+    every = " UNION ALL ".join(f"SELECT k, '{name}' AS plan, {i} AS rank, b FROM ({sql})" for i, (name, sql) in enumerate(parts.items()))
+    return BYTES + f""", t0 AS (SELECT * FROM rel), e AS ({every}), s AS (SELECT k, plan, rank, count(*) AS n, count(DISTINCT b) AS s FROM e GROUP BY ALL)
+SELECT k AS doc_id, plan, CAST((n * CAST(greatest(1, ceil(log2(s))) AS BIGINT) + 7) // 8 + s AS BIGINT) AS size FROM s
+QUALIFY row_number() OVER (PARTITION BY k ORDER BY size, rank) = 1"""
 
 
 def series(spark, sf) -> DataFrame:
@@ -262,6 +309,20 @@ FROM s QUALIFY place <= 3""",
             " w AS (SELECT k, n + 36 AS raw, (n * CAST(greatest(1, ceil(log2(symbols))) AS BIGINT) + 7) // 8 + symbols + 36 AS idx FROM s)"
             " SELECT k AS doc_id, CASE WHEN idx < raw THEN 'indexed-raw' ELSE 'raw-copy' END AS method, least(raw, idx) AS total FROM w",
         ),
+        "c1_methods_used": (
+            methods,
+            BYTES + ", s AS (SELECT k, count(*) AS n, count(DISTINCT b) AS symbols FROM rel GROUP BY k),"
+            " w AS (SELECT k, n + 36 AS raw, (n * CAST(greatest(1, ceil(log2(symbols))) AS BIGINT) + 7) // 8 + symbols + 36 AS idx FROM s)"
+            " SELECT CASE WHEN idx < raw THEN 'indexed-raw' ELSE 'raw-copy' END AS method, count(*) AS texts, CAST(sum(least(raw, idx)) AS BIGINT) AS bytes FROM w GROUP BY 1",
+        ),
+        "p10_equal_payloads": (payloads, "SELECT md5(coalesce(text, '')) AS hash, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS bytes, count(*) AS copies, min(doc_id) AS first_doc FROM documents GROUP BY 1, 2"),
+        "t13_head_bytes": (
+            head_bytes,
+            "SELECT doc_id, " + ", ".join(f"CAST(n // {p} * {h} + least({h}, n % {p}) AS BIGINT) AS heads_{p}_{h}" for p, h in ((4, 1), (8, 3), (257, 1)))
+            + " FROM (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n FROM documents)",
+        ),
+        "t16_best_plan": (best_plan, _plan_sql()),
+        "g9_best_groups": (groups, GROUPS),
         "c3_pack_round_trip": (packed, "SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n, TRUE AS restored, TRUE AS never_larger FROM documents"),
         "d1_fixed_width": (
             fixed_width,

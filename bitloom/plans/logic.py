@@ -152,6 +152,35 @@ def cover_table(spark, sf):
     return both.groupBy("fn").agg(F.count("*").alias("checked"), F.count_if(wrong).alias("wrong"), F.min(F.when(wrong, F.col("minterm"))).alias("first_wrong"))
 
 
+def minimum(spark, sf):
+    on, _, _, p = _primes(spark, sf)
+    return B.minimum_cover(p, on).groupBy("fn").agg(F.count("*").alias("terms"), F.sum(F.bit_count("mask")).cast("long").alias("literals"))
+
+
+def gates(spark, sf):
+    on, _, _, p = _primes(spark, sf)
+    return B.gate_counts(B.useful(p, on), BITS)
+
+
+def table_again(spark, sf):
+    """All 64 minterms of each function as the compiled useful primes state them."""
+    on, _, _, p = _primes(spark, sf)
+    by_fn: dict = {}
+    for r in B.useful(p, on).collect():  # tens of cubes
+        by_fn.setdefault(r["fn"], []).append((r["mask"], r["value"]))
+    rows = coded(spark, sf).select("fn").distinct().withColumn("minterm", F.explode(F.sequence(F.lit(0), F.lit((1 << BITS) - 1))))
+    bits = [F.expr(f"(minterm >> {i}) & 1 = 1") for i in range(BITS)]
+    said = F.lit(False)
+    for fn, cubes in by_fn.items():
+        said = said | ((F.col("fn") == fn) & B.column_of(cubes, bits))
+    return rows.withColumn("value", said)
+
+
+def bit_strings(spark, sf):
+    """Sizes of parts as bits, low bit first."""
+    return table(spark, sf, "part").select("p_partkey", F.reverse(F.bin("p_size")).alias("bits"))
+
+
 @cache
 def _prefix() -> str:
     code = " + ".join(f"CASE WHEN {a} THEN {1 << i} ELSE 0 END" for i, a in enumerate(ATTRIBUTES))
@@ -235,6 +264,24 @@ def registry() -> dict:
             " one AS (SELECT fn, minterm FROM cov GROUP BY ALL HAVING count(*) = 1), need AS (SELECT * FROM one EXCEPT SELECT fn, minterm FROM state WHERE state = 'DC')"
             " SELECT fn, mask, value FROM prime EXCEPT SELECT c.fn, mask, value FROM cov c JOIN need n ON c.fn = n.fn AND c.minterm = n.minterm",
         ),
+        "b7_bit_strings": (bit_strings, "SELECT p_partkey, reverse(CASE WHEN p_size = 0 THEN '0' ELSE ltrim(bin(p_size), '0') END) AS bits FROM part"),
+        "b14_minimum_cover": (
+            minimum,
+            p + ", idx AS (SELECT *, row_number() OVER (PARTITION BY fn ORDER BY mask, value) - 1 AS i FROM used), num AS (SELECT fn, count(*) AS n FROM idx GROUP BY fn),"
+            " opt AS (SELECT c.fn, c.minterm, bit_or(1::BIGINT << i) AS o FROM chart c JOIN idx USING (fn, mask, value) GROUP BY ALL),"
+            " sub AS (SELECT fn, unnest(range((1::BIGINT << n))) AS s FROM num), ok AS (SELECT sub.fn, s FROM sub JOIN opt ON sub.fn = opt.fn GROUP BY ALL HAVING bool_and((o & s) <> 0)),"
+            " cost AS (SELECT ok.fn, s, count(*) AS terms, CAST(sum(bit_count(mask)) AS BIGINT) AS literals FROM ok JOIN idx ON ok.fn = idx.fn AND (s >> i) & 1 = 1 GROUP BY ALL)"
+            " SELECT fn, terms, literals FROM cost QUALIFY row_number() OVER (PARTITION BY fn ORDER BY terms, literals, s) = 1",
+        ),
+        "m8_table_of_cover": (
+            table_again,
+            p + " SELECT g.fn, g.minterm, bool_or(u.fn IS NOT NULL) AS value FROM grid g LEFT JOIN used u ON g.fn = u.fn AND (g.minterm & u.mask) = u.value GROUP BY ALL",
+        ),
+        "m10_gate_counts": (
+            gates,
+            p + " SELECT fn, CAST(6 AS BIGINT) AS pins, CAST(bit_count(bit_or(mask & (63 - value))) AS BIGINT) AS nots, count(*) FILTER (WHERE bit_count(mask) > 1) AS ands,"
+            " CAST(count(*) > 1 AS BIGINT) AS ors FROM used GROUP BY fn",
+        ),
         "m4_compiled_filter": (
             greedy,
             p + " SELECT c.fn, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity FROM coded c JOIN ons o ON c.fn = o.fn AND c.minterm = o.minterm GROUP BY c.fn",

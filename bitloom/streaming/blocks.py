@@ -34,6 +34,39 @@ def carried(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("before", F.lag("method").over(Window.partitionBy("k").orderBy("block")))
 
 
+PIECE, GROUP, SPLIT = 10, 18, 2
+
+
+def best_groups(chunks: DataFrame, interval: int) -> DataFrame:
+    """How to group the chunks of each block of ``interval`` so that the whole is smallest.
+
+    Every range of neighbouring chunks is a row with its cost as one group (fixed-width
+    ids of its bytes); ranges are joined to longer ones, shortest first, and a split is
+    taken where it is strictly smaller.  ``k, block, chunks, plain, best``: the block as
+    single pieces, and at its best."""
+    rows = chunks.withColumn("block", F.floor(F.col("chunk") / interval)).withColumn("i", F.col("chunk") % interval)
+    byte = rows.select("k", "block", "i", F.explode(F.regexp_extract_all("hex", F.lit(".."), F.lit(0))).alias("b")).groupBy("k", "block", "i", "b").agg(F.count("*").alias("n"))
+    # a chunk is part of every range that holds it
+    lo = byte.withColumn("lo", F.explode(F.sequence(F.lit(0), F.col("i").cast("int"))))
+    ranges = lo.withColumn("hi", F.explode(F.sequence(F.col("i").cast("int") + 1, F.lit(interval))))
+    used = rows.groupBy("k", "block").agg((F.max("i") + 1).cast("int").alias("chunks"))
+    s = ranges.groupBy("k", "block", "lo", "hi", "b").agg(F.sum("n").alias("n")).groupBy("k", "block", "lo", "hi").agg(F.sum("n").alias("n"), F.count("*").alias("s"))
+    s = s.join(used, ["k", "block"]).where(F.col("hi") <= F.col("chunks"))
+    one = F.col("hi") - F.col("lo") == 1
+    cost = F.ceil(F.col("n") * bits_for_count(F.col("s")) / 8) + F.col("s") + HEADER + F.when(one, PIECE).otherwise(GROUP)
+    cost = s.select("k", "block", "chunks", "lo", "hi", cost.cast("long").alias("cost"))
+    best = cost.where(one)
+    for span in range(2, interval + 1):
+        left = best.select("k", "block", "lo", F.col("hi").alias("mid"), F.col("cost").alias("a"))
+        right = best.select("k", "block", F.col("lo").alias("mid"), "hi", F.col("cost").alias("b"))
+        split = left.join(right, ["k", "block", "mid"]).where(F.col("hi") - F.col("lo") == span).groupBy("k", "block", "lo", "hi").agg((F.min(F.col("a") + F.col("b")) + SPLIT).alias("split"))
+        longer = cost.where(F.col("hi") - F.col("lo") == span).join(split, ["k", "block", "lo", "hi"])
+        best = best.union(longer.select("k", "block", "chunks", "lo", "hi", F.least("cost", "split").alias("cost")))
+    whole = best.where((F.col("lo") == 0) & (F.col("hi") == F.col("chunks"))).select("k", "block", "chunks", F.col("cost").alias("best"))
+    plain = cost.where(one).groupBy("k", "block").agg(F.sum("cost").cast("long").alias("plain"))
+    return whole.join(plain, ["k", "block"])
+
+
 try:
     import zstandard
 except ImportError:  # the codec is optional
