@@ -12,10 +12,7 @@ from bitloom.streaming.blocks import stream_blocks
 
 def _folder(spark) -> str:
     """The shared folder of the session; one of our own only where it names none."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="bitloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
+    path = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="bitloom-")
     return f"{path}/stream-{uuid.uuid4().hex}"
 
 
