@@ -11,13 +11,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the session; a local one is made only where none is set."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="bitloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    if path:
+        return path
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="bitloom-")
+    return _OWN[app]
 
 
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
@@ -28,11 +33,6 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path).alias(name)
 
 
-def row_count(df: DataFrame) -> int:
-    """Rows of a materialised table (read from Parquet footers)."""
-    return df.count()
-
-
 def drop(df: DataFrame) -> None:
     """Delete a materialised table that no later step reads."""
     spark = df.sparkSession
