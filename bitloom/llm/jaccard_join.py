@@ -17,9 +17,9 @@ two or more, 2(m - e - f) <= H - f, so H + 2 + 2x <= 2e + f, the number of empty
 segments of the two sets together.  Sets with at least x + 2 empty segments index
 these too, and in such a pair the smaller number is above x + 1.
 
-Jobs: one pass over the texts makes size, a 128-bit digest of the set, a parity
-sketch and the index rows; equal sets are folded by digest; index rows meet by a
-shuffle on their hash and are streamed in sorted order; groups with the same
+Jobs: one pass over the texts makes size, a 128-bit digest of the set and a parity
+sketch; equal sets are folded by digest; a second pass makes the index rows of one
+text of each set, which meet by a shuffle on their hash and are streamed in sorted order; groups with the same
 members are folded; pairs in a group that the sketch can't refute (the parity
 sketch never counts more differences than there are) form coarse classes; inside
 these, whole sets are compared exactly.  Blocks of at most ``BLOCK`` sets keep a
@@ -145,31 +145,42 @@ def doc_sets(texts, k: int):
     return np.concatenate(values), np.concatenate(counts)
 
 
-def _summaries(k: int, bands: Bands):
+def _summaries(k: int):
     def run(batches):
         for batch in batches:
             values, counts = doc_sets(batch.column(1), k)
             ends = np.cumsum(counts)
             h1, h2 = np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
-            rows, sketches = [], []
+            sketches = []
             for i, (a, b) in enumerate(zip((ends - counts).tolist(), ends.tolist())):
                 t = values[a:b]
                 if a == b:
-                    rows.append(np.zeros(0, np.uint64))
                     sketches.append(np.zeros(0, np.uint8))
                     continue
                 h1[i] = np.bitwise_xor.reduce(K.mix(t)).view(np.int64)
                 h2[i] = np.add.reduce(K.mix(t + K.U64(0x632BE59BD9B4E019))).view(np.int64)
-                rows.append(index_rows(t, bands))
                 sketches.append(sketch(t))
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), pa.array(counts), pa.array(h1), pa.array(h2),
-                    K.blobs(np.concatenate(sketches), np.array([len(x) for x in sketches])),
-                    K.ragged(np.concatenate(rows).view(np.int64), np.array([len(x) for x in rows])),
-                ],
-                names=["id", "n", "h1", "h2", "sketch", "keys"],
-            )
+                [batch.column(0), pa.array(counts), pa.array(h1), pa.array(h2), K.blobs(np.concatenate(sketches), np.array([len(x) for x in sketches]))],
+                names=["id", "n", "h1", "h2", "sketch"],
+            )
+
+    return run
+
+
+def _index(k: int, bands: Bands):
+    """Rows ``key, id`` of the index, a few thousand texts' worth at most at a time."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                values, counts = doc_sets(part.column(1), k)
+                ends = np.cumsum(counts)
+                rows = [index_rows(values[a:b], bands) for a, b in zip((ends - counts).tolist(), ends.tolist()) if a < b]
+                owner = part.column(0).to_numpy()[counts > 0]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows).view(np.int64)), pa.array(np.repeat(owner, [len(x) for x in rows]))], names=["key", "id"])
 
     return run
 
@@ -331,17 +342,22 @@ def _folded(bits: int, size: int, to: int) -> int:
     return bits
 
 
-def _block_pairs(rows: DataFrame, group: str, blob: str, links) -> DataFrame:
-    """Links found in each pair of blocks of each group of ``rows`` (``id, n``, ``group``, ``blob``).
+def _blocked(members: DataFrame) -> DataFrame:
+    """``g, id`` -> ``id, _pair, _side``: the block pairs in which each member takes part.
 
-    A block pair is streamed to one task in sorted order; most groups are one small block."""
-    sizes = rows.groupBy(group).agg(F.count("*").alias("_size")).where(F.col("_size") > 1)
+    A group of up to BLOCK members is one pair, a block with itself."""
+    sizes = members.groupBy("g").agg(F.count("*").alias("_size")).where(F.col("_size") > 1)
     sizes = sizes.withColumn("_blocks", F.ceil(F.col("_size") / BLOCK).cast("int"))
-    rows = rows.join(sizes, group).withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
+    rows = members.join(sizes, "g").withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
     # a block meets every block: as the left side of later ones, the right side of earlier ones
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     side = F.when(F.col("_own") == F.col("_other"), 2).when(F.col("_own") < F.col("_other"), 0).otherwise(1)
-    rows = rows.select(F.xxhash64(group, F.least("_own", "_other"), F.greatest("_own", "_other")).alias("_pair"), side.alias("_side"), "id", "n", blob)
+    return rows.select("id", F.xxhash64("g", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("_pair"), side.alias("_side"))
+
+
+def _links(rows: DataFrame, links) -> DataFrame:
+    """Links found in each block pair of ``rows`` (``_pair, _side, id, n`` and a blob), each
+    streamed to one task in sorted order."""
 
     def run(batches):
         held = None
@@ -372,6 +388,12 @@ def _linked(table: pa.Table, links) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def _few(table: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A materialised table of a few numbers a row, broadcast where its rows are counted to be few."""
+    table = materialize(table, "few")
+    return F.broadcast(table) if table.count() <= most else table
+
+
 def link_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``id, n_shingles, component_id``.
 
@@ -384,32 +406,30 @@ def link_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_
     """
     bands = Bands(num, den)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    made = texts.mapInArrow(_summaries(k, bands), "id long, n long, h1 long, h2 long, sketch binary, keys array<long>")
-    made = materialize(made, "sets")
+    made = materialize(texts.mapInArrow(_summaries(k), "id long, n long, h1 long, h2 long, sketch binary"), "sets")
     full = made.where((F.col("n") > 0) & F.col("id").isNotNull())
     reps = materialize(full.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep")), "reps")
+    same_id = materialize(full.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id"), "same")
+    if same_id.take(1):  # repeated rows are read once
+        texts = texts.withColumn("_tag", F.xxhash64("text")).dropDuplicates(["id", "_tag"]).select("id", "text")
+
     # the lowest id of equal sets stands for all; it alone goes into the index
-    chosen = full.join(reps.select(F.col("rep").alias("id"), "h1", "h2"), ["id", "h1", "h2"], "left_semi")
-    rows = chosen.select(F.explode("keys").alias("key"), "id").repartition("key").sortWithinPartitions("key", "id")
-    groups = rows.mapInArrow(_groups, "g long, id long").distinct()
-    member = materialize(groups, "groups")
-    info = chosen.select("id", "n", "sketch", "h1", "h2").dropDuplicates(["id", "h1", "h2"]).drop("h1", "h2")
-    coarse = _block_pairs(member.join(info, "id"), "g", "sketch", _coarse(bands))
+    chosen = _few(reps.select(F.col("rep").alias("id")).distinct())
+    rows = texts.join(chosen, "id", "left_semi").mapInArrow(_index(k, bands), "key long, id long")
+    groups = rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_groups, "g long, id long").distinct()
+    member = _blocked(materialize(groups, "groups"))
+    info = full.join(chosen, "id", "left_semi").select("id", "n", "h1", "sketch").dropDuplicates(["id", "h1"]).drop("h1")
+    coarse = _links(member.join(info, "id").select("_pair", "_side", "id", "n", "sketch"), _coarse(bands))
     coarse = materialize(connected_components(materialize(coarse.distinct(), "coarse")), "classes")
-    wanted = coarse.select(F.col("node").alias("id"), F.col("label").alias("g"))
-    if wanted.count() <= 1_000_000:  # ids and labels, 16 bytes each
-        wanted = F.broadcast(wanted)
+    wanted = _few(_blocked(coarse.select(F.col("node").alias("id"), F.col("label").alias("g"))))
 
     def tokens(batches):
         for batch in batches:
             values, counts = doc_sets(batch.column(1), k)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), K.blobs(values.view(np.uint8), counts * 8), batch.column(2)], names=["id", "n", "tokens", "g"])
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), batch.column(0), pa.array(counts), K.blobs(values.view(np.uint8), counts * 8)], names=["_pair", "_side", "id", "n", "tokens"])
 
-    some = texts.join(wanted, "id").select("id", "text", "g", F.xxhash64("text").alias("_tag")).dropDuplicates(["id", "_tag"])
-    some = some.select("id", "text", "g").mapInArrow(tokens, "id long, n long, tokens binary, g long")
-    some = materialize(some.where("n > 0"), "tokens")
-    links = _block_pairs(some, "g", "tokens", _exact(bands))
-    same_id = full.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id")
+    some = texts.join(wanted, "id").select("id", "text", "_pair", "_side").mapInArrow(tokens, "_pair long, _side int, id long, n long, tokens binary")
+    links = _links(some.where("n > 0"), _exact(bands))
     links = links.union(full.join(reps, ["h1", "h2", "n"]).join(same_id, "id", "left_semi").select(F.col("id").alias("a"), F.col("rep").alias("b")))
     label = connected_components(materialize(links.distinct(), "links"))
     label = label.select(F.col("node").alias("rep"), "label")
