@@ -28,7 +28,7 @@ def gap_sizes(series: DataFrame) -> DataFrame:
     scaled = F.expr("shiftright(_g, CAST(shift AS INT))")
     s = rows.groupBy("k").agg(
         F.count("*").alias("n"), F.min("gap").alias("low"), F.max("gap").alias("high"), F.max("shift").cast("int").alias("shift"), F.max(first_gap).alias("first_gap"),
-        F.max(F.when(later, scaled)).alias("high_scaled"), F.sum(varint_length(F.col("_g"))).cast("long").alias("varint"),
+        F.max(F.when(later, scaled)).alias("high_scaled"), F.sum(F.when(F.col("i") >= 1, varint_length(F.col("_g")))).cast("long").alias("varint"),
         F.sum(F.when(later, varint_length(zigzag(F.col("change")))).otherwise(F.when(F.col("i") == 1, varint_length(F.col("_g"))))).cast("long").alias("delta_varint"),
         F.sum(F.when(later, varint_length(scaled)).otherwise(F.when(F.col("i") == 1, varint_length(F.col("_g"))))).cast("long").alias("zero_varint"),
     )

@@ -190,7 +190,7 @@ vl AS (SELECT *, gap >> shift AS scaled,
        greatest(1, (length(ltrim(bin(gap >> shift), '0')) + 6) // 7) AS ls FROM l),
 sizes AS (
   SELECT k, count(*) AS n, CAST(max(shift) AS INTEGER) AS shift, CASE WHEN max(gap) <= 255 THEN count(*) - 1 END AS bytes,
-         CAST(sum(lv) AS BIGINT) AS varint, CAST(sum(CASE WHEN i >= 2 THEN lz WHEN i = 1 THEN lv END) AS BIGINT) AS delta_varint,
+         CAST(sum(CASE WHEN i >= 1 THEN lv END) AS BIGINT) AS varint, CAST(sum(CASE WHEN i >= 2 THEN lz WHEN i = 1 THEN lv END) AS BIGINT) AS delta_varint,
          CASE WHEN max(shift) > 0 AND max(CASE WHEN i = 1 THEN gap END) <= 255 AND max(CASE WHEN i >= 2 THEN scaled END) <= 255 THEN count(*) - 1 END AS zero_bytes,
          CASE WHEN max(shift) > 0 THEN CAST(sum(CASE WHEN i >= 2 THEN ls WHEN i = 1 THEN lv END) AS BIGINT) END AS zero_varint
   FROM vl GROUP BY k HAVING count(*) >= 3)"""
