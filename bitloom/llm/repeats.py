@@ -285,15 +285,29 @@ def _matches(length: int):
     return run
 
 
+#: A wanted context as bytes: anchor hash, place, length.
+WANTED = np.dtype([("h", "<i8"), ("lo", "<i4"), ("size", "<u2")])
+
+
+def _packed(batches):
+    """Lists of wanted contexts as bytes, a third of their size as rows."""
+    for batch in batches:
+        lists = batch.column(2)
+        rows, counts = lists.flatten(), np.diff(lists.offsets.to_numpy())
+        made = np.zeros(len(rows), dtype=WANTED)
+        h, lo, to = (rows.field(i).to_numpy() for i in range(3))
+        made["h"], made["lo"], made["size"] = h, lo, to - lo
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), K.blobs(made.view(np.uint8), counts * WANTED.itemsize)], names=["id", "tag", "wanted"])
+
+
 def _fetch(batches):
     """The bytes of each wanted context of a text."""
     for batch in batches:
         data, offsets = K.utf8(batch.column(2))
-        wanted = batch.column(3)
-        rows = wanted.flatten()
-        of = np.repeat(np.arange(batch.num_rows), np.diff(wanted.offsets.to_numpy()))
-        h, lo, to = (rows.field(i).to_numpy() for i in range(3))
-        size = to - lo
+        wanted, ends = K.utf8(batch.column(3))
+        rows = np.frombuffer(wanted.tobytes(), dtype=WANTED)
+        of = np.repeat(np.arange(batch.num_rows), np.diff(ends) // WANTED.itemsize)
+        h, lo, size = rows["h"].copy(), rows["lo"].astype(np.int64), rows["size"].astype(np.int64)
         body = data[K.arange_runs(offsets[of] + lo, size)]
         take = pa.array(of)
         yield pa.RecordBatch.from_arrays([pa.array(h), batch.column(0).take(take), batch.column(1).take(take), pa.array(lo), K.blobs(body, size)], names=["h", "id", "tag", "lo", "bytes"])
@@ -350,8 +364,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     crowds = materialize(wanted.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > GROUP), "crowds")
     wanted = wanted.join(crowds, "h", "left").select("h", "id", "tag", "lo", (F.col("hi") + length).alias("to"), F.col("n").isNotNull().alias("crowd"))
     per_text = wanted.groupBy("id", "tag").agg(F.collect_list(F.struct("h", "lo", "to")).alias("wanted"))
-    per_text = materialize(per_text, "wanted")
-    if wanted.count() <= 500_000:  # 24 bytes each
+    per_text = materialize(per_text.mapInArrow(_packed, "id long, tag long, wanted binary"), "wanted")
+    if wanted.count() <= 2_000_000:  # 14 bytes each, 28 MB at most
         per_text = F.broadcast(per_text)
     texts = long_.join(per_text, ["id", "tag"]).select("id", "tag", "text", "wanted")
     fetched = texts.mapInArrow(_fetch, "h long, id long, tag long, lo long, bytes binary")
