@@ -10,7 +10,7 @@ documents hold arrives at its reducer as one partial row a task.  The repeated
 hashes are materialised; the second pass joins them to the exploded lines, which
 yields the dropped positions of each affected text, and a last join attaches
 these positions to the texts.  The text itself is shuffled only if the table of
-positions is too large to broadcast (the planner decides from its real size).
+positions, which is counted, is too large to broadcast.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -63,7 +63,11 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
         .where(~F.col("_id").eqNullSafe(F.col("_keep")))
         .groupBy("_id", "_tag").agg(F.array_sort(F.collect_set("_pos")).alias("_gone"))
     )
-    gone = materialize(gone, "gone").withColumnsRenamed({"_id": "_gid", "_tag": "_gtag"})
+    gone = materialize(gone, "gone")
+    size = gone.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("_gone")), F.lit(0)).alias("places")).first()
+    gone = gone.withColumnsRenamed({"_id": "_gid", "_tag": "_gtag"})
+    if size["rows"] <= 500_000 and size["places"] <= 4_000_000:  # 36 MB at most
+        gone = F.broadcast(gone)
 
     tagged = rows.withColumn("_tag", F.xxhash64(text))
     joined = tagged.join(gone, given_id.eqNullSafe(F.col("_gid")) & (F.col("_tag") == F.col("_gtag")), "left")
