@@ -8,6 +8,10 @@ up to one bit, so a table of blocks and their one-bit neighbours misses none.  W
 is found is verified by the share of the item's five-word shingles, weighted by
 their length, that stand in the text around that place.
 
+Windows alone miss truncated and edited copies.  So each item also lists its rarest
+shingles until they weigh more than a copy may lack: any text that holds enough of
+the item holds one of these.  A text with one is verified in its densest stretch.
+
 One pass over the texts, without a shuffle.  Only the index of the benchmark
 travels with the tasks, at most ``max_items`` items of it at a time; a larger
 benchmark takes several passes.
@@ -83,7 +87,8 @@ def anchors(hashes: np.ndarray) -> np.ndarray:
 class Index:
     """Fingerprints of benchmark items by window size."""
 
-    def __init__(self, ids: np.ndarray, texts: pa.Array):
+    def __init__(self, ids: np.ndarray, texts: pa.Array, least: float = 0.8):
+        self.least = least
         data, offsets = K.utf8(pc.utf8_lower(texts))
         words = K.Words(data, offsets, space=K.PUNCT)
         length = (words.end - words.start).astype(float)
@@ -99,7 +104,7 @@ class Index:
             run = np.concatenate([[0], np.cumsum(length[a:b])])
             weight = run[SHINGLE:] - run[:-SHINGLE] if n >= SHINGLE else np.array([run[-1]])
             shingle, first = np.unique(shingle, return_index=True)
-            self.items[int(i)] = (int(ids[i]), n, shingle, weight[first] / weight[first].sum())
+            self.items[int(i)] = (int(ids[i]), n, shingle, weight[first] / weight[first].sum(), first)
             prints = simhash(bit_sums(h, size > 255), place, size)
             by_size.setdefault((size, stretch), []).extend((int(i), int(p), int(f)) for p, f in zip(place, prints))
         self.sizes = {}
@@ -113,6 +118,23 @@ class Index:
                 for bit in range(16):
                     table[j, blocks[:, j] ^ np.uint16(1 << bit)] = True
             self.sizes[size] = (item, place, prints, table)
+        self._sign()
+
+    def _sign(self) -> None:
+        """Marks of the items by words hashed at once: a table of low bits, the sorted hashes and the items of each."""
+        kinds, counts = np.unique(np.concatenate([x[2] for x in self.items.values()] or [np.zeros(0, np.uint64)]), return_counts=True)
+        by_words: dict[int, list] = {}
+        for i, (_, n, shingle, weight, _) in self.items.items():
+            rare = np.lexsort((-weight, counts[np.searchsorted(kinds, shingle)]))
+            enough = int(np.searchsorted(np.cumsum(weight[rare]), 1 - self.least + 1e-9, side="right")) + 1
+            by_words.setdefault(min(n, SHINGLE), []).extend((int(h), i) for h in shingle[rare[:enough]])
+        self.marks = {}
+        for k, rows in by_words.items():
+            rows.sort()
+            marks = np.array([h for h, _ in rows], dtype=np.uint64)
+            table = np.zeros(1 << max(16, (8 * len(rows)).bit_length()), dtype=bool)
+            table[marks & np.uint64(len(table) - 1)] = True
+            self.marks[k] = (table, marks, np.array([i for _, i in rows]))
 
     def search(self, texts) -> list[list[tuple[int, float, int]]]:
         """For each text: (item_id, similarity, first word) of the items it holds."""
@@ -143,6 +165,7 @@ class Index:
                     for x, y in zip(x[closest].tolist(), y[closest].tolist()):
                         p = int(start[part[x]])
                         self._verify(words, int(docs[p]), p - int(place[y]), int(item[y]), best)
+            self._marked(words, docs, best)
             for (doc, _), (sim, p, item_id) in sorted(best.items()):
                 out[a + doc].append((item_id, sim, p))
         return out
@@ -150,7 +173,7 @@ class Index:
     def _verify(self, words, doc: int, start: int, item: int, best: dict) -> None:
         if best.get((doc, item), (0.0, 0, 0))[0] >= 1.0:  # several windows lead to one passage
             return
-        item_id, n, shingle, weight = self.items[item]
+        item_id, n, shingle, weight, _ = self.items[item]
         low, high = int(words.first[doc]), int(words.first[doc + 1])
         slack = n // 10 + 1
         a, b = max(low, start - slack), min(high, start + n + slack)
@@ -162,6 +185,61 @@ class Index:
         if sim > best.get((doc, item), (0.0, 0, 0))[0]:
             best[doc, item] = (min(1.0, round(sim, 12)), max(0, start - low), item_id)
 
+    def _marked(self, words, docs: np.ndarray, best: dict) -> None:
+        """Verifies the items that have a mark in a text, wherever it stands."""
+        for k, (table, marks, items) in self.marks.items():
+            at, hashes = runs(words, docs, k)
+            hit = np.flatnonzero(table[hashes & np.uint64(len(table) - 1)])
+            a, b = np.searchsorted(marks, hashes[hit]), np.searchsorted(marks, hashes[hit], side="right")
+            pairs = np.stack([np.repeat(docs[at[hit]], b - a), items[K.arange_runs(a, b - a)]], axis=1)
+            for doc, item in np.unique(pairs, axis=0).tolist():
+                before = best.get((doc, item), (0.0, 0, 0))[0]
+                if before >= 1.0:
+                    continue
+                item_id, n, shingle, weight, first = self.items[item]
+                low, high = np.searchsorted(at, words.first[doc : doc + 2])
+                kind = np.minimum(np.searchsorted(shingle, hashes[low:high]), len(shingle) - 1)
+                place = np.flatnonzero(shingle[kind] == hashes[low:high])
+                kind = kind[place]
+                if round(float(weight[np.unique(kind)].sum()), 12) < self.least:
+                    continue
+                x, y = densest(place, weight[kind], kind, n - k + 2 * (n // 10 + 1) if n >= SHINGLE else 0)
+                sim = min(1.0, round(float(weight[np.unique(kind[x:y])].sum()), 12))
+                if sim > before:
+                    best[doc, item] = (sim, max(0, int(place[x] - first[kind[x]])), item_id)
+
+
+def runs(words, docs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of all runs of k words inside a text, as an item's shingles are hashed."""
+    at = np.arange(len(words.hash))
+    at = at[at + k <= words.first[1:][docs]]
+    if k == SHINGLE:
+        return at, K.shingles(words.hash, words.first, k, whole_if_short=False)[0]
+    flat = words.hash[(at[:, None] + np.arange(k)).ravel()]
+    return at, K.shingles(flat, np.arange(len(at) + 1) * k, SHINGLE)[0]
+
+
+def densest(place: np.ndarray, weight: np.ndarray, kind: np.ndarray, reach: int) -> tuple[int, int]:
+    """First and last (exclusive) of the places at most ``reach`` apart whose different kinds weigh most."""
+    if place[-1] - place[0] <= reach:
+        return 0, len(place)
+    last = np.searchsorted(place, place + reach, side="right").tolist()
+    weight, kind = weight.tolist(), kind.tolist()
+    seen: dict[int, int] = {}
+    total, top, out, y = 0.0, -1.0, (0, 1), 0
+    for x, stop in enumerate(last):
+        for j in range(y, stop):
+            if not seen.get(kind[j]):
+                total += weight[j]
+            seen[kind[j]] = seen.get(kind[j], 0) + 1
+        y = stop
+        if total > top + 1e-9:
+            top, out = total, (x, stop)
+        seen[kind[x]] -= 1
+        if not seen[kind[x]]:
+            total -= weight[x]
+    return out
+
 
 def _pass(docs: DataFrame, index: Index, least: float, text_col: str, found_col: str) -> DataFrame:
     more = found_col in docs.columns
@@ -185,7 +263,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, max_it
 
     Words are runs of letters and digits in lower case, so case and marks don't
     matter.  ``similarity`` is the weighted share of the item's five-word shingles found
-    around that place, at least ``least``.  Items without words and null items are
+    around that place, at least ``least``; every such item is found, also truncated or edited.  Items without words and null items are
     never found; an item under five words counts as one shingle.  Null and empty
     texts hold nothing.  An item's copies are all reported; repeated rows are
     treated alike; empty tables on either side give empty arrays.
@@ -197,7 +275,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, max_it
         got = part.orderBy("item_id").toArrow().combine_chunks()
         ids = got.column("item_id").to_numpy() if got.num_rows else np.zeros(0, np.int64)
         texts = got.column("text").combine_chunks() if got.num_rows else pa.array([], pa.string())
-        docs = _pass(docs, Index(ids, texts), least, text_col, found_col)
+        docs = _pass(docs, Index(ids, texts, least), least, text_col, found_col)
     return docs
 
 

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -48,3 +49,53 @@ def test_blocks_guarantee_the_radius():
             x ^= np.uint64(1) << np.uint64(f)
         blocks = x.view(np.uint16)
         assert any(table[j, blocks[j]] for j in range(4))
+
+
+def brute(text: str, item: str) -> float:
+    """Largest weighted share of the item's shingles in any stretch of the text as long as the item and its slack."""
+    tokens = lambda x: re.findall("[a-z0-9]+", x.lower())
+    text, item = tokens(text), tokens(item)
+    k, n = min(5, len(item)), len(item)
+    width = n + 2 * (n // 10 + 1) if n >= 5 else n
+    weight = {}
+    for i in range(n - k + 1):
+        weight.setdefault(tuple(item[i : i + k]), sum(map(len, item[i : i + k])))
+    best = 0
+    for a in range(max(1, len(text) - width + 1)):
+        part = text[a : a + width]
+        best = max(best, sum(weight.get(x, 0) for x in {tuple(part[i : i + k]) for i in range(len(part) - k + 1)}))
+    return best / sum(weight.values())
+
+
+def test_truncated_and_edited_copies_as_by_brute_force(spark):
+    rng = random.Random(8)
+    make = lambda n: [rng.choice(WORDS) for _ in range(n)]
+    sizes = [1, 2, 4, 5, 6, 9, 15, 16, 20, 33, 60, 100, 100, 260]
+    items = [make(n) for n in sizes]
+    items.append(items[11][:70] + make(8))  # shares most shingles with another
+    items.append(["same", "words"] * 20)
+    docs = [" ".join(items[11][:85]), " ".join(items[6][1:])]
+    for item in items:
+        n = len(item)
+        for share in (0.7, 0.8, 0.85, 0.9, 0.95):
+            cut = max(1, round(n * share))
+            for copy in (item[:cut], item[n - cut :], item[(n - cut) // 2 :][:cut]):
+                docs += [" ".join(copy), " ".join(make(40) + copy + make(40))]
+        for edits in (1, 2, 3, 4, 8):
+            copy = list(item)
+            for _ in range(edits):
+                at = rng.choice([0, n - 1, rng.randrange(n)])
+                copy[min(at, len(copy) - 1)] = "edited"
+            more = list(item)
+            for _ in range(edits):
+                more.insert(rng.randrange(n), "added")
+            docs += [" ".join(make(rng.randrange(30)) + x + make(rng.randrange(30))) for x in (copy, more)]
+        half = n // 2
+        docs += [" ".join(item[half:] + item[:half]), " ".join(item[:half] + make(n // 3) + item[half:]), " ".join(item[:half] + make(20) + item + make(5))]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    want = {(d, i): s for d, text in enumerate(docs) for i, x in enumerate(items) if round(s := brute(text, " ".join(x)), 12) >= 0.8}
+    assert (0, 11) in want and (1, 6) in want
+    got = {(r["doc_id"], x["item_id"]): x["similarity"] for r in find_items(df, bench).collect() for x in r["_items"]}
+    assert got.keys() == want.keys()
+    assert all(abs(got[x] - want[x]) < 1e-9 for x in want)
