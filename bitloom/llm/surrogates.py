@@ -58,8 +58,12 @@ PATTERN = re.compile(
     rf"|(?P<titled>\b(?P<title>{'|'.join(TITLES)})\b\.? (?P<who>{_WORD}(?: {_WORD})?))"
     rf"|(?P<named>\b(?P<given>{_NAMES}) (?P<sur>{_WORD}))\b"
 )
-#: A superset of PATTERN that a linear matcher checks first.
-TRIGGER = rf"@|\d\.\d|\d{{3}}|\+\d|\d-\d|AKIA|(?i:passw|token|secret|api_?key)|\b(?:{'|'.join(TITLES)})\b|\b(?:{_NAMES})\b"
+#: A superset of PATTERN that a linear matcher checks first.  Its word boundaries and \d know
+#: ASCII only, so names in other scripts go without boundaries and digits by their class.
+TRIGGER = (
+    r"@|\d\.\d|\d{3}|\+\d|\d-\d|\d(?:[ -]?\d){12}|AKIA|(?i:passw|token|secret|api_?key)".replace(r"\d", r"\p{Nd}")
+    + rf"|\b(?:{'|'.join(TITLES)})\b|\b(?:{'|'.join(n for n in _NAMES.split('|') if n.isascii())})\b|{'|'.join(n for n in _NAMES.split('|') if not n.isascii())}"
+)
 
 
 def permute(key: bytes, label: str, x: int, n: int) -> int:
@@ -105,9 +109,15 @@ def luhn(digits: str) -> int:
     return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits))) % 10
 
 
+def _ascii_digits(text: str) -> str:
+    return text if text.isascii() else "".join(str(int(c)) if c.isdecimal() else c for c in text)
+
+
 def canonical(kind: str, text: str) -> str:
     if kind in ("phone", "card", "ssn"):
-        return re.sub(r"[^\d+]", "", text)
+        return _ascii_digits(re.sub(r"[^\d+]", "", text))
+    if kind == "ip":
+        return _ascii_digits(text)
     return text.lower() if kind in ("email", "given", "surname") else text
 
 
@@ -155,7 +165,7 @@ def lay(kind: str, surrogate: str, text: str) -> str:
     if kind in ("email", "surname"):
         return "".join(s.upper() if t.isupper() else s for s, t in zip(surrogate, text))
     digits = iter(re.sub(r"\D", "", surrogate))
-    return "".join(next(digits) if c.isdigit() else c for c in text)
+    return "".join(chr(ord(c) - int(c) + int(next(digits))) if c.isdecimal() else c for c in text)
 
 
 def entities(text: str):
