@@ -49,7 +49,7 @@ _WORD = r"[A-ZÀ-ÖØ-ÞА-Я][a-zß-öø-ÿа-я]+"
 _NAMES = "|".join(sorted({n for names in GIVEN.values() for n in names}, key=lambda x: (-len(x), x)))
 PATTERN = re.compile(
     r"(?P<email>(?<![\w.+-])[A-Za-z0-9][\w.+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w]))"
-    r"|(?:(?:password|passwd|token|secret|api_?key)\s*[=:]\s*[\"']?(?P<secret>[A-Za-z0-9_\-/+]{8,}))"
+    r"|(?:(?i:password|passwd|token|secret|api_?key)[\"']?\s*[=:]\s*[\"']?(?P<secret>[A-Za-z0-9_\-/+]{8,}))"
     r"|(?P<key>\bAKIA[A-Z2-7]{12,}\b|\bAKIA[A-Z0-9]{16}\b)"
     r"|(?P<ip>(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"

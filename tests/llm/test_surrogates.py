@@ -59,3 +59,12 @@ def test_prefilter_passes_what_the_pattern_matches(spark):
     assert "Петрова" not in got[1]["text"] and re.fullmatch(r"вчера [А-Я][а-я]+ [А-Я][а-я]+ пришла", got[1]["text"])
     assert "".join(str(int(c)) if c.isdecimal() else c for c in got[2]["text"]) == got[3]["text"] != rows[2][1] and not re.search("[0-9]", got[2]["text"])
     assert re.fullmatch(r"card (?:\d ){15}\d", got[4]["text"]) and got[4]["text"] != rows[3][1]
+
+
+def test_secrets_in_env_files_and_json(spark):
+    forms = ["API_KEY={}", "Password: {}", '{{"api_key": "{}"}}', "{{'Token' : '{}'}}", "export DB_SECRET={}", 'api_key = "{}"', "PASSWD={}"]
+    rows = [(i, f.format("abcd1234efgh")) for i, f in enumerate(forms)]
+    got = {r["doc_id"]: r for r in replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect()}
+    new = S.replacement(KEY, "secret", "abcd1234efgh")
+    assert [(got[i]["_n_entities"], got[i]["text"]) for i in range(len(forms))] == [(1, f.format(new)) for f in forms]
+    assert not list(S.entities("Token economy: abcdefgh1, a secret place"))
