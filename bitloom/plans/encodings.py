@@ -108,12 +108,21 @@ def codes(spark, sf):
 
 
 def method(spark, sf):
-    """Raw copy or fixed-width ids, by total size."""
+    """Raw copy or fixed-width ids, by total size; ``coded_method`` has code words as well."""
     s = S.index_sizes(_hist(spark, sf))
     both = F.explode(F.array(F.struct(F.lit("raw-copy").alias("method"), F.col("raw").alias("total")), F.struct(F.lit("indexed-raw").alias("method"), F.col("indexed").alias("total"))))
     return S.choose(s.select("k", both.alias("c")).select("k", "c.method", "c.total")).withColumnRenamed("k", "doc_id")
 
 
+def coded_method(spark, sf):
+    """Raw copy, fixed-width ids or minimum-redundancy code words, by total size."""
+    h = _hist(spark, sf)
+    s = S.index_sizes(h).join(S.huffman_sizes(S.code_lengths(h)), "k")
+    totals = {"raw-copy": "raw", "indexed-raw": "indexed", "indexed-huffman": "huffman"}
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.col(c).alias("total")) for m, c in totals.items()]))
+    return S.choose(s.select("k", each.alias("c")).select("k", "c.method", "c.total")).withColumnRenamed("k", "doc_id")
+
+
 def gate(spark, sf):
     s = S.index_sizes(_hist(spark, sf))
     payload = F.ceil(F.col("n") * F.col("bits") / 8)
@@ -125,6 +134,11 @@ def methods(spark, sf):
     return method(spark, sf).groupBy("method").agg(F.count("*").alias("texts"), F.sum("total").cast("long").alias("bytes"))
 
 
+def coded_methods(spark, sf):
+    """Texts and bytes by chosen method, code words included."""
+    return coded_method(spark, sf).groupBy("method").agg(F.count("*").alias("texts"), F.sum("total").cast("long").alias("bytes"))
+
+
 def payloads(spark, sf):
     """Texts that are equal byte for byte: content hash, length, how many, the first."""
     d = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
@@ -315,6 +329,8 @@ FROM s QUALIFY place <= 3""",
             " w AS (SELECT k, n + 36 AS raw, (n * CAST(greatest(1, ceil(log2(symbols))) AS BIGINT) + 7) // 8 + symbols + 36 AS idx FROM s)"
             " SELECT CASE WHEN idx < raw THEN 'indexed-raw' ELSE 'raw-copy' END AS method, count(*) AS texts, CAST(sum(least(raw, idx)) AS BIGINT) AS bytes FROM w GROUP BY 1",
         ),
+        "c2_choose_coded_method": (coded_method, None),
+        "c1_coded_methods_used": (coded_methods, None),
         "p10_equal_payloads": (payloads, "SELECT md5(coalesce(text, '')) AS hash, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS bytes, count(*) AS copies, min(doc_id) AS first_doc FROM documents GROUP BY 1, 2"),
         "t13_head_bytes": (
             head_bytes,

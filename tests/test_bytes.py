@@ -1,11 +1,14 @@
 """Transforms against direct loops, gaps and packs against round trips."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 from bitloom.operators import byte_stats as S
 from bitloom.operators import gaps as G
 from bitloom.operators import transforms as T
+from bitloom.plans import encodings as E
 from bitloom.streaming import blocks as C
 
 TEXTS = ["", "a", "abcabcabcabc\nxyzxyzxyz\n", "é" * 11, "the quick brown fox " * 9 + "!"]
@@ -90,3 +93,25 @@ def test_corrupt_pack_is_an_error(spark):
     broken = df.withColumn("size", F.col("size") + 1)
     with pytest.raises(Exception, match="expected"):
         C.unpack(broken).collect()
+
+
+def test_coded_choice_is_the_smallest(spark, tmp_path):
+    texts = [*TEXTS, None, "ab", "e" * 400 + "the quick brown fox", "".join(map(chr, range(32, 127))) * 3, "a" * 900 + "b" * 90 + "c" * 9 + "d"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def cost(data):
+        freq = Counter(data)
+        heap, bits = sorted(freq.values()), len(data) if len(freq) == 1 else 0
+        while len(heap) > 1:
+            a, b, *rest = heap
+            bits, heap = bits + a + b, sorted([a + b, *rest])
+        width = max(1, (len(freq) - 1).bit_length())
+        sizes = {"raw-copy": len(data) + 36, "indexed-raw": -(-len(data) * width // 8) + len(freq) + 36, "indexed-huffman": -(-bits // 8) + 2 * len(freq) + 36}
+        name = min(sizes, key=sizes.get)  # the first on ties
+        return name, sizes[name]
+
+    want = {i: cost(t.encode()) for i, t in enumerate(texts) if t}
+    assert {name for name, _ in want.values()} == {"raw-copy", "indexed-raw", "indexed-huffman"}
+    assert {r["doc_id"]: (r["method"], r["total"]) for r in E.coded_method(spark, str(tmp_path)).collect()} == want
+    used = {r["method"]: (r["texts"], r["bytes"]) for r in E.coded_methods(spark, str(tmp_path)).collect()}
+    assert used == {m: (sum(x == m for x, _ in want.values()), sum(n for x, n in want.values() if x == m)) for m in {x for x, _ in want.values()}}
