@@ -53,7 +53,7 @@ STAGES = [
     ("mixing", mix),
 ]
 
-#: A trained classifier has no SQL form; tests hold ``run`` against a brute-force version.
+#: A trained classifier has no SQL form, and no test covers ``run`` as a whole; operators that have SQL are tested against it.
 ORACLE_SQL = None
 
 
