@@ -1,4 +1,4 @@
-"""Quality classifier: a factorisation machine over hashed words, structure statistics and metadata.
+"""Quality classifier: a factorisation machine over hashed words and structure statistics of the text.
 
     y(x) = w0 + sum_i w_i x_i + 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2)
 
@@ -126,7 +126,6 @@ class FactorisationMachine:
         self.w0 = float(np.log(p / (1 - p)))
         gw, gv, g0 = np.full(len(self.w), 1e-2, np.float32), np.full(self.v.shape, 1e-2, np.float32), 1e-2
         rng, ends = np.random.default_rng(seed), np.cumsum(f.count)
-        epochs = max(4, min(epochs, 200_000 // n))
         for _ in range(epochs):
             order = rng.permutation(n)
             for at in range(0, n, batch):

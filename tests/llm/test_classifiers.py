@@ -81,3 +81,12 @@ def test_words_match_a_plain_split():
     flat = [x for xs in want for x in xs]
     assert [bytes(w.data[a:b]) for a, b in zip(w.start, w.end)] == flat
     assert len(set(w.hash.tolist())) == len(set(flat))
+
+
+def test_passes_do_not_depend_on_the_input_size():
+    for n in (640, 12_000):
+        fm = quality.FactorisationMachine()
+        calls, forward = [], fm._forward
+        fm._forward = lambda f: (calls.append(len(f.count)), forward(f))[1]
+        fm.fit(quality.featurise(pa.array([f"w{i % 7}" for i in range(n)])), np.arange(n) % 2, batch=640)
+        assert sum(calls) == 30 * n
