@@ -6,11 +6,15 @@ the number goes through a keyed Feistel permutation of exactly that range, and t
 result is written in the same classes.  So a replacement keeps length, script, case
 and format; equal entities get equal replacements in every document (coreference)
 and different ones of a format get different ones, without any table.  Card numbers
-keep their checksum's validity; given names come from a keyed permutation of the
-given names of the same gender and script.
+keep their checksum's validity.  Given names of the lists move one place along a
+keyed circle of the names of their gender and script, so none stays itself; a
+forename that no list has takes its gender from the title before it and gets an
+ending of that gender; surnames keep an ending that tells a gender.
 
 The collision check is a join: replacements that are themselves entities of the
-corpus, or that two entities share, are drawn again until none is left.
+corpus, or that two entities share, are drawn again until none is left.  From draw
+``DRAWS`` on a replacement grows by one keyed character a draw, so it leaves any
+range that the corpus fills, and the loop ends.
 """
 
 import hashlib
@@ -23,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from bitloom.llm.store import materialize
+from bitloom.llm.store import drop, materialize
 
 #: Given names by script and gender.
 GIVEN = {
@@ -31,7 +35,14 @@ GIVEN = {
     ("latin", "m"): "Adam Albert Bruno Carlos Daniel David Erik Felix Hugo Ivan Jan Karl Leon Lucas Marco Martin Oscar Pablo Paul Peter Simon Thomas".split(),
     ("cyrillic", "f"): "Анна Вера Галина Дарья Елена Ирина Мария Нина Ольга Софья Юлия".split(),
     ("cyrillic", "m"): "Андрей Борис Виктор Григорий Иван Максим Николай Олег Павел Сергей Юрий".split(),
+    ("greek", "f"): "Άννα Βασιλική Δήμητρα Ελένη Ειρήνη Κατερίνα Μαρία Σοφία Χριστίνα".split(),
+    ("greek", "m"): "Αλέξανδρος Γιάννης Γιώργος Δημήτρης Κώστας Μιχάλης Νίκος Παύλος Πέτρος".split(),
 }
+#: Endings of surnames and forenames that tell a gender, longest first.
+ENDINGS = ("ская", "ский", "ова", "ева", "ина", "ов", "ев", "ин", "ая", "ий", "οπούλου", "όπουλος", "ίδου", "ίδης")
+FORENAME = {("latin", "f"): "a", ("latin", "m"): "o", ("cyrillic", "f"): "а", ("cyrillic", "m"): "н", ("greek", "f"): "α", ("greek", "m"): "ς"}
+#: Draws that keep the length; each one after them adds a character.
+DRAWS = 8
 #: Forms of address and the gender they tell.
 TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Herr": "m", "Frau": "f", "Señor": "m", "Señora": "f", "Madame": "f", "Monsieur": "m"}
 _GENDER = {name.lower(): (script, gender) for (script, gender), names in GIVEN.items() for name in names}
@@ -39,13 +50,16 @@ _GENDER = {name.lower(): (script, gender) for (script, gender), names in GIVEN.i
 _ALPHABETS = (
     "0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ",
     "áéíóúàèìòùâêîôûäëïöü", "ÁÉÍÓÚÀÈÌÒÙÂÊÎÔÛÄËÏÖÜ", "çñß", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "АЕИОУЫЭЮЯ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ",
-    "αεηιουω", "βγδζθκλμνξπρστφχψ", "ΑΕΗΙΟΥΩ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ",
+    "αεηιουω", "βγδζθκλμνξπρστφχψ", "ΑΕΗΙΟΥΩ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ", "άέήίόύώ", "ΆΈΉΊΌΎΏ",
+    "åãæõøýÿ", "ÅÃÆÕØÝ", "ðþ", "ÐÞ", "ÇÑ", "йъь", "ЙЪЬ",
 )
 _CLASS = {c: a for a in _ALPHABETS for c in a}
 _HEX = {c: "0123456789abcdef" for c in "0123456789abcdef"}
 _CAPS = {c: "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"}
+#: Marks of secrets and addresses; they are replaced where an entity has nothing else.
+_MARKS = {c: "_-/+" for c in "_-/+"}
 
-_WORD = r"[A-ZÀ-ÖØ-ÞА-Я][a-zß-öø-ÿа-я]+"
+_WORD = r"[A-ZÀ-ÖØ-ÞА-ЯΆΈΉΊΌΎΏΑ-Ω][a-zß-öø-ÿа-яάέήίόύώα-ω]+"
 _NAMES = "|".join(sorted({n for names in GIVEN.values() for n in names}, key=lambda x: (-len(x), x)))
 PATTERN = re.compile(
     r"(?P<email>(?<![\w.+-])[A-Za-z0-9][\w.+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w]))"
@@ -88,8 +102,10 @@ def permute(key: bytes, label: str, x: int, n: int) -> int:
 
 
 def respell(key: bytes, label: str, text: str, classes=_CLASS) -> str:
-    """The text with every classed character replaced inside its class."""
+    """The text with every classed character replaced inside its class; marks only where nothing is classed."""
     kinds = [classes.get(c) for c in text]
+    if not any(kinds):
+        kinds = [_MARKS.get(c) for c in text]
     x, n = 0, 1
     for c, a in zip(text, kinds):
         if a:
@@ -105,6 +121,22 @@ def respell(key: bytes, label: str, text: str, classes=_CLASS) -> str:
     return "".join(reversed(out))
 
 
+def grown(key: bytes, kind: str, canon: str, draw: int) -> str:
+    """Keyed characters that a replacement gets from draw ``DRAWS`` on, one more each."""
+    letters = "0123456789"
+    if kind not in ("phone", "card", "ssn", "ip"):
+        last = next((a for a in map(_CLASS.get, reversed(canon)) if a), "aeiou")
+        letters = last if not last.isupper() or kind == "key" else last.lower()
+    h = int.from_bytes(hashlib.blake2b(f"{kind}|{draw}|{canon}".encode(), key=key).digest(), "big")
+    out = []
+    for i in range(max(0, draw - DRAWS + 1)):
+        if i % 64 == 63:  # a digest has the bits of some 64 characters
+            h = int.from_bytes(hashlib.blake2b(f"{h}".encode(), key=key).digest(), "big")
+        h, at = divmod(h, len(letters))
+        out.append(letters[at])
+    return "".join(out)
+
+
 def luhn(digits: str) -> int:
     return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits))) % 10
 
@@ -118,54 +150,73 @@ def canonical(kind: str, text: str) -> str:
         return _ascii_digits(re.sub(r"[^\d+]", "", text))
     if kind == "ip":
         return _ascii_digits(text)
-    return text.lower() if kind in ("email", "given", "surname") else text
+    return text if kind in ("key", "secret") else text.lower()
+
+
+def script(text: str) -> str:
+    return "cyrillic" if re.search("[а-яА-Я]", text) else "greek" if re.search("[α-ωάέήίόύώΑ-Ω]", text) else "latin"
+
+
+def neighbour(key: bytes, name: str) -> str:
+    """The next name on a keyed circle of the names of a gender and script."""
+    group = _GENDER[name]
+    names = sorted((n.lower() for n in GIVEN[group]), key=lambda n: (hashlib.blake2b(n.encode(), key=key).digest(), n))
+    return names[(names.index(name) + 1) % len(names)]
 
 
 def replacement(key: bytes, kind: str, canon: str, draw: int = 0) -> str:
     """The canonical form that stands for ``canon``; ``draw`` counts collisions."""
-    label = f"{kind}|{draw}"
+    label, more = f"{kind}|{draw}", grown(key, kind, canon, draw)
     if kind == "card":
         # the last digit keeps the checksum's remainder, so valid numbers stay valid
-        body = canon[0] + respell(key, label, canon[1:-1])
+        body = canon[0] + respell(key, label, canon[1:-1]) + more
         want = luhn(canon)
         return next(body + str(c) for c in range(10) if luhn(body + str(c)) == want)
     if kind == "phone":
         head = re.match(r"\+1|\+\d{2}|", canon).group()
         rest = canon[len(head) :]
         out = respell(key, label, rest)
-        while out[0] in "01" and rest[0] not in "01":  # area codes don't begin so
+        while out[:1] in ("0", "1") and rest[:1] not in ("0", "1"):  # area codes don't begin so; a cycle leads back outside
             out = respell(key, label, out)
-        return head + out
+        return head + out + more
+    if kind == "ssn":
+        return respell(key, label, canon) + more
     if kind == "ip":
         x = 0
         for part in canon.split("."):
             x = x * 256 + int(part)
         x = permute(key, label, x, 1 << 32)
-        return ".".join(str(x >> s & 255) for s in (24, 16, 8, 0))
+        return ".".join(str(x >> s & 255) for s in (24, 16, 8, 0)) + (":" + more if more else "")
     if kind == "email":
         head, dot, top = canon.rpartition(".")
-        return respell(key, label, head) + dot + top
+        name, at, host = head.partition("@")
+        return respell(key, label, name) + more + at + respell(key, label + "@", host) + dot + top
     if kind == "key":
-        return canon[:4] + respell(key, label, canon[4:], _CAPS if set(canon[4:]) <= set(_CAPS) else _CLASS)
+        return canon[:4] + respell(key, label, canon[4:], _CAPS if set(canon[4:]) <= set(_CAPS) else _CLASS) + more
     if kind == "secret":
-        return respell(key, label, canon, _HEX if set(canon) <= set(_HEX) else _CLASS)
+        return respell(key, label, canon, _HEX if set(canon) <= set(_HEX) else _CLASS) + more
     if kind == "given":
-        names = GIVEN[_GENDER[canon]]
-        place = [n.lower() for n in names].index(canon)
-        return names[permute(key, label + "|" + "/".join(_GENDER[canon]), place, len(names))].lower()
-    return respell(key, label, canon)
+        return neighbour(key, canon)
+    if kind in ("given_f", "given_m"):
+        end = FORENAME[script(canon), kind[-1]]
+        return respell(key, label, canon[: max(1, len(canon) - len(end))]) + more + end
+    end = next((e for e in ENDINGS if canon.endswith(e) and len(canon) >= len(e) + 3), "")
+    return respell(key, label, canon.removesuffix(end)) + more + end
 
 
 def lay(kind: str, surrogate: str, text: str) -> str:
     """The surrogate in the format of the text that it replaces."""
     if kind in ("ip", "key", "secret"):
         return surrogate
-    if kind == "given":
-        return surrogate.upper() if text.isupper() else surrogate.capitalize()
+    if kind.startswith("given"):
+        return surrogate.upper() if len(text) > 1 and text.isupper() else surrogate.capitalize()
     if kind in ("email", "surname"):
-        return "".join(s.upper() if t.isupper() else s for s, t in zip(surrogate, text))
+        if kind == "surname" and len(surrogate) != len(text):
+            return surrogate.capitalize()
+        return "".join(s.upper() if i < len(text) and text[i].isupper() else s for i, s in enumerate(surrogate))
     digits = iter(re.sub(r"\D", "", surrogate))
-    return "".join(chr(ord(c) - int(c) + int(next(digits))) if c.isdecimal() else c for c in text)
+    out = "".join(chr(ord(c) - int(c) + int(next(digits))) if c.isdecimal() else c for c in text)
+    return out + "".join(digits)
 
 
 def entities(text: str):
@@ -182,8 +233,8 @@ def entities(text: str):
         elif m["titled"] is not None:
             at = m.start("who")
             parts = m["who"].split(" ")
-            if len(parts) == 2 and parts[0].lower() in _GENDER:
-                yield at, at + len(parts[0]), "given"
+            if len(parts) == 2:
+                yield at, at + len(parts[0]), "given" if parts[0].lower() in _GENDER else "given_" + TITLES[m["title"]]
                 at, parts = at + len(parts[0]) + 1, parts[1:]
             for part in parts:
                 yield at, at + len(part), "surname"
@@ -202,10 +253,13 @@ def replace_pii(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: s
     """``docs`` with entities in ``text_col`` replaced, and ``_n_entities``.
 
     Null texts stay null and empty texts empty, with no entities.  Equal entities
-    get equal surrogates in all rows; repeated rows come out alike.  A given name
-    may become another name that the corpus holds (names of a gender are few), but
-    never the same one for two names.  The same key gives the same texts.
+    get equal surrogates in all rows; repeated rows come out alike.  A listed given
+    name may become another name that the corpus holds (names of a gender are few),
+    but never itself, nor the same one for two names.  An entity of marks alone gets
+    other marks.  Where the corpus fills a format, surrogates are longer.  An input
+    column ``_n_entities`` is replaced.  The same key gives the same texts.
     """
+    docs = docs.drop("_n_entities")
     place = docs.columns.index(text_col)
 
     def found(batches):
@@ -228,17 +282,23 @@ def replace_pii(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: s
 
     shape = "kind string, canon string, draw int, made string"
     table = materialize(known.withColumn("draw", F.lit(0)).mapInArrow(drawn, shape), "drawn")
+    family = F.regexp_replace("kind", "_[fm]$", "").alias("family")  # forenames share one name space
+    real = known.select(family, F.col("canon").alias("made")).distinct()
     while True:
-        real = known.where("kind <> 'given'").select("kind", F.col("canon").alias("made"))
-        taken = table.join(real, ["kind", "made"], "left_semi").select("kind", "canon")
-        first = table.groupBy("kind", "made").agg(F.min(F.struct("draw", "canon")).alias("first"), F.count("*").alias("n")).where("n > 1")
-        shared = table.join(first, ["kind", "made"]).where(F.col("canon") != F.col("first.canon")).select("kind", "canon")
+        rows = table.select("*", family)
+        taken = rows.where("kind <> 'given'").join(real, ["family", "made"], "left_semi").select("kind", "canon")
+        first = rows.groupBy("family", "made").agg(F.min(F.struct(F.col("kind") != "given", "draw", "kind", "canon")).alias("first"), F.count("*").alias("n")).where("n > 1")
+        shared = rows.join(first, ["family", "made"]).where((F.col("kind") != F.col("first.kind")) | (F.col("canon") != F.col("first.canon"))).select("kind", "canon")
         again = materialize(taken.union(shared).distinct(), "again")
         if not again.take(1):
+            drop(again)
             break
-        marked = table.join(again.withColumn("redo", F.lit(True)), ["kind", "canon"], "left")
+        before, marked = table, table.join(again.withColumn("redo", F.lit(True)), ["kind", "canon"], "left")
         redo = marked.where("redo").select("kind", "canon", (F.col("draw") + 1).alias("draw")).mapInArrow(drawn, shape)
         table = materialize(marked.where("redo is null").select("kind", "canon", "draw", "made").union(redo), "drawn")
+        drop(before)
+        drop(again)
+    drop(known)
     redrawn = table.where("draw > 0").select("kind", "canon", "draw")
     few = redrawn.count() <= most_sent
     sent = {(r["kind"], r["canon"]): r["draw"] for r in redrawn.collect()} if few else {}
@@ -278,10 +338,12 @@ def replace_pii(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: s
             tag, kind, canon = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(tag, pa.int64()), pa.array(kind, pa.string()), pa.array(canon, pa.string())], names=["_tag", "kind", "canon"])
 
-    tagged = docs.withColumn("_tag", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    per = tagged.select(text_col, "_tag").mapInArrow(owned, "_tag long, kind string, canon string").join(redrawn, ["kind", "canon"])
+    rows = docs.select(F.struct("*").alias("_row"))  # columns of the input can't clash with ours
+    tagged = rows.withColumn("_tag", F.xxhash64(F.coalesce(F.col("_row")[text_col], F.lit(""))))
+    per = tagged.select(F.col("_row")[text_col].alias("text"), "_tag").distinct().mapInArrow(owned, "_tag long, kind string, canon string").join(redrawn, ["kind", "canon"])
     per = per.groupBy("_tag").agg(F.collect_set(F.struct("kind", "canon", "draw")).alias("_own"))
-    return tagged.join(per, "_tag", "left").drop("_tag").select(*docs.columns, "_own").mapInArrow(rewrite, schema)
+    plain = [F.col("_row")[c].alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    return tagged.join(per, "_tag", "left").select(*plain, "_own").mapInArrow(rewrite, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

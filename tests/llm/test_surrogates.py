@@ -68,3 +68,66 @@ def test_secrets_in_env_files_and_json(spark):
     new = S.replacement(KEY, "secret", "abcd1234efgh")
     assert [(got[i]["_n_entities"], got[i]["text"]) for i in range(len(forms))] == [(1, f.format(new)) for f in forms]
     assert not list(S.entities("Token economy: abcdefgh1, a secret place"))
+
+
+def test_marks_and_rare_letters_end(spark):
+    rows = [(1, "password: ________"), (2, "Herr Åø"), (3, "secret=--------+ and Mr. Œ"), (4, "password: ________"), (5, "Frau Ǻx, Ms ΐ, token=/////////")]
+    got = {r["doc_id"]: r["text"] for r in replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect()}
+    assert got[1] == got[4] != rows[0][1] and re.fullmatch(r"password: [_/+-]{8}", got[1])
+    assert got[2].startswith("Herr ") and got[2] != "Herr Åø" and len(got[2]) == 7
+    assert got[3] != rows[2][1] and got[5] != rows[4][1]
+
+
+def test_a_full_format_gets_longer_surrogates(spark):
+    """All 105 two-letter surnames of one shape occur: none can stand for another."""
+    names = [a + b for a in "BCDFGHJKLMNPQRSTVWXYZ" for b in "aeiou"]
+    rows = [(i, f"Mr. {n}") for i, n in enumerate(names)]
+    got = [r["text"].removeprefix("Mr. ") for r in replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect()]
+    assert len(set(got)) == len(names) and not set(got) & set(names)
+    assert all(re.fullmatch("[A-Z][a-z]{2,}", x) for x in got)
+
+
+def test_given_names_never_stay_and_keep_gender(spark):
+    for group, names in S.GIVEN.items():
+        low = [n.lower() for n in names]
+        for key in (KEY, b"a key that the caller keeps"):
+            made = [S.replacement(key, "given", n) for n in low]
+            assert sorted(made) == sorted(low) and all(a != b for a, b in zip(low, made)), group
+    rows = [(1, "Mrs. Zelda Stone and Mr. Zoltan Stone"), (2, "Mrs. Zelda Stone"), (3, "Frau Zelda Petrovski"), (4, "видел Анна Петрова и Борис Петров"), (5, "λέει Ελένη Παπαδοπούλου εδώ")]
+    got = {r["doc_id"]: r["text"] for r in replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect()}
+    her, his = re.fullmatch(r"Mrs\. (\w+a) (\w+) and Mr\. (\w+o) \2", got[1]).group(1, 3)
+    assert her != "Zelda" and his != "Zoltan" and got[2].startswith(f"Mrs. {her} ") and got[3].startswith(f"Frau {her} ")
+    assert re.fullmatch(r"видел (Вера|Галина|Дарья|Елена|Ирина|Мария|Нина|Ольга|Софья|Юлия) \w+ова и (?!Борис)\w+ \w+ов", got[4])
+    assert re.fullmatch(r"λέει (?!Ελένη)\w+ \w+οπούλου εδώ", got[5])
+
+
+def test_distinct_and_coreferent_as_by_brute_force(spark):
+    """Over all entities of a corpus: equal ones become equal, different ones different, none becomes a real one."""
+    import random
+
+    rng = random.Random(6)
+    name = lambda: "".join(rng.choice(x) for x in ("BDLM", "aeio", "nrst", "aeio"))
+    make = [
+        lambda: f"{rng.choice('abc')}{rng.randrange(30)}@h{rng.randrange(3)}.org", lambda: f"10.0.0.{rng.randrange(250)}", lambda: f"{rng.randrange(3):03}-11-{rng.randrange(40):04}",
+        lambda: f"+1 {rng.randrange(20, 40)} {rng.randrange(10, 60)}", lambda: f"Mr. {name()}", lambda: f"Mrs. {name()} {name()}", lambda: f"token={rng.randrange(10**7, 10**8)}", lambda: f"Maria {name()}",
+    ]
+    texts = [", then ".join(rng.choice(make)() for _ in range(rng.randrange(1, 6))) for _ in range(400)]
+    got = [r["text"] for r in replace_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), KEY).orderBy("doc_id").collect()]
+    named: dict = {}
+    for before, after in zip(texts, got):
+        parts = after.split(", then ")
+        for a, b in zip(before.split(", then "), parts):
+            ours, theirs = [(k, S.canonical(k, a[x:y])) for x, y, k in S.entities(a)], [S.canonical(k, b[x:y]) for x, y, k in S.entities(b)]
+            assert len(ours) == len(theirs) > 0, (a, b)
+            for entity, made in zip(ours, theirs):
+                assert named.setdefault(entity, made) == made
+    for kind in {k for k, _ in named}:
+        real, made = {c for k, c in named if k == kind}, [m for (k, _), m in named.items() if k == kind]
+        assert len(set(made)) == len(made) and (kind == "given" or not real & set(made)), kind
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "Mr. Stone", 5, "x", 7)], "doc_id long, text string, _n_entities long, _tag string, _own int")
+    for limit in (100_000, -1):
+        (row,) = replace_pii(df, KEY, most_sent=limit).collect()
+        assert (row["_n_entities"], row["_tag"], row["_own"]) == (1, "x", 7) and row["text"] != "Mr. Stone"
