@@ -19,13 +19,22 @@ these too, and in such a pair the smaller number is above x + 1.
 
 Jobs: one pass over the texts makes size, a 128-bit digest of the set and a parity
 sketch; equal sets are folded by digest; a second pass makes the index rows of one
-text of each set, which meet by a shuffle on their hash and are streamed in sorted order; groups with the same
-members are folded; pairs in a group that the sketch can't refute (the parity
-sketch never counts more differences than there are) form coarse classes; inside
-these, whole sets are compared exactly.  Blocks of at most ``BLOCK`` sets keep a
-task's memory bounded; a group of n sets costs no more rows than n times its blocks.
+text of each set.  A task merges its rows of one key before the shuffle, and the
+reducer streams sorted rows, holding ``BLOCK`` ids of a key at most.  Groups with
+the same members are folded, long ones by their smallest member.  Pairs in a group
+that the sketch can't refute (the parity sketch never counts more differences than
+there are) form coarse classes; inside these, whole sets are compared exactly.
+
+Large groups.  No task compares more than two blocks of about ``BLOCK`` sets.  The
+blocks of a larger group first meet some of its members, the pivots: n sets cost n
+rows and a few pivots a block.  What the pivots link needs no more comparisons among
+itself; only sets in different components still meet, block by block, so a group of
+near copies costs rows in proportion to its size, times the blocks of sets that no
+pivot links.
 """
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -34,18 +43,23 @@ from pyspark.sql import functions as F
 
 from bitloom.llm import kernels as K
 from bitloom.llm.components import connected_components
-from bitloom.llm.store import materialize
-
-BLOCK = 2048
+from bitloom.llm.store import drop, materialize
+
+#: Sets of one side of a comparison; also the ids of one key that a task holds.
+BLOCK = 256
+#: Pivots of a large group in each round.
+PIVOTS = 12
+#: Index rows that a task merges by key before they are shuffled.
+MERGED = 1 << 20
 BAND = 1.4
 
 
 class Bands:
     """Size bands and the partition of each: ``(low, high, H, x, m)``."""
 
-    def __init__(self, num: int, den: int):
-        #: sets link when den * |intersection| >= num * |union|
-        self.num, self.den = num, den
+    def __init__(self, num: int, den: int, means: dict[int, float] | None = None):
+        #: sets link when den * |intersection| >= num * |union|; ``means`` has mean sizes by band
+        self.num, self.den, self.means = num, den, means or {}
         self.edges = [1]
         while self.edges[-1] < 1 << 40:
             self.edges.append(max(self.edges[-1] + 1, int(self.edges[-1] * BAND)))
@@ -60,27 +74,36 @@ class Bands:
         return np.searchsorted(self.edges, size, side="right") - 1
 
     def plan(self, band: int) -> tuple[int, int, int]:
-        """H, spare segments and segments of a band, by the expected index rows of a middling set."""
+        """H, spare segments and segments of a band: the spare with the fewest expected index rows
+        of a set of the band's mean size, as counted, or of a middling set where none was."""
         if band not in self.plans:
             low, high = int(self.edges[band]), int(self.edges[band + 1]) - 1
             most = self.distance(high, high)
-            mid = (low * high) ** 0.5
-            best = None
-            for x in range(0, 2 + most // 8 + 8):
+            mid = self.means.get(band, (low * high) ** 0.5)
+
+            def cost(x: int) -> float:
                 m = most + 1 + x
-                mean = m * np.exp(-mid / m)
-                # chance that a set has more than x empty segments (Poisson)
-                p = term = np.exp(-mean)
-                for i in range(1, x + 1):
-                    term *= mean / i
-                    p += term
-                cost = m + max(0.0, 1 - p) * mid
-                if best is None or cost < best[0]:
-                    best = (cost, x, m)
-            self.plans[band] = (most, best[1], best[2])
+                return m + above(x, m * math.exp(-mid / m)) * mid
+
+            # beyond a few dozens the best spare lies some spreads above the expected empty segments
+            around = (most + 1) * math.exp(-mid / (most + 1))
+            steps = {x for x in range(64)} | {int(around * (1 + i / 16) + 6 * around**0.5 * i / 16) for i in range(17)}
+            x = min((x for x in steps if x < 2 + most // 8 + 8), key=lambda x: (cost(x), x))
+            self.plans[band] = (most, x, most + 1 + x)
         return self.plans[band]
 
 
+def above(x: int, mean: float) -> float:
+    """Chance that a Poisson variable exceeds x: the sum for small ones, else the normal limit."""
+    if mean > 50:
+        return 0.5 * math.erfc((x + 0.5 - mean) / (2 * mean) ** 0.5)
+    term = total = math.exp(-mean)
+    for i in range(1, x + 1):
+        term *= mean / i
+        total += term
+    return max(0.0, 1 - total)
+
+
 def index_rows(tokens: np.ndarray, bands: Bands) -> np.ndarray:
     """Hashes under which one set (sorted distinct 64-bit tokens) meets its partners."""
     n = len(tokens)
@@ -147,7 +170,7 @@ def doc_sets(texts, k: int):
 
 def _summaries(k: int):
     def run(batches):
-        for batch in batches:
+        for batch in K.pieces(batches, 1):
             values, counts = doc_sets(batch.column(1), k)
             ends = np.cumsum(counts)
             h1, h2 = np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
@@ -169,54 +192,100 @@ def _summaries(k: int):
 
 
 def _index(k: int, bands: Bands):
-    """Rows ``key, id`` of the index, a few thousand texts' worth at most at a time."""
+    """Rows ``key, id, more`` of the index: an id, and other ids of the same key as bytes."""
+
+    def merged(keys, ids):
+        keys, ids = np.concatenate(keys), np.concatenate(ids)
+        order = np.argsort(keys)
+        keys, ids = keys[order], ids[order]
+        new = np.ones(len(keys), dtype=bool)
+        new[1:] = keys[1:] != keys[:-1]
+        run = np.cumsum(new) - 1
+        if not new.all():
+            several = np.flatnonzero(np.bincount(run)[run] > 1)
+            ids[several] = ids[several][np.lexsort((ids[several], keys[several]))]
+        # rows of at most BLOCK ids
+        place = np.arange(len(keys)) - np.flatnonzero(new)[run]
+        head = place % BLOCK == 0
+        at = np.flatnonzero(head)
+        counts = np.diff(np.append(at, len(keys)))
+        lone = counts == 1
+        offsets = np.zeros(len(at) + 1, dtype=np.int32)
+        np.cumsum((counts - 1) * 8, out=offsets[1:])
+        valid = pa.py_buffer(np.packbits(~lone, bitorder="little"))
+        more = pa.Array.from_buffers(pa.binary(), len(at), [valid, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(ids[~head]))])
+        return pa.RecordBatch.from_arrays([pa.array(keys[at].view(np.int64)), pa.array(ids[at]), more], names=["key", "id", "more"])
 
     def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                values, counts = doc_sets(part.column(1), k)
-                ends = np.cumsum(counts)
-                rows = [index_rows(values[a:b], bands) for a, b in zip((ends - counts).tolist(), ends.tolist()) if a < b]
-                owner = part.column(0).to_numpy()[counts > 0]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows).view(np.int64)), pa.array(np.repeat(owner, [len(x) for x in rows]))], names=["key", "id"])
+        keys, ids, held = [], [], 0
+        for batch in K.pieces(batches, 1, 1 << 22):
+            values, counts = doc_sets(batch.column(1), k)
+            ends = np.cumsum(counts)
+            rows = [index_rows(values[a:b], bands) for a, b in zip((ends - counts).tolist(), ends.tolist()) if a < b]
+            owner = batch.column(0).to_numpy()[counts > 0]
+            if rows:
+                keys.append(np.concatenate(rows))
+                ids.append(np.repeat(owner, [len(x) for x in rows]))
+                held += len(keys[-1])
+            if held >= MERGED:
+                yield merged(keys, ids)
+                keys, ids, held = [], [], 0
+        if held:
+            yield merged(keys, ids)
 
     return run
 
 
 def _groups(batches):
-    """Members of each key, streamed from rows sorted by (key, id): one row per group of
-    two or more with a digest of its members.  A long group is cut into chunks that
-    share its key's name, and only names travel twice."""
-    tail_key, tail_ids = None, np.zeros(0, np.int64)
+    """Members of each key, streamed from rows sorted by (key, id): ``g, id`` of groups of two
+    or more.  A group of up to BLOCK ids is named by its members; a longer one by its smallest
+    id, so that the keys of one family make one group, and its ids go out as they come."""
+    open_key, tail, long_name = None, np.zeros(0, np.int64), None
 
-    def close(keys, ids):
-        edges = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1 if len(keys) else 0))
-        counts = np.diff(np.append(edges, len(keys)))
-        big = counts > 1
-        if not big.any():
-            return None
-        pick = K.arange_runs(edges[big], counts[big])
-        members = ids[pick]
+    def named(ids, starts, counts):
         with np.errstate(over="ignore"):
-            starts = np.cumsum(counts[big]) - counts[big]
-            name = np.add.reduceat(K.mix(members.view(np.uint64) + K.U64(0x9E3779B97F4A7C15)), starts)
-            name = K.mix(name + counts[big].astype(np.uint64))
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(name, counts[big]).view(np.int64)), pa.array(members)], names=["g", "id"])
+            total = np.add.reduceat(K.mix(ids.view(np.uint64) + K.U64(0x9E3779B97F4A7C15)), starts)
+            short = K.mix(total + counts.astype(np.uint64))
+        return np.where(counts > BLOCK, K.mix(ids[starts].view(np.uint64) ^ K.U64(0xD1B54A32D192ED03)), short)
+
+    def rows(g, ids):
+        return pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(ids)], names=["g", "id"])
 
     for batch in batches:
-        keys, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if not len(keys):
+        if not batch.num_rows:
             continue
-        if tail_key is not None:
-            keys, ids = np.concatenate([np.full(len(tail_ids), tail_key), keys]), np.concatenate([tail_ids, ids])
-        last = int(np.searchsorted(keys, keys[-1], side="left"))
-        tail_key, tail_ids = keys[-1], ids[last:]
-        if last and (out := close(keys[:last], ids[:last])) is not None:
-            yield out
-    if tail_key is not None and (out := close(np.full(len(tail_ids), tail_key), tail_ids)) is not None:
-        yield out
+        more, ends = K.utf8(batch.column(2))
+        size = 1 + np.diff(ends) // 8
+        first = np.cumsum(size) - size
+        ids = np.empty(int(size.sum()), dtype=np.int64)
+        head = np.zeros(len(ids), dtype=bool)
+        head[first] = True
+        ids[first] = batch.column(0 + 1).to_numpy()
+        ids[~head] = np.frombuffer(more.tobytes(), dtype=np.int64)
+        keys = np.repeat(batch.column(0).to_numpy(), size)
+        if long_name is not None:  # the open key's further members
+            n = int(np.searchsorted(keys, open_key, side="right"))
+            if n:
+                yield rows(np.full(n, long_name), ids[:n])
+            keys, ids = keys[n:], ids[n:]
+            if not len(keys):
+                continue
+            long_name, tail = None, tail[:0]
+        elif len(tail):
+            keys, ids = np.concatenate([np.full(len(tail), open_key), keys]), np.concatenate([tail, ids])
+        edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        counts = np.diff(np.append(edges, len(keys)))
+        open_key, tail = keys[-1], ids[edges[-1] :]
+        if len(tail) > BLOCK:
+            long_name = named(tail, np.zeros(1, np.int64), np.array([len(tail)]))[0]
+            yield rows(np.full(len(tail), long_name), tail)
+        big = np.flatnonzero(counts[:-1] > 1)
+        if len(big):
+            members = ids[K.arange_runs(edges[big], counts[big])]
+            name = named(members, np.cumsum(counts[big]) - counts[big], counts[big])
+            yield rows(np.repeat(name, counts[big]), members)
+    if long_name is None and len(tail) > 1:
+        yield rows(np.repeat(named(tail, np.zeros(1, np.int64), np.array([len(tail)])), len(tail)), tail)
 
 
 class Forest:
@@ -274,7 +343,7 @@ def _coarse(bands: Bands):
         for p in left.tolist():
             for w, (rows, rest) in table.items():
                 cand = rows[right[rows]]
-                if side[p] == 2:
+                if side[p] != 0:
                     cand = cand[cand > p]
                 cand = cand[np.minimum(n[cand], n[p]) * bands.den >= np.maximum(n[cand], n[p]) * bands.num]
                 cand = cand[forest.roots()[cand] != forest.find(p)]
@@ -299,7 +368,7 @@ def _exact(bands: Bands):
         left, right = _left_right(side)
         everyone = np.flatnonzero(right)
         for p in left.tolist():
-            cand = everyone[everyone > p] if side[p] == 2 else everyone
+            cand = everyone[everyone > p] if side[p] != 0 else everyone
             cand = cand[np.minimum(n[cand], n[p]) * bands.den >= np.maximum(n[cand], n[p]) * bands.num]
             step = 4
             while len(cand):
@@ -320,9 +389,12 @@ def _exact(bands: Bands):
 
 
 def _left_right(side):
-    """Places of the left side, and a mask of the right; on the diagonal both are all rows."""
+    """Places of the left side, and a mask of the right.  Sides: -1 pivots (left; right for earlier
+    ones), 0 left, 1 right, 2 both (a block with itself).  Rows are sorted by side."""
     if len(side) and side[0] == 2:
         return np.arange(len(side)), np.ones(len(side), bool)
+    if len(side) and side[0] == -1:
+        return np.flatnonzero(side == -1), np.ones(len(side), bool)
     return np.flatnonzero(side == 0), side == 1
 
 
@@ -331,7 +403,7 @@ def _pairs(side):
     right = np.flatnonzero(right).tolist()
     for p in left.tolist():
         for q in right:
-            if side[p] != 2 or q > p:
+            if side[p] == 0 or q > p:
                 yield p, q
 
 
@@ -342,17 +414,69 @@ def _folded(bits: int, size: int, to: int) -> int:
     return bits
 
 
-def _blocked(members: DataFrame) -> DataFrame:
-    """``g, id`` -> ``id, _pair, _side``: the block pairs in which each member takes part.
-
-    A group of up to BLOCK members is one pair, a block with itself."""
-    sizes = members.groupBy("g").agg(F.count("*").alias("_size")).where(F.col("_size") > 1)
-    sizes = sizes.withColumn("_blocks", F.ceil(F.col("_size") / BLOCK).cast("int"))
-    rows = members.join(sizes, "g").withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
-    # a block meets every block: as the left side of later ones, the right side of earlier ones
-    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    side = F.when(F.col("_own") == F.col("_other"), 2).when(F.col("_own") < F.col("_other"), 0).otherwise(1)
-    return rows.select("id", F.xxhash64("g", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("_pair"), side.alias("_side"))
+def _group_links(groups: DataFrame, payload, links) -> DataFrame:
+    """Links ``a, b`` inside groups (``g, id``, distinct, materialised): enough to span all that there are.
+
+    ``payload`` adds what ``links`` compares to rows ``id, _pair, _side``.  Groups of up to
+    BLOCK members are one comparison.  Larger ones go through rounds of pivots, as long as each
+    leaves a fifth fewer sets outside of large components; then blocks of different components meet."""
+    sizes = materialize(groups.groupBy("g").agg(F.count("*").alias("_size")).where(F.col("_size") > 1), "sizes")
+    large = _few(sizes.where(F.col("_size") > BLOCK))
+    rows = groups.join(sizes.where(F.col("_size") <= BLOCK), "g", "left_semi").select("id", F.col("g").alias("_pair"), F.lit(2).alias("_side"))
+    if not large.take(1):
+        found = materialize(_links(payload(rows), links).distinct(), "links")
+        drop(sizes)
+        return found
+    big = materialize(groups.join(large, "g"), "large")
+    rows = rows.union(_with_pivots(big, F.col("_size"), 0))
+    found = materialize(_links(payload(rows), links).distinct(), "links")
+    outside, turn = None, 0
+    while True:
+        # members by component; small components count as outside
+        label = connected_components(found)
+        parts = big.join(label.select(F.col("node").alias("id"), "label"), "id", "left").select("g", "id", "_size", F.coalesce("label", "id").alias("c"))
+        parts = materialize(parts, "parts")
+        whole = parts.groupBy("g", "c").agg(F.count("*").alias("_part")).where(F.col("_part") >= BLOCK)
+        parts = parts.join(_few(whole), ["g", "c"], "left")
+        loose = parts.where("_part IS NULL").groupBy("g").agg(F.count("*").alias("_loose"))
+        parts = materialize(parts.join(_few(loose), "g", "left").withColumn("_loose", F.coalesce("_loose", F.lit(0))), "parts")
+        many = parts.where((F.col("_part").isNull()) & (F.col("_loose") > BLOCK)).count()
+        if not many or (outside is not None and many > 0.8 * outside):
+            break
+        outside, turn = many, turn + 1
+        again = parts.where(F.col("_loose") > BLOCK)
+        chosen = F.col("_part").isNull() & (F.pmod(F.xxhash64("id", F.lit(turn)), F.col("_loose")) < PIVOTS)
+        found = materialize(found.union(_links(payload(_with_pivots(again, None, turn, chosen)), links)).distinct(), "links")
+    rest = materialize(_across(parts), "across")
+    if not rest.take(1):
+        return found
+    return materialize(found.union(_links(payload(rest), links)).distinct(), "links")
+
+
+def _with_pivots(big: DataFrame, base, turn: int, chosen=None) -> DataFrame:
+    """``g, id, _size`` -> ``id, _pair, _side``: members in blocks, each with all pivots of the group."""
+    chunks = F.ceil(F.col("_size") / BLOCK).cast("int")
+    chosen = F.pmod(F.xxhash64("id", F.lit(turn)), base) < PIVOTS if chosen is None else chosen
+    pair = lambda at: F.xxhash64("g", at, F.lit(turn)).alias("_pair")
+    members = big.select("id", pair(F.pmod(F.xxhash64("id"), chunks).cast("int")), F.lit(1).alias("_side"))
+    pivots = big.where(chosen).select("g", "id", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("_at"))
+    return members.union(pivots.select("id", pair(F.col("_at")), F.lit(-1).alias("_side")))
+
+
+def _across(parts: DataFrame) -> DataFrame:
+    """``id, _pair, _side`` of the block pairs whose sets no component holds together."""
+    small = F.col("_part").isNull()
+    n = F.ceil(F.when(small, F.col("_loose")).otherwise(F.col("_part")) / BLOCK).cast("int")
+    parts = parts.withColumn("_c", F.when(small, F.lit(None)).otherwise(F.col("c")))
+    parts = parts.withColumn("_block", F.xxhash64("g", "_c", F.pmod(F.xxhash64("id"), n)))
+    unit = _few(parts.select("g", "_c", "_block").distinct())
+    a, b = unit.alias("a"), unit.select("g", F.col("_c").alias("_d"), F.col("_block").alias("_other")).alias("b")
+    apart = F.col("_c").isNull() | F.col("_d").isNull() | (F.col("_c") != F.col("_d"))
+    pairs = a.join(b, "g").where((F.col("_block") < F.col("_other")) & apart | (F.col("_block") == F.col("_other")) & F.col("_c").isNull())
+    pairs = pairs.select("_block", "_other", F.xxhash64("g", "_block", "_other").alias("_pair"))
+    ends = pairs.select(F.col("_block"), "_pair", F.when(F.col("_block") == F.col("_other"), 2).otherwise(0).alias("_side"))
+    ends = ends.union(pairs.where(F.col("_block") != F.col("_other")).select(F.col("_other").alias("_block"), "_pair", F.lit(1).alias("_side")))
+    return parts.join(ends, "_block").select("id", "_pair", "_side")
 
 
 def _links(rows: DataFrame, links) -> DataFrame:
@@ -404,7 +528,6 @@ def link_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_
     one document with several texts, all in one component.  A null id keeps
     ``n_shingles`` and has a null component.
     """
-    bands = Bands(num, den)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     made = materialize(texts.mapInArrow(_summaries(k), "id long, n long, h1 long, h2 long, sketch binary"), "sets")
     full = made.where((F.col("n") > 0) & F.col("id").isNotNull())
@@ -413,23 +536,33 @@ def link_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_
     if same_id.take(1):  # repeated rows are read once
         texts = texts.withColumn("_tag", F.xxhash64("text")).dropDuplicates(["id", "_tag"]).select("id", "text")
 
+    # sizes as counted, by band: some hundred rows at most
+    edges = F.array(*[F.lit(int(e)) for e in Bands(num, den).edges.tolist()])
+    band = F.size(F.filter(edges, lambda e: e <= F.col("n"))) - 1
+    sizes = reps.groupBy("n").agg(F.count("*").alias("c")).groupBy(band.alias("band")).agg((F.sum(F.col("n") * F.col("c")) / F.sum("c")).alias("mean"))
+    bands = Bands(num, den, {r["band"]: r["mean"] for r in sizes.collect()})
+
     # the lowest id of equal sets stands for all; it alone goes into the index
     chosen = _few(reps.select(F.col("rep").alias("id")).distinct())
-    rows = texts.join(chosen, "id", "left_semi").mapInArrow(_index(k, bands), "key long, id long")
+    rows = texts.join(chosen, "id", "left_semi").mapInArrow(_index(k, bands), "key long, id long, more binary")
     groups = rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_groups, "g long, id long").distinct()
-    member = _blocked(materialize(groups, "groups"))
+    groups = materialize(groups, "groups")
     info = full.join(chosen, "id", "left_semi").select("id", "n", "h1", "sketch").dropDuplicates(["id", "h1"]).drop("h1")
-    coarse = _links(member.join(info, "id").select("_pair", "_side", "id", "n", "sketch"), _coarse(bands))
-    coarse = materialize(connected_components(materialize(coarse.distinct(), "coarse")), "classes")
-    wanted = _few(_blocked(coarse.select(F.col("node").alias("id"), F.col("label").alias("g"))))
+    coarse = _group_links(groups, lambda rows: rows.join(info, "id").select("_pair", "_side", "id", "n", "sketch"), _coarse(bands))
+    drop(groups)
+    coarse = connected_components(coarse)
+    coarse = materialize(coarse.select(F.col("label").alias("g"), F.col("node").alias("id")), "classes")
 
     def tokens(batches):
-        for batch in batches:
+        for batch in K.pieces(batches, 1):
             values, counts = doc_sets(batch.column(1), k)
             yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), batch.column(0), pa.array(counts), K.blobs(values.view(np.uint8), counts * 8)], names=["_pair", "_side", "id", "n", "tokens"])
 
-    some = texts.join(wanted, "id").select("id", "text", "_pair", "_side").mapInArrow(tokens, "_pair long, _side int, id long, n long, tokens binary")
-    links = _links(some.where("n > 0"), _exact(bands))
+    def whole(rows):
+        some = texts.join(_few(rows), "id").select("id", "text", "_pair", "_side")
+        return some.mapInArrow(tokens, "_pair long, _side int, id long, n long, tokens binary").where("n > 0")
+
+    links = _group_links(coarse, whole, _exact(bands))
     links = links.union(full.join(reps, ["h1", "h2", "n"]).join(same_id, "id", "left_semi").select(F.col("id").alias("a"), F.col("rep").alias("b")))
     label = connected_components(materialize(links.distinct(), "links"))
     label = label.select(F.col("node").alias("rep"), "label")

@@ -77,6 +77,16 @@ def spans(offsets: np.ndarray, limit: int = SPAN, most: int = 50_000):
         at = to
 
 
+def pieces(batches, column: int, limit: int = 1 << 26):
+    """The batches in slices of about ``limit`` bytes of text (a longer text is a slice of its own),
+    so that what a kernel makes of one stays under the limits of Arrow's offsets."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64)
+        offsets = np.concatenate([[0], np.cumsum(size)])
+        for a, b in spans(offsets, limit, len(size)) if len(size) else [(0, 0)]:
+            yield batch.slice(a, b - a)
+
+
 class Words:
     """Words of a run of documents: ``start``/``end`` byte offsets, ``hash`` and
     ``first`` (index of each document's first word, one entry more than documents)."""

@@ -1,6 +1,8 @@
 import random
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from bitloom.llm import jaccard_join as J
@@ -75,3 +77,55 @@ def test_index_misses_no_pair():
             continue
         x, y = (np.array(sorted(s), dtype=np.uint64) for s in (a, b))
         assert np.intersect1d(index_rows(x, bands), index_rows(y, bands)).size, size
+
+
+def test_bands_of_a_million_words_are_planned_at_once():
+    began = time.perf_counter()
+    for band in range(int(Bands(80, 100).of(5_000_000)) + 1):
+        most, spare, m = Bands(80, 100).plan(band)
+        assert m == most + 1 + spare and spare >= 0
+    assert time.perf_counter() - began < 0.5
+
+
+def test_streamed_groups_hold_all_pairs_of_a_key(monkeypatch):
+    """Rows of a task merged by key, then streamed in small batches: members of a key meet in a group."""
+    monkeypatch.setattr(J, "BLOCK", 8)
+    rng = random.Random(7)
+    held = [(rng.choice([1, 1, 1, 2, 3, *range(4, 400)]), i) for i in range(1500)]
+    keys, ids = (np.array(x) for x in zip(*sorted(held)))
+    rows = []
+    for key in np.unique(keys).tolist():  # ids of a key come in rows of different lengths
+        mine = ids[keys == key].tolist()
+        while mine:
+            n = rng.randrange(1, 9)
+            rows.append((key, mine[0], np.array(mine[1:n], dtype=np.int64).tobytes() if n > 1 and len(mine) > 1 else None))
+            mine = mine[n:]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 7]), (pa.int64(), pa.int64(), pa.binary()))], names=["key", "id", "more"]) for a in range(0, len(rows), 7)]
+    groups: dict = {}
+    for out in J._groups(batches):
+        for g, i in zip(*(c.to_pylist() for c in out.columns)):
+            groups.setdefault(g, set()).add(i)
+    for key in np.unique(keys).tolist():
+        mine = set(ids[keys == key].tolist())
+        assert len(mine) == 1 or any(mine <= g for g in groups.values())
+
+
+def test_large_group_of_near_copies(spark):
+    """Near copies beyond a block: drifting families that pivots join only in part, and a hub that no other links."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(500)}" for _ in range(100)]
+    rows = []
+    for i in range(900):
+        words = list(base)
+        start = rng.randrange(0, 88)
+        for j in range(rng.randrange(0, 9)):
+            words[start + j] = f"x{i % 60}_{j}"
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, " ".join(base[:60] + [f"y{i}_{j}" for j in range(40)])) for i in range(300)]
+    got = link_classes(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80, 100).collect()
+    assert {r["id"]: r["component_id"] for r in got} == brute(rows, 3, 80, 100)
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", 1, 2, 3), (2, "a b c d e f", 1, 2, 3)], "doc_id long, text string, g int, id int, _pair int")
+    assert {(r["id"], r["component_id"]) for r in link_classes(df).collect()} == {(1, 1), (2, 1)}
