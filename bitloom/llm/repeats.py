@@ -5,15 +5,17 @@ anchor), and equal strings have equal anchors at the same offset.  The strings o
 one anchor form one context, at most 336 bytes of text, so each start of a string
 lies in exactly one context and equal strings meet under one anchor hash.
 
-1. One pass makes a row per context: anchor hash, context hash, place.
-2. The rows meet by anchor hash in sorted order.  Contexts that are equal as a
-   whole are copies: all their bytes go, and one of them stands for the run.
+1. One pass makes a row per context: anchor hash, context hash, place.  Contexts that
+   are equal as a whole are copies: all their bytes go.  A task settles the copies
+   that it sees itself; one of each goes on, so a passage that a third of all texts
+   hold arrives at its anchor as a few rows a task.
+2. These meet by anchor hash in sorted order, which settles the copies between tasks.
 3. Where an anchor has several different contexts, one of each is fetched and a
    run-length index decides which of their strings match: the contexts' text is
-   suffix-sorted, its Burrows-Wheeler transform is cut into runs, longest common
-   prefixes are computed at the run ends only, and streaming through the text in
-   order gives the matching statistics of all other places (each at least the one
-   before less one, and equal to it inside a run).
+   suffix-sorted, its Burrows-Wheeler transform is kept as runs with the text places
+   of their ends, longest common prefixes are computed at the run ends only, and
+   streaming through the text in order gives the matching statistics of all other
+   places (each at least the one before less one, and equal to it inside a run).
 4. The intervals of each text are merged and cut out.
 
 Equality of contexts is decided by 128 bits of hashes, equality of strings inside
@@ -37,6 +39,8 @@ CHUNK = 1 << 19
 GROUP = 20_000
 #: Bytes of context text in one index.
 TEXT = 1 << 20
+#: Contexts that a task compares with each other before they are shuffled.
+MERGED = 1 << 19
 
 
 def contexts(data: np.ndarray, offsets: np.ndarray, length: int):
@@ -82,8 +86,24 @@ def _pieces(offsets: np.ndarray, length: int):
 
 
 def _anchor_rows(length: int):
+    """Rows ``settled, h, ctx, id, tag, lo, hi``: places that have a copy in the same task are
+    settled, and one row of each context that is not settled stands for it at its anchor."""
+
+    def merged(held):
+        table = pa.concat_tables(held).combine_chunks()
+        h, ctx = table.column(0).to_numpy(), table.column(1).to_numpy()
+        order = np.lexsort((ctx, h))
+        h, ctx = h[order], ctx[order]
+        new = np.ones(len(h), dtype=bool)
+        new[1:] = (h[1:] != h[:-1]) | (ctx[1:] != ctx[:-1])
+        lone = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] == 1
+        for settled, rows in ((True, order[~lone]), (False, order[new])):
+            part = table.take(pa.array(rows)).combine_chunks()
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), settled)), *[c.combine_chunks() for c in part.columns]], names=["settled", *part.column_names])
+
     def run(batches):
-        for batch in batches:
+        held, rows = [], 0
+        for batch in K.pieces(batches, 2):
             data, offsets = K.utf8(batch.column(2))
             ids, tags = batch.column(0), batch.column(1)
             for a, b, begin, end in _pieces(offsets, length):
@@ -94,10 +114,14 @@ def _anchor_rows(length: int):
                 doc, gram, ctx, lo, hi = got
                 shift = begin - int(offsets[a]) if b == a + 1 else 0
                 take = pa.array(doc + a)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(gram.view(np.int64)), pa.array(ctx.view(np.int64)), ids.take(take), tags.take(take), pa.array(lo + shift), pa.array(hi + shift)],
-                    names=["h", "ctx", "id", "tag", "lo", "hi"],
-                )
+                columns = [pa.array(gram.view(np.int64)), pa.array(ctx.view(np.int64)), ids.take(take), tags.take(take), pa.array(lo + shift), pa.array(hi + shift)]
+                held.append(pa.table(columns, names=["h", "ctx", "id", "tag", "lo", "hi"]))
+                rows += len(doc)
+                if rows >= MERGED:
+                    yield from merged(held)
+                    held, rows = [], 0
+        if held:
+            yield from merged(held)
 
     return run
 
@@ -106,7 +130,7 @@ PLACE = "h long, ctx long, id long, tag long, lo long, hi long"
 
 
 def _meet(batches):
-    """Rows sorted by (h, ctx): ``kind`` 0 for contexts with equal copies, 1 for one of
+    """Rows sorted by (settled, h, ctx): ``kind`` 0 for contexts with equal copies, 1 for one of
     each of several different contexts under one anchor.  Holds one row between batches."""
     held, first_ctx = None, None
 
@@ -137,9 +161,13 @@ def _meet(batches):
 
     copied = None
     for batch in batches:
-        if not batch.num_rows:
-            continue
         table = pa.Table.from_batches([batch])
+        settled = table.column(0).to_numpy()
+        table = table.drop_columns("settled")
+        yield from _kinds(table, settled, np.zeros(len(settled), bool))
+        table = table.filter(pa.array(~settled))
+        if not len(table):
+            continue
         table = table if held is None else pa.concat_tables([held, table])
         copy, amb, copied, end = decide(table, True)
         held = table.slice(end)
@@ -158,80 +186,88 @@ def _kinds(table, copy, amb):
 
 
 class RunLengthIndex:
-    """Run-compressed Burrows-Wheeler transform of context texts with samples at run ends."""
+    """Run-compressed Burrows-Wheeler transform of context texts with samples at run ends.
+
+    Kept are, for each run, its letter (``chars``) and length (``lengths``), the text places of
+    its first and last suffix, and the common prefix of its first suffix with the one above."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         """``data`` joins the contexts; each gets an end mark of its own after it."""
         n, docs = len(data) + len(offsets) - 1, len(offsets) - 1
         text = np.full(n + 8, 255, dtype=np.uint8)
-        self.begin = offsets[:-1] + np.arange(docs)
+        self.begin, self.n = offsets[:-1] + np.arange(docs), n
         text[K.arange_runs(self.begin, np.diff(offsets))] = data
-        self.text, self.n = text[:n], n
         doc = np.repeat(np.arange(docs, dtype=np.int32), np.diff(offsets) + 1)
-        self.left = ((self.begin + np.diff(offsets))[doc] - np.arange(n)).astype(np.int32)  # bytes before the end mark
-        packed = np.zeros(n, dtype=np.uint64)
-        for j in range(8):
-            packed = (packed << np.uint64(8)) | np.where(self.left >= j, text[j : n + j], np.uint8(0))
-        order = np.argsort(packed).astype(np.int32)
-        new = np.ones(n + 1, dtype=bool)
-        new[1:n] = packed[order[1:]] != packed[order[:-1]]
-        del packed
-        # the rank of a suffix is the place of its group's first one, so settled suffixes keep theirs
-        rank = np.empty(n, dtype=np.int32)
-        rank[order] = np.maximum.accumulate(np.where(new[:n], np.arange(n, dtype=np.int32), 0))
-        self.ranks, width = [rank.copy()], 8
-        while len(slots := np.flatnonzero(~(new[:-1] & new[1:]))):
-            at = order[slots]
-            ended = self.left[at] < width  # the end mark decides: each is a letter of its own
-            ahead = np.where(ended, n + doc[at], rank[np.minimum(at + width, n - 1)])
-            key = (rank[at].astype(np.uint64) << np.uint64(32)) | ahead.astype(np.uint64)
-            sub = np.argsort(key)
-            key, at = key[sub], at[sub]
-            order[slots] = at
-            fresh = np.ones(len(at), dtype=bool)
-            fresh[1:] = key[1:] != key[:-1]
-            new[slots] |= fresh
-            rank[at] = slots[np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))]
-            self.ranks.append(rank.copy())
-            width *= 2
-        self.order = order
-        before = self.text[order - 1]
+        left = ((self.begin + np.diff(offsets))[doc] - np.arange(n)).astype(np.int32)  # bytes before the end mark
+        order, ranks = _suffixes(text, left, doc)
+        text = text[:n]
+        before = text[order - 1]
         run = np.ones(n, dtype=bool)  # a new run starts; end marks never continue one
         run[1:] = (before[1:] != before[:-1]) | (before[1:] == 255)
-        self.run_heads = np.flatnonzero(run)
-
-    def common_prefix(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Longest common prefixes of pairs of suffixes, by halving the sorted depths."""
-        most = np.minimum(self.left[a], self.left[b]).astype(np.int64)
-        a, b, total = a.astype(np.int64), b.astype(np.int64), np.zeros(len(a), dtype=np.int64)
-        for level in range(len(self.ranks) - 1, -1, -1):
-            width, rank = 8 << level, self.ranks[level]
-            same = (total < most) & (rank[np.minimum(a, self.n - 1)] == rank[np.minimum(b, self.n - 1)])
-            for x in (total, a, b):
-                x[same] += width
-        for _ in range(7):  # the last bytes one by one
-            same = (total < most) & (self.text[np.minimum(a, self.n - 1)] == self.text[np.minimum(b, self.n - 1)])
-            for x in (total, a, b):
-                x[same] += 1
-        return np.minimum(total, most)
+        heads = np.flatnonzero(run)
+        self.chars, self.lengths = before[heads], np.diff(np.append(heads, n))
+        self.first, self.last = order[heads], order[np.append(heads[1:], n) - 1]
+        self.lcp = np.concatenate([[0], _common_prefix(text, left, ranks, self.last[:-1], self.first[1:])])
 
     def matching_statistics(self) -> np.ndarray:
         """Length of the longest match of each place with any other place of the text."""
-        out = np.zeros(self.n, dtype=np.int64)
-        heads = self.run_heads[self.run_heads > 0]
-        lcp = self.common_prefix(self.order[heads - 1], self.order[heads])
-        places = np.arange(self.n)
+        out, places = np.zeros(self.n, dtype=np.int64), np.arange(self.n)
         # neighbours above: the first of the order has none; neighbours below: the last has none
-        for mine, alone in ((self.order[heads], self.order[0]), (self.order[heads - 1], self.order[-1])):
+        for mine, lcp in ((self.first, self.lcp), (self.last, np.append(self.lcp[1:], 0))):
             known = np.full(self.n, -1, dtype=np.int64)
             known[mine] = lcp
-            known[alone] = 0
             at = np.maximum.accumulate(np.where(known >= 0, places, -1))
-            value = np.where(at >= 0, known[at] - (places - at), 0)
-            out = np.maximum(out, value)
+            out = np.maximum(out, np.where(at >= 0, known[at] - (places - at), 0))
         return out
 
 
+def _suffixes(text: np.ndarray, left: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Suffixes in order, and their ranks by the first 8, 16, 32, ... bytes."""
+    n = len(left)
+    packed = np.zeros(n, dtype=np.uint64)
+    for j in range(8):
+        packed = (packed << np.uint64(8)) | np.where(left >= j, text[j : n + j], np.uint8(0))
+    order = np.argsort(packed).astype(np.int32)
+    new = np.ones(n + 1, dtype=bool)
+    new[1:n] = packed[order[1:]] != packed[order[:-1]]
+    del packed
+    # the rank of a suffix is the place of its group's first one, so settled suffixes keep theirs
+    rank = np.empty(n, dtype=np.int32)
+    rank[order] = np.maximum.accumulate(np.where(new[:n], np.arange(n, dtype=np.int32), 0))
+    ranks, width = [rank.copy()], 8
+    while len(slots := np.flatnonzero(~(new[:-1] & new[1:]))):
+        at = order[slots]
+        ended = left[at] < width  # the end mark decides: each is a letter of its own
+        ahead = np.where(ended, n + doc[at], rank[np.minimum(at + width, n - 1)])
+        key = (rank[at].astype(np.uint64) << np.uint64(32)) | ahead.astype(np.uint64)
+        sub = np.argsort(key)
+        key, at = key[sub], at[sub]
+        order[slots] = at
+        fresh = np.ones(len(at), dtype=bool)
+        fresh[1:] = key[1:] != key[:-1]
+        new[slots] |= fresh
+        rank[at] = slots[np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))]
+        ranks.append(rank.copy())
+        width *= 2
+    return order, ranks
+
+
+def _common_prefix(text, left, ranks, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Longest common prefixes of pairs of suffixes, by halving the sorted depths."""
+    most, n = np.minimum(left[a], left[b]).astype(np.int64), len(left)
+    a, b, total = a.astype(np.int64), b.astype(np.int64), np.zeros(len(a), dtype=np.int64)
+    for level in range(len(ranks) - 1, -1, -1):
+        width, rank = 8 << level, ranks[level]
+        same = (total < most) & (rank[np.minimum(a, n - 1)] == rank[np.minimum(b, n - 1)])
+        for x in (total, a, b):
+            x[same] += width
+    for _ in range(7):  # the last bytes one by one
+        same = (total < most) & (text[np.minimum(a, n - 1)] == text[np.minimum(b, n - 1)])
+        for x in (total, a, b):
+            x[same] += 1
+    return np.minimum(total, most)
+
+
 def _matches(length: int):
     """Contexts sorted by anchor: intervals ``(id, tag, from, to)`` of strings that match."""
 
@@ -302,7 +338,7 @@ def _packed(batches):
 
 def _fetch(batches):
     """The bytes of each wanted context of a text."""
-    for batch in batches:
+    for batch in K.pieces(batches, 2):
         data, offsets = K.utf8(batch.column(2))
         wanted, ends = K.utf8(batch.column(3))
         rows = np.frombuffer(wanted.tobytes(), dtype=WANTED)
@@ -315,7 +351,7 @@ def _fetch(batches):
 
 def _cut(schema, text_at: int):
     def run(batches):
-        for batch in batches:
+        for batch in K.pieces(batches, text_at):
             data, offsets = K.utf8(batch.column(text_at))
             marks = batch.column(batch.num_columns - 1)
             counts = np.diff(marks.offsets.to_numpy()) if len(marks) else np.zeros(0, np.int64)
@@ -352,12 +388,15 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     place, in this text or in another.  Texts are UTF-8 bytes; removal may split a
     character, so ``_kept`` is binary.  ``length`` is from 64 to 500.  A null text is empty.  Repeated rows are
     texts like any others, so each is the other's copy.  A null id is an id of its
-    own.  Texts shorter than ``length`` stay whole; an empty table stays empty.
+    own.  Texts shorter than ``length`` stay whole; an empty table stays empty.  Input
+    columns ``_kept`` and ``_spans`` are replaced.
     """
+    docs = docs.drop("_kept", "_spans")
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 62))).alias("id"), F.xxhash64(text).alias("tag"), text.alias("text"))
     long_ = keyed.where(F.octet_length("text") >= length)
-    met = long_.mapInArrow(_anchor_rows(length), PLACE).repartition("h").sortWithinPartitions("h", "ctx")
+    met = long_.mapInArrow(_anchor_rows(length), "settled boolean, " + PLACE)
+    met = met.repartition(F.when(F.col("settled"), F.xxhash64("id", "lo")).otherwise(F.col("h"))).sortWithinPartitions("settled", "h", "ctx")
     met = materialize(met.mapInArrow(_meet, "kind int, " + PLACE), "contexts")
 
     wanted = met.where("kind = 1")
@@ -384,7 +423,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     rows = docs.select(F.struct("*").alias("_row"))
     given = F.coalesce(F.col("_row")[text_col], F.lit(""))
     rows = rows.withColumn("id", F.coalesce(F.col("_row")[id_col].cast("long"), F.lit(-(1 << 62)))).withColumn("tag", F.xxhash64(given))
-    joined = rows.join(marks, ["id", "tag"], "left").select("_row.*", F.coalesce("_marks", F.array().cast("array<bigint>")).alias("_marks"))
+    plain = [F.col("_row")[c].alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    joined = rows.join(marks, ["id", "tag"], "left").select(*plain, F.coalesce("_marks", F.array().cast("array<bigint>")).alias("m"))
     spans = ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())]))
     schema = StructType([*docs.schema.fields, StructField("_kept", BinaryType()), StructField("_spans", spans)])
     return joined.mapInArrow(_cut(schema, docs.columns.index(text_col)), schema)

@@ -1,7 +1,9 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from bitloom.llm import repeats as R
 from bitloom.llm.repeats import RunLengthIndex, remove_repeats
@@ -60,7 +62,7 @@ def test_matching_statistics():
     offsets = np.cumsum([0] + [len(p) for p in parts])
     index = RunLengthIndex(np.concatenate(parts), offsets)
     stats = index.matching_statistics()
-    assert len(index.run_heads) < index.n / 4
+    assert len(index.chars) < index.n / 4 and index.lengths.sum() == index.n
     seen = {}
     for p in parts:
         for i in range(len(p) - 199):
@@ -68,3 +70,23 @@ def test_matching_statistics():
     for k, p in enumerate(parts):
         for i in range(len(p) - 199):
             assert (stats[index.begin[k] + i] >= 200) == (seen[bytes(p[i : i + 200])] > 1)
+
+
+@pytest.mark.parametrize("merged", [1, 1 << 19])
+def test_a_very_common_passage(spark, monkeypatch, merged):
+    """A passage in most texts, several times in some: few rows of its anchor leave a task."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    passage = " ".join(word() for _ in range(60))
+    texts = [" ".join(word() for _ in range(rng.randrange(40))) + (" " + passage) * rng.choice([0, 1, 1, 3]) + " ".join(word() for _ in range(9)) for _ in range(200)]
+    monkeypatch.setattr(R, "MERGED", merged)
+    out = []
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array(range(200)), pa.array(texts)], names=["id", "tag", "text"])
+    for b in R._anchor_rows(200)(iter([batch])):
+        out += b.to_pylist()
+    open_ = [(r["h"], r["ctx"]) for r in out if not r["settled"]]
+    if merged > 1:
+        assert len(set(open_)) == len(open_) and any(r["settled"] for r in out)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("_kept", F.lit(1)).withColumn("_marks", F.lit(2)).withColumn("id", F.lit("x"))
+    got = remove_repeats(docs).orderBy("doc_id").collect()
+    assert [bytes(r["_kept"]) for r in got] == [x for x, _ in brute([t.encode() for t in texts], 200)] and {(r["_marks"], r["id"]) for r in got} == {(2, "x")}
