@@ -4,8 +4,10 @@ Every text is covered by windows about as long as a benchmark item.  Windows sta
 at content-defined words (the smallest word hash among eight in a row), so a copied
 passage is cut at the same words wherever it stands.  A window's 64-bit SimHash is
 looked up in four 16-bit blocks: fingerprints within distance 7 agree in one block
-up to one bit, so a table of blocks and their one-bit neighbours misses none.  What
-is found is verified by the share of the item's five-word shingles, weighted by
+up to one bit, so each block and its one-bit neighbours are looked up among the items'
+fingerprints, which are filed by block, and only those in these files are compared.
+None within the radius is missed, and the work of a window hardly grows with the
+benchmark.  What is found is verified by the share of the item's five-word shingles, weighted by
 their length, that stand in the text around that place.
 
 Windows alone miss truncated and edited copies.  So each item also lists its rarest
@@ -84,6 +86,39 @@ def anchors(hashes: np.ndarray) -> np.ndarray:
     return np.flatnonzero(marks)
 
 
+FLIPS = np.concatenate([[0], 1 << np.arange(16)]).astype(np.uint16)
+
+
+class Files:
+    """Fingerprints filed by each of their four 16-bit blocks."""
+
+    def __init__(self, prints: np.ndarray):
+        self.prints, blocks = prints, prints.view(np.uint16).reshape(-1, 4)
+        self.order = np.argsort(blocks, axis=0, kind="stable").T.astype(np.int32)
+        #: places of a block's file: from ``begin[j, block]`` to ``begin[j, block + 1]``
+        self.begin = np.stack([np.searchsorted(np.sort(blocks[:, j]), np.arange((1 << 16) + 1)) for j in range(4)]).astype(np.int32)
+        self.near = np.zeros((4, 1 << 16), dtype=bool)  # blocks with a print up to one bit away
+        for j in range(4):
+            self.near[j, (blocks[:, j][:, None] ^ FLIPS[None]).ravel()] = True
+
+    def within(self, found: np.ndarray, most: int = RADIUS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, print, distance) of all pairs up to ``most`` apart."""
+        blocks, out = found.view(np.uint16).reshape(-1, 4), []
+        for j in range(4):
+            hit = np.flatnonzero(self.near[j, blocks[:, j]])
+            for part in np.array_split(hit, len(hit) // 8192 + 1):
+                key = blocks[part, j][:, None] ^ FLIPS[None]
+                low, n = self.begin[j, key], self.begin[j, key.astype(np.int32) + 1]
+                n = n - low
+                window = np.repeat(part, n.sum(axis=1))
+                pick = self.order[j, K.arange_runs(low.ravel().astype(np.int64), n.ravel().astype(np.int64))]
+                apart = np.bitwise_count(found[window] ^ self.prints[pick])
+                close = np.flatnonzero(apart <= most)
+                out.append(np.stack([window[close], pick[close], apart[close]]))
+        pairs = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((3, 0), np.int64)
+        return pairs[0], pairs[1], pairs[2]
+
+
 class Index:
     """Fingerprints of benchmark items by window size."""
 
@@ -107,17 +142,7 @@ class Index:
             self.items[int(i)] = (int(ids[i]), n, shingle, weight[first] / weight[first].sum(), first)
             prints = simhash(bit_sums(h, size > 255), place, size)
             by_size.setdefault((size, stretch), []).extend((int(i), int(p), int(f)) for p, f in zip(place, prints))
-        self.sizes = {}
-        for size, rows in by_size.items():
-            item, place, prints = (np.array(x) for x in zip(*rows))
-            prints = np.array([r[2] for r in rows], dtype=np.uint64)
-            table = np.zeros((4, 1 << 16), dtype=bool)
-            blocks = prints.view(np.uint16).reshape(-1, 4)
-            for j in range(4):
-                table[j, blocks[:, j]] = True
-                for bit in range(16):
-                    table[j, blocks[:, j] ^ np.uint16(1 << bit)] = True
-            self.sizes[size] = (item, place, prints, table)
+        self.sizes = {size: (np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), Files(np.array([r[2] for r in rows], dtype=np.uint64))) for size, rows in by_size.items()}
         self._sign()
 
     def _sign(self) -> None:
@@ -147,24 +172,18 @@ class Index:
             sums, docs, ends = {}, words.docs(), words.first[1:]
             at = anchors(words.hash)
             best: dict[tuple[int, int], tuple[float, int, int]] = {}
-            for (size, stretch), (item, place, prints, table) in self.sizes.items():
+            for (size, stretch), (item, place, files) in self.sizes.items():
                 start = at if stretch > 1 else np.arange(len(words.hash))
                 start = start[start + size <= ends[docs[start]]]
                 if not len(start):
                     continue
                 if (wide := size > 255) not in sums:
                     sums[wide] = bit_sums(words.hash, wide)
-                found = simhash(sums[wide], start, size)
-                block = found.view(np.uint16).reshape(-1, 4)
-                hit = table[0, block[:, 0]] | table[1, block[:, 1]] | table[2, block[:, 2]] | table[3, block[:, 3]]
-                hit = np.flatnonzero(hit)
-                for part in np.array_split(hit, len(hit) // 4096 + 1):
-                    apart = np.bitwise_count(found[part][:, None] ^ prints[None])
-                    x, y = np.nonzero(apart <= RADIUS)
-                    closest = np.argsort(apart[x, y], kind="stable")  # whole copies settle the rest
-                    for x, y in zip(x[closest].tolist(), y[closest].tolist()):
-                        p = int(start[part[x]])
-                        self._verify(words, int(docs[p]), p - int(place[y]), int(item[y]), best)
+                x, y, apart = files.within(simhash(sums[wide], start, size))
+                closest = np.argsort(apart, kind="stable")  # whole copies settle the rest
+                for x, y in zip(x[closest].tolist(), y[closest].tolist()):
+                    p = int(start[x])
+                    self._verify(words, int(docs[p]), p - int(place[y]), int(item[y]), best)
             self._marked(words, docs, best)
             for (doc, _), (sim, p, item_id) in sorted(best.items()):
                 out[a + doc].append((item_id, sim, p))
@@ -241,13 +260,13 @@ def densest(place: np.ndarray, weight: np.ndarray, kind: np.ndarray, reach: int)
     return out
 
 
-def _pass(docs: DataFrame, index: Index, least: float, text_col: str, found_col: str) -> DataFrame:
-    more = found_col in docs.columns
+def _pass(docs: DataFrame, index: Index, least: float, text_col: str, found_col: str, more: bool) -> DataFrame:
+    """One pass over the texts; ``more`` adds to what the pass before has found."""
     schema = docs.schema if more else StructType([*docs.schema.fields, StructField(found_col, FOUND)])
     place = docs.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in K.pieces(batches, place):
             got = [[{"item_id": i, "similarity": s, "word_at": w} for i, s, w in row if s >= least] for row in index.search(batch.column(place))]
             columns = list(batch.columns)
             if more:
@@ -258,7 +277,7 @@ def _pass(docs: DataFrame, index: Index, least: float, text_col: str, found_col:
     return docs.mapInArrow(run, schema)
 
 
-def find_items(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, max_items: int = 20_000, text_col: str = "text", found_col: str = "_items") -> DataFrame:
+def find_items(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, max_items: int = 20_000, max_bytes: int = 1 << 25, text_col: str = "text", found_col: str = "_items") -> DataFrame:
     """``docs`` and an array of ``(item_id, similarity, word_at)`` of the items that each text holds.
 
     Words are runs of letters and digits in lower case, so case and marks don't
@@ -266,16 +285,20 @@ def find_items(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, max_it
     around that place, at least ``least``; every such item is found, also truncated or edited.  Items without words and null items are
     never found; an item under five words counts as one shingle.  Null and empty
     texts hold nothing.  An item's copies are all reported; repeated rows are
-    treated alike; empty tables on either side give empty arrays.
+    treated alike; empty tables on either side give empty arrays.  An input column
+    ``found_col`` is replaced.  A pass takes about ``max_items`` items or ``max_bytes`` of
+    their text; larger benchmarks take more passes.
     """
+    docs = docs.drop(found_col)
     items = benchmark.select("item_id", "text").where(F.col("text").isNotNull() & F.col("item_id").isNotNull())
-    passes = -(-items.count() // max_items) or 1
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    passes = max(1, -(-size["n"] // max_items), -(-size["bytes"] // max_bytes))
     for i in range(passes):
         part = items if passes == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == i)
         got = part.orderBy("item_id").toArrow().combine_chunks()
         ids = got.column("item_id").to_numpy() if got.num_rows else np.zeros(0, np.int64)
         texts = got.column("text").combine_chunks() if got.num_rows else pa.array([], pa.string())
-        docs = _pass(docs, Index(ids, texts, least), least, text_col, found_col)
+        docs = _pass(docs, Index(ids, texts, least), least, text_col, found_col, i > 0)
     return docs
 
 

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -41,14 +42,49 @@ def test_blocks_guarantee_the_radius():
     """Any fingerprint within the radius agrees in one block up to one bit."""
     rng = np.random.default_rng(0)
     index = D.Index(np.array([1]), pa.array([" ".join(f"t{i}" for i in range(30))]))
-    (_, _, prints, table), = index.sizes.values()
-    for _ in range(2000):
-        flips = rng.choice(64, D.RADIUS, replace=False)
-        x = prints[:1].copy()
+    (_, _, files), = index.sizes.values()
+    for _ in range(500):
+        flips = rng.choice(64, rng.integers(0, D.RADIUS + 1), replace=False)
+        x = files.prints[:1].copy()
         for f in flips:
             x ^= np.uint64(1) << np.uint64(f)
-        blocks = x.view(np.uint16)
-        assert any(table[j, blocks[j]] for j in range(4))
+        window, pick, apart = files.within(x)
+        assert (0, 0, len(flips)) in set(zip(window.tolist(), pick.tolist(), apart.tolist()))
+
+
+def test_files_find_what_a_scan_finds():
+    rng = np.random.default_rng(1)
+    prints = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
+    found = prints[rng.integers(0, 3000, 4000)].copy()
+    for _ in range(9):
+        found ^= np.where(rng.random(4000) < 0.7, np.uint64(1) << rng.integers(0, 64, 4000).astype(np.uint64), np.uint64(0))
+    found[:2000] = rng.integers(0, 1 << 63, 2000, dtype=np.uint64)
+    apart = np.bitwise_count(found[:, None] ^ prints[None])
+    x, y = np.nonzero(apart <= D.RADIUS)
+    assert len(x) > 500 and set(zip(*map(np.ndarray.tolist, D.Files(prints).within(found)[:2]))) == set(zip(x.tolist(), y.tolist()))
+
+
+def test_work_hardly_grows_with_the_benchmark():
+    """Candidates compared for a window: a few, where a scan would compare all prints."""
+    rng = random.Random(4)
+    make = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    texts = pa.array([make(300) for _ in range(100)])
+    took = []
+    for n in (200, 4000):
+        index = D.Index(np.arange(n), pa.array([make(rng.randrange(20, 60)) for _ in range(n)]))
+        index.search(texts)
+        began = time.perf_counter()
+        assert not any(index.search(texts))
+        took.append(time.perf_counter() - began)
+    assert took[1] < 5 * took[0] + 0.1
+
+
+def test_clashing_columns(spark):
+    bench = spark.createDataFrame([(i, f"a b c d e f g{i}") for i in range(3)], "item_id long, text string")
+    df = spark.createDataFrame([(1, "x a b c d e f g1 y", ["clash"], 9)], "doc_id long, text string, _items array<string>, item_id int")
+    for most in (10, 1):
+        (row,) = find_items(df, bench, max_items=most, max_bytes=1 << 20 if most > 1 else 20).collect()
+        assert 1 in [x["item_id"] for x in row["_items"]] and row["item_id"] == 9
 
 
 def brute(text: str, item: str) -> float:
