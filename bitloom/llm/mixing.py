@@ -6,11 +6,14 @@ in which the running sum passes the budget is the boundary, and only that bucket
 is histogrammed again at the next 12 bits.  Documents below the threshold are
 taken by a plain filter; nothing is sorted.  The document at the boundary does not
 fit the rest of the budget; the rest gets a threshold of its own among the documents
-that do fit it, and so on: nested budgets, each smaller than the document that ended
-the one before.
-
-Each level is one aggregation with map-side sums over (id, source, size); a source
-that holds a third of all rows sends at most 4096 partial rows a task.
+that do fit it, and so on until none does: nested budgets, each smaller than the
+document that ended the one before.  In effect each source takes, in the order of the
+hashes, every document that fits what is left.
+
+The first level is one aggregation with map-side sums over (source, size, hash); a
+source that holds a third of all rows sends at most 4096 partial rows a task.  The
+other levels read the boundary bucket alone, and each nested budget only the
+documents that still fit.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -55,37 +58,62 @@ def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weig
     return per.select("source", "source_size", "target")
 
 
-def thresholds(sizes: DataFrame, targets: DataFrame, rounds: int = 8) -> DataFrame:
+def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``id, source, size, h`` of each row, written to the shared folder."""
+    sizes = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    return materialize(sizes.withColumn("h", doc_hash(F.col("id"))), "sizes")
+
+
+def repeated(sizes: DataFrame) -> DataFrame:
+    """``source, h, all``: tokens of the rows that share an id and a source, which are taken together."""
+    many = materialize(sizes.groupBy("source", "h").agg(F.sum("size").alias("all"), F.count("*").alias("_n")).where("_n > 1").select("source", "h", "all"), "repeated")
+    return F.broadcast(many) if many.count() <= 1_000_000 else many
+
+
+def _units(rows: DataFrame, many: DataFrame, source: str, size: str, h: str) -> DataFrame:
+    """``rows`` with ``_unit``: the tokens of all rows of its id and source."""
+    many = many.select(F.col("source").alias("_ms"), F.col("h").alias("_mh"), "all")
+    joined = rows.join(many, F.col(source).eqNullSafe(F.col("_ms")) & (F.col(h) == F.col("_mh")), "left")
+    return joined.withColumn("_unit", F.coalesce("all", size)).drop("_ms", "_mh", "all")
+
+
+def thresholds(sizes: DataFrame, targets: DataFrame, many: DataFrame) -> DataFrame:
     """Per source: ``copies`` (whole passes over it) and ``cuts``: a document of at most
     ``limit`` tokens with a hash below ``hi``, in any of them, is taken once more."""
     one = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     state = targets.withColumn("copies", one.cast("long"))
     state = state.withColumn("rest", F.col("target") - F.col("copies") * F.col("source_size"))
-    state = state.withColumn("cuts", F.array().cast("array<struct<limit:double,hi:bigint>>"))
-    state = materialize(state, "mix")
-    rows = sizes.where(F.col("size") > 0).select(F.col("source").alias("src"), "size", "h")
-    for _ in range(rounds):
-        state, more = _nested(rows, state)
-        if not more:
-            break
-    return state
+    state = materialize(state.withColumn("cuts", F.array().cast("array<struct<limit:double,hi:bigint>>")), "mix")
+    rows = _units(sizes.where(F.col("size") > 0), many, "source", "size", "h").select(F.col("source").alias("src"), "size", "h", F.col("_unit").alias("unit"))
+    first = True
+    while True:
+        fits = (F.col("unit") <= F.col("rest")) & ~chosen(F.col("unit"), F.col("h"))
+        some = rows.join(F.broadcast(state), F.col("src").eqNullSafe(F.col("source"))).where(fits).select("src", "size", "h", "unit")  # a row for each source
+        if not first:
+            rows = some = materialize(some, "fits")
+        if not some.take(1):
+            return state
+        state, first = _nested(some, state), False
 
 
-def chosen(size: Column, h: Column) -> Column:
-    return F.exists("cuts", lambda c: (size <= c["limit"]) & (h < c["hi"]))
+def chosen(unit: Column, h: Column) -> Column:
+    return F.exists("cuts", lambda c: (unit <= c["limit"]) & (h < c["hi"]))
 
 
-def _nested(rows: DataFrame, state: DataFrame) -> tuple[DataFrame, bool]:
-    """One more threshold per source for what is left of its budget; false if none found a document."""
+def _nested(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """One more threshold per source for what is left of its budget, among rows that fit it."""
     keep = ("source", "source_size", "target", "copies", "cuts", "rest")
     state = state.select(*keep, F.col("rest").alias("limit"), F.lit(0).cast("long").alias("at"), F.lit(None).cast("long").alias("cut"))
     for level in range(1, BITS // STEP + 1):
         shift, last = BITS - STEP * level, level == BITS // STEP
-        inside = rows.join(state, F.col("src").eqNullSafe(F.col("source")))
-        inside = inside.where(F.col("cut").isNull() & (F.shiftright("h", shift + STEP) == F.col("at")) & (F.col("size") <= F.col("limit")) & ~chosen(F.col("size"), F.col("h")))
-        hist = inside.groupBy("source", F.shiftright("h", shift).alias("b")).agg(F.sum("size").alias("s"), F.count("*").alias("n"), F.first("rest").alias("rest"))
-        over = F.col("cum") > F.col("rest")
-        step = hist.withColumn("cum", F.sum("s").over(Window.partitionBy("source").orderBy("b"))).groupBy(F.col("source").alias("src")).agg(
+        if level > 1:  # the boundary buckets alone
+            inside = rows.join(F.broadcast(state), F.col("src").eqNullSafe(F.col("source")))
+            inside = inside.where(F.col("cut").isNull() & (F.shiftright("h", shift + STEP) == F.col("at")))
+            rows = materialize(inside.select("src", "size", "h", "unit"), "edge") if level == 2 else inside.select("src", "size", "h", "unit")
+        hist = rows.groupBy("src", F.shiftright("h", shift).alias("b")).agg(F.sum("size").alias("s"), F.count("*").alias("n"))
+        hist = hist.join(F.broadcast(state.select("source", F.col("rest").alias("_rest"))), F.col("src").eqNullSafe(F.col("source")))
+        over = F.col("cum") > F.col("_rest")
+        step = hist.withColumn("cum", F.sum("s").over(Window.partitionBy("src").orderBy("b"))).groupBy("src").agg(
             F.min(F.when(over, F.struct("b", "n"))).alias("edge"), F.max(F.when(~over, F.col("cum"))).alias("done")
         )
         new = state.join(step, F.col("src").eqNullSafe(F.col("source")), "left")
@@ -100,9 +128,9 @@ def _nested(rows: DataFrame, state: DataFrame) -> tuple[DataFrame, bool]:
         state = materialize(new, "mix")
         if last or not state.where(F.col("cut").isNull()).take(1):
             break
-    more = bool(state.where("rest < limit").take(1))
     cut = F.struct(F.col("limit"), F.col("cut").alias("hi"))
-    return state.withColumn("cuts", F.when(F.col("rest") < F.col("limit"), F.array_append("cuts", cut)).otherwise(F.col("cuts"))).select(*keep), more
+    state = state.withColumn("cuts", F.when(F.col("rest") < F.col("limit"), F.array_append("cuts", cut)).otherwise(F.col("cuts")))
+    return materialize(state.select(*keep), "mix")
 
 
 def mix_sources(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights=WEIGHTS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -112,35 +140,37 @@ def mix_sources(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights=
     Rows with the same id and source are taken alike.  Null text or text without
     words: size 0, taken 0.  A null source is a source of its own, last in order.
     Null ids share one hash.  An empty table gives an empty table.  The choice
-    depends on ids, sources and sizes alone, so reruns agree.
+    depends on ids, sources and sizes alone, so reruns agree.  The targets are made of
+    one row a source in one task.  Input columns with these names are replaced.
     """
-    sizes = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    sizes = materialize(sizes.withColumn("h", doc_hash(F.col("id"))), "sizes")
-    plan = thresholds(sizes, source_targets(sizes, share, most, weights))
-    rows = docs.select(F.struct("*").alias("_row"))
+    docs = docs.drop("_size", "_source_size", "_target", "_taken")
+    sizes = sized(docs, id_col, text_col, source_col)
+    many = repeated(sizes)
+    plan = thresholds(sizes, source_targets(sizes, share, most, weights), many)
+    rows = docs.select(F.struct("*").alias("_row")).withColumn("_s", F.col("_row")[source_col])
     rows = rows.withColumn("_h", doc_hash(F.col("_row")[id_col])).withColumn("_size", word_count(F.col("_row")[text_col]))
-    return _take(rows, plan, F.col("_row")[source_col]).select("_row.*", "_size", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "_taken")
+    return _take(rows, plan, many).select("_row.*", "_size", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "_taken")
 
 
-def _take(rows: DataFrame, plan: DataFrame, source: Column) -> DataFrame:
+def _take(rows: DataFrame, plan: DataFrame, many: DataFrame) -> DataFrame:
     plan = plan.withColumnRenamed("source", "_of")
-    joined = rows.join(plan, source.eqNullSafe(F.col("_of")))
-    return joined.withColumn("_taken", F.col("_size") * (F.col("copies") + F.when(chosen(F.col("_size"), F.col("_h")), 1).otherwise(0)))
+    joined = _units(rows, many, "_s", "_size", "_h").join(F.broadcast(plan), F.col("_s").eqNullSafe(F.col("_of")))  # a row for each source
+    return joined.withColumn("_taken", F.col("_size") * (F.col("copies") + F.when(chosen(F.col("_unit"), F.col("_h")), 1).otherwise(0)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    sizes = docs.select(F.col("doc_id").alias("id"), "source", word_count(F.col("text")).alias("size"))
-    sizes = materialize(sizes.withColumn("h", doc_hash(F.col("id"))), "sizes")
-    plan = thresholds(sizes, source_targets(sizes))
+    sizes = sized(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    many = repeated(sizes)
+    plan = thresholds(sizes, source_targets(sizes), many)
     rows = sizes.select(F.col("id").alias("doc_id"), F.col("source").alias("_s"), F.col("size").alias("_size"), F.col("h").alias("_h"))
-    out = _take(rows, plan, F.col("_s"))
+    out = _take(rows, plan, many)
     return out.select("doc_id", F.col("_size").alias("size"), "source_size", "target", F.col("_taken").alias("taken"))
 
 
-def _oracle(rounds: int = 8) -> str:
-    sql = r"""
-WITH sizes AS (
+#: Each source goes through its documents in the order of their hashes and takes every one
+#: that fits what is left; a round of the recursion takes all up to the first that does not.
+ORACLE = r"""
+WITH RECURSIVE sizes AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
          CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT) AS h
   FROM documents),
@@ -161,23 +191,17 @@ targets AS (
   SELECT source, source_size, least(cap, wl * w) AS target,
          CASE WHEN source_size > 0 THEN CAST(floor(least(cap, wl * w) / source_size) AS BIGINT) ELSE 0 END AS copies
   FROM levels, water),
-r0 AS (
-  SELECT s.*, t.source_size, t.target, t.copies, t.target - t.copies * t.source_size AS gap, FALSE AS chosen
-  FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)"""
-    for i in range(rounds):
-        sql += f""",
-e{i} AS (
-  SELECT *, NOT chosen AND size > 0 AND size <= gap AS fits,
-         CAST(sum(CASE WHEN NOT chosen AND size > 0 AND size <= gap THEN size ELSE 0 END)
-              OVER (PARTITION BY source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cum
-  FROM r{i}),
-r{i + 1} AS (
-  SELECT doc_id, source, size, h, source_size, target, copies,
-         gap - coalesce(max(CASE WHEN fits AND cum <= gap THEN cum END) OVER (PARTITION BY source), 0) AS gap, chosen OR (fits AND cum <= gap) AS chosen
-  FROM e{i})"""
-    return sql + f"""
-SELECT doc_id, size, source_size, target, size * (copies + CASE WHEN chosen THEN 1 ELSE 0 END) AS taken FROM r{rounds}
+units AS (
+  SELECT s.source, s.h, CAST(sum(s.size) AS BIGINT) AS unit, min(t.target - t.copies * t.source_size) AS gap
+  FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source WHERE s.size > 0 GROUP BY s.source, s.h),
+rounds AS (
+  SELECT source, h, unit, cum <= gap AS fits, gap - max(CASE WHEN cum <= gap THEN cum END) OVER (PARTITION BY source) AS rest
+  FROM (SELECT *, CAST(sum(unit) OVER (PARTITION BY source ORDER BY h) AS BIGINT) AS cum FROM units WHERE unit <= gap)
+  UNION ALL
+  SELECT source, h, unit, cum <= gap, gap - max(CASE WHEN cum <= gap THEN cum END) OVER (PARTITION BY source)
+  FROM (SELECT source, h, unit, rest AS gap, CAST(sum(unit) OVER (PARTITION BY source ORDER BY h) AS BIGINT) AS cum FROM rounds WHERE NOT fits AND unit <= rest)),
+picked AS (SELECT source, h FROM rounds WHERE fits)
+SELECT s.doc_id, s.size, t.source_size, t.target, s.size * (t.copies + CASE WHEN p.h IS NOT NULL THEN 1 ELSE 0 END) AS taken
+FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+LEFT JOIN picked p ON p.source IS NOT DISTINCT FROM s.source AND p.h = s.h
 """
-
-
-ORACLE = _oracle()

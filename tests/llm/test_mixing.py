@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from bitloom.llm.mixing import mix_sources, source_targets, word_count
 
 
@@ -36,3 +38,30 @@ def test_empty_table(no_docs):
 def test_word_count(spark):
     df = spark.createDataFrame([("a b\tc\x0bd  e\n",), ("",), (None,), (" x y",)], "t string")
     assert [r[0] for r in df.select(word_count(df.t)).collect()] == [5, 0, 0, 2]
+
+
+def test_budgets_are_used_up_to_the_last_document_that_fits(spark):
+    """First fit in the order of hashes, by a plain loop; many sizes need more than eight nested budgets."""
+    import hashlib
+    import random
+
+    rng = random.Random(9)
+    rows = [(i, "w " * rng.choice([0, 1, 2, 3, 5, 8, 13, 40, 77, 200, 901]) , rng.choice("ab")) for i in range(500)]
+    rows += [(3, "w " * 50, "a"), (3, "w", "a"), (None, "w w", "b"), (None, "w", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("_taken", F.lit("old")).withColumn("h", F.lit(1)).withColumn("rest", F.lit(1))
+    got = mix_sources(docs).collect()
+    left, plan = {}, {r["source"]: (r["_target"], r["_source_size"]) for r in got}
+    units: dict = {}
+    for i, text, source in rows:
+        key = source, int(hashlib.md5(str(i if i is not None else "null").encode()).hexdigest()[:15], 16)
+        units[key] = units.get(key, 0) + len(text.split())
+    taken = set()
+    for source, (target, size) in plan.items():
+        left[source] = target - size * (target // size)
+        for key in sorted(k for k in units if k[0] == source):
+            if units[key] <= left[source]:
+                left[source] -= units[key]
+                taken.add(key)
+    for r in got:
+        key = r["source"], int(hashlib.md5(str(r["doc_id"] if r["doc_id"] is not None else "null").encode()).hexdigest()[:15], 16)
+        assert r["_taken"] == r["_size"] * (plan[r["source"]][0] // plan[r["source"]][1] + (key in taken)), r
