@@ -48,7 +48,7 @@ from bitloom.llm.store import drop, materialize
 #: Sets of one side of a comparison; also the ids of one key that a task holds.
 BLOCK = 256
 #: Pivots of a large group in each round.
-PIVOTS = 12
+PIVOTS = 24
 #: Index rows that a task merges by key before they are shuffled.
 MERGED = 1 << 20
 BAND = 1.4
@@ -292,7 +292,7 @@ class Forest:
     """Union-find over the places of one task."""
 
     def __init__(self, n: int):
-        self.up, self.made = np.arange(n), []
+        self.up, self.made = np.arange(n), 0
 
     def roots(self) -> np.ndarray:
         while True:
@@ -311,10 +311,18 @@ class Forest:
         a, b = self.find(p), self.find(q)
         if a != b:
             self.up[b] = a
-            self.made.append((p, q))
+            self.made += 1
 
     def links(self, ids) -> list[tuple[int, int]]:
-        return [(int(ids[p]), int(ids[q])) for p, q in self.made]
+        """Each tree as a star: its first place, and one of the others."""
+        if not self.made:
+            return []
+        root, places = self.roots(), np.arange(len(self.up))
+        first = places.copy()
+        np.minimum.at(first, root, places)
+        first = first[root]
+        out = np.flatnonzero(first != places)
+        return list(zip(ids[first[out]].tolist(), ids[out].tolist()))
 
 
 def _coarse(bands: Bands):
@@ -418,8 +426,9 @@ def _group_links(groups: DataFrame, payload, links) -> DataFrame:
     """Links ``a, b`` inside groups (``g, id``, distinct, materialised): enough to span all that there are.
 
     ``payload`` adds what ``links`` compares to rows ``id, _pair, _side``.  Groups of up to
-    BLOCK members are one comparison.  Larger ones go through rounds of pivots, as long as each
-    leaves a fifth fewer sets outside of large components; then blocks of different components meet."""
+    BLOCK members are one comparison.  Larger ones go through a round of pivots, and more while
+    over eight blocks are outside of large components and each round leaves half as many;
+    then blocks of different components meet."""
     sizes = materialize(groups.groupBy("g").agg(F.count("*").alias("_size")).where(F.col("_size") > 1), "sizes")
     large = _few(sizes.where(F.col("_size") > BLOCK))
     rows = groups.join(sizes.where(F.col("_size") <= BLOCK), "g", "left_semi").select("id", F.col("g").alias("_pair"), F.lit(2).alias("_side"))
@@ -430,21 +439,24 @@ def _group_links(groups: DataFrame, payload, links) -> DataFrame:
     big = materialize(groups.join(large, "g"), "large")
     rows = rows.union(_with_pivots(big, F.col("_size"), 0))
     found = materialize(_links(payload(rows), links).distinct(), "links")
-    outside, turn = None, 0
+    outside, turn = big.count(), 0
     while True:
-        # members by component; small components count as outside
-        label = connected_components(found)
-        parts = big.join(label.select(F.col("node").alias("id"), "label"), "id", "left").select("g", "id", "_size", F.coalesce("label", "id").alias("c"))
-        parts = materialize(parts, "parts")
-        whole = parts.groupBy("g", "c").agg(F.count("*").alias("_part")).where(F.col("_part") >= BLOCK)
-        parts = parts.join(_few(whole), ["g", "c"], "left")
-        loose = parts.where("_part IS NULL").groupBy("g").agg(F.count("*").alias("_loose"))
-        parts = materialize(parts.join(_few(loose), "g", "left").withColumn("_loose", F.coalesce("_loose", F.lit(0))), "parts")
-        many = parts.where((F.col("_part").isNull()) & (F.col("_loose") > BLOCK)).count()
-        if not many or (outside is not None and many > 0.8 * outside):
+        # members by the pivot that they are linked to, in two steps at most; small components count as outside
+        star = materialize(found.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("c")), "star")
+        above = star.select(F.col("id").alias("c"), F.col("c").alias("d"))
+        label = star.join(above, "c", "left").select("id", F.least("c", "d").alias("c"))
+        hub = found.select(F.col("a").alias("id")).distinct().join(star, "id", "left").select("id", F.least("c", "id").alias("c"))
+        label = label.union(hub).groupBy("id").agg(F.min("c").alias("c"))
+        parts = materialize(big.select("g", "id", "_size").join(label, "id", "left").withColumn("c", F.coalesce("c", "id")), "parts")
+        sized = materialize(parts.groupBy("g", "c").agg(F.count("*").alias("_part")), "sized")
+        loose = sized.where(F.col("_part") < BLOCK).groupBy("g").agg(F.sum("_part").alias("_loose"))
+        sized = sized.select("g", "c", F.when(F.col("_part") >= BLOCK, F.col("_part")).alias("_part")).join(loose, "g", "left")
+        parts = parts.join(sized.withColumn("_loose", F.coalesce("_loose", F.lit(0))), ["g", "c"])
+        many = loose.where(F.col("_loose") > 8 * BLOCK).agg(F.coalesce(F.sum("_loose"), F.lit(0))).first()[0]
+        if not many or many > 0.5 * outside:
             break
         outside, turn = many, turn + 1
-        again = parts.where(F.col("_loose") > BLOCK)
+        again = parts.where(F.col("_loose") > 8 * BLOCK)
         chosen = F.col("_part").isNull() & (F.pmod(F.xxhash64("id", F.lit(turn)), F.col("_loose")) < PIVOTS)
         found = materialize(found.union(_links(payload(_with_pivots(again, None, turn, chosen)), links)).distinct(), "links")
     rest = materialize(_across(parts), "across")
@@ -533,13 +545,14 @@ def link_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_
     full = made.where((F.col("n") > 0) & F.col("id").isNotNull())
     reps = materialize(full.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep")), "reps")
     same_id = materialize(full.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id"), "same")
-    if same_id.take(1):  # repeated rows are read once
+    several = bool(same_id.take(1))
+    if several:  # repeated rows are read once
         texts = texts.withColumn("_tag", F.xxhash64("text")).dropDuplicates(["id", "_tag"]).select("id", "text")
 
     # sizes as counted, by band: some hundred rows at most
     edges = F.array(*[F.lit(int(e)) for e in Bands(num, den).edges.tolist()])
     band = F.size(F.filter(edges, lambda e: e <= F.col("n"))) - 1
-    sizes = reps.groupBy("n").agg(F.count("*").alias("c")).groupBy(band.alias("band")).agg((F.sum(F.col("n") * F.col("c")) / F.sum("c")).alias("mean"))
+    sizes = reps.groupBy(band.alias("band")).agg(F.avg("n").alias("mean"))
     bands = Bands(num, den, {r["band"]: r["mean"] for r in sizes.collect()})
 
     # the lowest id of equal sets stands for all; it alone goes into the index
@@ -563,8 +576,10 @@ def link_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_
         return some.mapInArrow(tokens, "_pair long, _side int, id long, n long, tokens binary").where("n > 0")
 
     links = _group_links(coarse, whole, _exact(bands))
-    links = links.union(full.join(reps, ["h1", "h2", "n"]).join(same_id, "id", "left_semi").select(F.col("id").alias("a"), F.col("rep").alias("b")))
-    label = connected_components(materialize(links.distinct(), "links"))
+    if several:
+        links = links.union(full.join(reps, ["h1", "h2", "n"]).join(same_id, "id", "left_semi").select(F.col("id").alias("a"), F.col("rep").alias("b")))
+        links = materialize(links.distinct(), "links")
+    label = connected_components(links)
     label = label.select(F.col("node").alias("rep"), "label")
     out = made.join(reps, ["h1", "h2", "n"], "left").join(label, "rep", "left")
     component = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("label", "rep", "id"))
