@@ -1,7 +1,11 @@
 """Integer and bit arithmetic as columns."""
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 
 def popcount(x: Column) -> Column:
@@ -47,7 +51,9 @@ def varint_length(x: Column) -> Column:
     return F.greatest(F.lit(1), F.floor((bit_length(x) + 6) / 7)).cast("int")
 
 
-def text_bytes(text: Column) -> Column:
-    """UTF-8 bytes of a text as an array of integers from 0 to 255; a null text has none."""
-    pairs = F.regexp_extract_all(F.hex(F.encode(F.coalesce(text, F.lit("")), "UTF-8")), F.lit(".."), F.lit(0))
-    return F.transform(pairs, lambda p: F.conv(p, 16, 10).cast("int"))
+@pandas_udf(StringType())
+def float_bits(x: pd.Series) -> pd.Series:
+    """The 32 bits of a single-precision number, sign first; null stays null."""
+    bits = np.unpackbits(x.to_numpy(dtype=">f4", na_value=np.nan).view(np.uint8).reshape(-1, 4), axis=1) + ord("0")
+    out = pd.Series(np.ascontiguousarray(bits).view("S32").ravel().astype(str), index=x.index)
+    return out.where(x.notna(), None)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitloom.functions.bits import ceil_log2, contains_cube, covers, popcount
+from bitloom.sources.tables import keep
 
 
 def states(table: DataFrame) -> DataFrame:
@@ -51,8 +52,7 @@ def cube_implicants(allowed: DataFrame, bits: int) -> DataFrame:
     """All implicants in one pass by CUBE over the bits: a cell is one if it is full."""
     names = [f"b{i}" for i in range(bits)]
     wide = allowed.select("fn", *[F.expr(f"(minterm >> {i}) & 1").alias(f"b{i}") for i in range(bits)]).distinct()
-    grouped = wide.groupBy().cube if False else wide.cube("fn", *names)
-    cells = grouped.agg(F.count("*").alias("n"), F.grouping_id().alias("gid"))
+    cells = wide.cube("fn", *names).agg(F.count("*").alias("n"), F.grouping_id().alias("gid"))
     cells = cells.where(F.col("fn").isNotNull())
     free = F.lit(0)
     mask, value = F.lit(0), F.lit(0)
@@ -90,7 +90,10 @@ def useful(cubes: DataFrame, on: DataFrame) -> DataFrame:
 
 
 def essential(cubes: DataFrame, on: DataFrame) -> DataFrame:
-    """Cubes that alone cover some on-minterm."""
+    """Cubes that alone cover some on-minterm.
+
+    One pass is the fixed point: a minterm that these leave uncovered has two cubes or more, none
+    of them chosen, so no further cube is forced."""
     only = chart(cubes, on).groupBy("fn", "minterm").agg(F.count("*").alias("n"), F.first("mask").alias("mask"), F.first("value").alias("value"))
     return only.where("n = 1").select("fn", "mask", "value").distinct()
 
@@ -171,55 +174,116 @@ def better(costs: DataFrame, by: str) -> DataFrame:
     return costs.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
 
 
-def greedy_cover(cubes: DataFrame, on: DataFrame, bits: int) -> DataFrame:
-    """A cover chosen step by step: essential cubes first, then in each round, for each
-    function at once, the cube that covers most uncovered minterms (fewer literals,
-    smaller mask and value on ties); at last cubes that others make superfluous go."""
-    cubes = useful(distinct_cubes(cubes), on)
-    picked = essential(cubes, on)
-    for _ in range(1 << bits):
-        left = on.select("fn", "minterm").distinct().join(chart(picked, on), ["fn", "minterm"], "left_anti")
-        gain = chart(cubes, left).groupBy("fn", "mask", "value").agg(F.count("*").alias("gain"))
-        best = gain.groupBy("fn").agg(F.max(F.struct("gain", (-popcount(F.col("mask"))).alias("l"), (-F.col("mask")).alias("m"), (-F.col("value")).alias("v"))).alias("x"))
-        best = best.select("fn", (-F.col("x.m")).alias("mask"), (-F.col("x.v")).alias("value"))
-        new = best.collect()  # one row per function
-        if not new:
-            return picked
-        picked = picked.sparkSession.createDataFrame([*picked.collect(), *new], picked.schema)
-    return picked
+def greedy_cover(cubes: DataFrame, on: DataFrame) -> DataFrame:
+    """``fn, mask, value, turn``: a cover chosen step by step, for each function at once.
+
+    ``cubes`` may have a column ``weight`` (literals otherwise).  Each turn takes the cube with the
+    largest merit, which is newly covered minterms by weight; ties go to more minterms, then to the
+    smaller mask and value.  Every turn's choice is written to the shared folder."""
+    if "weight" not in cubes.columns:
+        cubes = cubes.withColumn("weight", cube_weight(F.col("mask"), "literals"))
+    hits = keep(_hits(cubes.select("fn", "mask", "value", "weight").distinct(), on.select("fn", "minterm").distinct()), "hits")
+    left, turns, turn = hits, [], 0
+    while True:
+        gain = left.groupBy("fn", "mask", "value").agg(F.count("*").alias("gain"), F.min("weight").alias("w"))
+        best = gain.groupBy("fn").agg(F.max(F.struct((F.col("gain") / F.col("w")).alias("merit"), "gain", (-F.col("mask")).alias("m"), (-F.col("value")).alias("v"))).alias("x"))
+        best = keep(best.select("fn", (-F.col("x.m")).alias("mask"), (-F.col("x.v")).alias("value"), F.lit(turn).alias("turn")), "turn")
+        if not best.take(1):
+            break
+        turns.append(best)
+        done = hits.join(best, ["fn", "mask", "value"], "left_semi").select("fn", "minterm")
+        left, turn = keep(left.join(done, ["fn", "minterm"], "left_anti"), "left"), turn + 1
+    out = best
+    for some in turns:
+        out = out.union(some)
+    return out
+
+
+def _hits(cubes: DataFrame, minterms: DataFrame) -> DataFrame:
+    """Rows of ``cubes`` by the minterms that they cover."""
+    c, o = cubes.alias("c"), minterms.alias("o")
+    return c.join(o, (F.col("c.fn") == F.col("o.fn")) & covers(F.col("c.mask"), F.col("c.value"), F.col("o.minterm"))).select("c.*", "o.minterm")
+
+
+def prune_in_order(cubes: DataFrame, need: DataFrame) -> DataFrame:
+    """``fn, mask, value`` that stay when the cubes of each function are gone through by ``place`` and
+    each goes whose needed minterms (``fn, minterm``) others that are still there cover too.
+
+    The order matters, so a function's cubes meet in one row (at most 3**bits of them) and one fold
+    over them carries how often each minterm is covered."""
+    hit = _hits(cubes.select("fn", "mask", "value", "place"), need.select("fn", "minterm").distinct())
+    own = hit.groupBy("fn", "mask", "value").agg(F.collect_set("minterm").alias("mins"))
+    rows = cubes.select("fn", "mask", "value", "place").join(own, ["fn", "mask", "value"], "left").withColumn("mins", F.coalesce("mins", F.array().cast("array<int>")))
+    rows = rows.groupBy("fn").agg(F.array_sort(F.collect_list(F.struct("place", "mask", "value", "mins"))).alias("cubes"))
+    times = hit.groupBy("fn", "minterm").agg(F.count("*").cast("int").alias("n")).groupBy("fn").agg(F.map_from_entries(F.collect_list(F.struct("minterm", "n"))).alias("times"))
+    rows = rows.join(times, "fn", "left").withColumn("times", F.coalesce("times", F.expr("map()").cast("map<int,int>")))
+    start = F.struct(F.col("times").alias("times"), F.array().cast("array<struct<mask:int,value:int>>").alias("kept"))
+
+    def step(state, cube):
+        spare = F.forall(cube["mins"], lambda m: state["times"][m] >= 2)
+        fewer = F.transform_values(state["times"], lambda m, n: n - F.array_contains(cube["mins"], m).cast("int"))
+        this = F.array_append(state["kept"], F.struct(cube["mask"].alias("mask"), cube["value"].alias("value")))
+        return F.struct(F.when(spare, fewer).otherwise(state["times"]).alias("times"), F.when(spare, state["kept"]).otherwise(this).alias("kept"))
+
+    return rows.select("fn", F.explode(F.aggregate("cubes", start, step)["kept"]).alias("x")).select("fn", "x.mask", "x.value")
+
+
+def prune_redundant(cubes: DataFrame, dc: DataFrame, bits: int) -> DataFrame:
+    """A cover without the cubes that others and don't-cares make redundant, in the order of mask and value."""
+    cubes = distinct_cubes(cubes)
+    every = cubes.select("fn").distinct().withColumn("minterm", F.explode(F.sequence(F.lit(0), F.lit((1 << bits) - 1))))
+    need = chart(cubes, every).select("fn", "minterm").distinct().join(dc.select("fn", "minterm"), ["fn", "minterm"], "left_anti")
+    return prune_in_order(cubes.withColumn("place", F.struct("mask", "value")), need)
+
+
+def minimise(on: DataFrame, dc: DataFrame, bits: int, objectives=("literals",)) -> DataFrame:
+    """``fn, objective, mask, value``: a cover of each function for each objective.
+
+    Primes of on- and don't-care minterms, chosen greedily by the objective's weights, swept for
+    superfluous cubes in the order of choice.  A function without on-minterms has no rows."""
+    on, dc = canonical(on, dc)
+    pool = useful(primes(on.union(dc), bits), on)
+    each = F.explode(F.array(*[F.struct(F.lit(o).alias("objective"), cube_weight(F.col("mask"), o).alias("weight")) for o in objectives]))
+    keyed = pool.select("fn", "mask", "value", each.alias("o")).select(F.struct("fn", "o.objective").alias("fn"), "mask", "value", "o.weight")
+    wanted = keyed.select(F.col("fn").alias("key")).distinct().join(on, F.col("key")["fn"] == on["fn"]).select(F.col("key").alias("fn"), "minterm")
+    cover = prune_in_order(greedy_cover(keyed, wanted).withColumnRenamed("turn", "place"), wanted)
+    return cover.select("fn.fn", "fn.objective", "mask", "value")
 
 
 def minimum_cover(cubes: DataFrame, on: DataFrame) -> DataFrame:
-    """A cover of fewest cubes, then fewest literals, of each function: the chart of a
-    function meets in one group and is searched depth first with a bound.  Meant for
-    charts of tens of cubes; wide ones take ``greedy_cover``."""
-
-    def run(pdf):
-        names = sorted({(int(m), int(v)) for m, v in zip(pdf["mask"], pdf["value"])})
-        at = {c: i for i, c in enumerate(names)}
-        options: dict[int, int] = {}
-        for m, v, t in zip(pdf["mask"], pdf["value"], pdf["minterm"]):
-            options[int(t)] = options.get(int(t), 0) | 1 << at[int(m), int(v)]
-        need = sorted(set(options.values()), key=lambda o: (o.bit_count(), o))
-        lits = [m.bit_count() for m, _ in names]
-        best = [(len(names) + 1, 0, 0)]
-
-        def search(taken: int, terms: int, literals: int) -> None:
-            if (terms, literals) >= best[0][:2]:
-                return
-            left = next((o for o in need if not o & taken), None)
-            if left is None:
-                best[0] = (terms, literals, taken)
-                return
-            for i in range(len(names)):
-                if left >> i & 1:
-                    search(taken | 1 << i, terms + 1, literals + lits[i])
-
-        search(0, 0, 0)
-        keep = [c for i, c in enumerate(names) if best[0][2] >> i & 1]
-        return pdf.iloc[: len(keep)].assign(mask=[m for m, _ in keep], value=[v for _, v in keep])[["fn", "mask", "value"]]
-
-    return chart(cubes, on).groupBy("fn").applyInPandas(run, "fn string, mask int, value int")
+    """``fn, mask, value``: a cover of fewest cubes, then fewest literals, of each function.
+
+    The search goes level by level: a row is what is left to cover after so many cubes; it branches
+    on the minterm with the fewest cubes, and of rows with the same rest only the cheapest stays.
+    The first level with nothing left is the minimum.  Rows are spread over the cluster; their
+    number may grow exponentially with the cubes that no minterm forces.  A minterm that no cube
+    covers is an error."""
+    hits = keep(_hits(distinct_cubes(cubes), on.select("fn", "minterm").distinct()), "hits")
+    if on.select("fn", "minterm").join(hits, ["fn", "minterm"], "left_anti").take(1):
+        raise ValueError("a minterm that no cube covers")
+    few = hits.groupBy("fn", "minterm").agg(F.count("*").alias("n"))
+    few = few.withColumn("rank", F.row_number().over(Window.partitionBy("fn").orderBy("n", "minterm")))
+    ranked = hits.join(few, ["fn", "minterm"]).select("fn", "mask", "value", "rank")
+    own = ranked.groupBy("fn", "mask", "value").agg(F.collect_list("rank").alias("mins"))
+    options = keep(ranked.join(own, ["fn", "mask", "value"]).select("fn", "rank", "mask", "value", "mins"), "options")
+    taken = F.array().cast("array<struct<mask:int,value:int>>")
+    state = few.groupBy("fn").agg(F.array_sort(F.collect_list("rank")).alias("left")).select("fn", "left", F.lit(0).alias("literals"), taken.alias("taken"))
+    found = []
+    while True:
+        state = keep(state, "level")
+        whole = state.where(F.size("left") == 0)
+        best = keep(whole.groupBy("fn").agg(F.min(F.struct("literals", "taken")).alias("x")), "cover")
+        found.append(best.select("fn", F.explode("x.taken").alias("c")).select("fn", "c.mask", "c.value"))
+        state = state.join(best.select("fn"), "fn", "left_anti")
+        if not state.take(1):
+            break
+        more = state.withColumn("rank", F.get("left", F.lit(0))).join(options, ["fn", "rank"])
+        more = more.select("fn", F.array_except("left", "mins").alias("left"), (F.col("literals") + popcount(F.col("mask"))).alias("literals"), F.array_append("taken", F.struct("mask", "value")).alias("taken"))
+        state = more.groupBy("fn", "left").agg(F.min(F.struct("literals", "taken")).alias("x")).select("fn", "left", "x.literals", "x.taken")
+    out = found[0]
+    for some in found[1:]:
+        out = out.union(some)
+    return out
 
 
 def gate_counts(cubes: DataFrame, bits: int) -> DataFrame:

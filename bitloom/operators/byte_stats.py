@@ -2,11 +2,14 @@
 
 import heapq
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bitloom.functions.bits import bits_for_count, text_bytes
+from bitloom.functions.bits import bits_for_count
+from bitloom.operators.transforms import byte_texts, runs_of
 
 #: Methods by number.
 METHODS = ("raw-copy", "indexed-raw", "indexed-circuit", "indexed-huffman", "raw-deflate", "raw-zstd", "framed-raw", "recursive-circuit-xz", "monotonic-delta", "raw-xz")
@@ -15,9 +18,26 @@ ORDER = ("raw-copy", "indexed-raw", "indexed-circuit", "indexed-huffman", "raw-d
 HEADER = 36
 
 
+def byte_counts(df: DataFrame) -> DataFrame:
+    """``k, bytes`` -> ``k, b, freq``: how often each byte occurs in each row, counted in passes over
+    the bytes of a batch; nothing is shuffled."""
+    kind = df.schema["k"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            at = 0
+            for t in runs_of(batch.column(1)) if batch.num_rows else []:
+                n = np.bincount(t.row * 256 + t.data, minlength=len(t.sizes) * 256)
+                cell = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cell // 256 + at)), pa.array((cell % 256).astype(np.int32)), pa.array(n[cell].astype(np.int64))], names=["k", "b", "freq"])
+                at += len(t.sizes)
+
+    return df.select("k", "bytes").mapInArrow(run, f"k {kind}, b int, freq long")
+
+
 def histogram(df: DataFrame, key: Column, text: Column) -> DataFrame:
-    """``k, b, freq``: how often each byte occurs in each text."""
-    return df.select(key.alias("k"), F.explode(text_bytes(text)).alias("b")).groupBy("k", "b").agg(F.count("*").alias("freq"))
+    """``k, b, freq``: how often each byte occurs in the texts of each key."""
+    return byte_counts(byte_texts(df, key, text)).groupBy("k", "b").agg(F.sum("freq").alias("freq"))
 
 
 def symbol_ids(hist: DataFrame) -> DataFrame:
@@ -85,8 +105,3 @@ def choose(candidates: DataFrame) -> DataFrame:
     first = F.when(F.coalesce(saves, F.lit(False)), F.col("circuit")).otherwise(F.col("early"))
     win = F.when(F.col("late").isNotNull() & (F.col("late.total") < first["total"]), F.col("late")).otherwise(first)
     return best.select("k", win["method"].alias("method"), win["total"].alias("total"))
-
-
-def circuit_allowed(symbols: Column, payload: Column, symbol_bits: Column) -> Column:
-    """Whether a circuit dictionary is worth building."""
-    return (symbols > 0) & (symbol_bits > 8) & (symbols <= 64) & (payload >= 4096)

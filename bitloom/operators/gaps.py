@@ -1,9 +1,12 @@
 """Strictly increasing series as gaps: which encoding of the gaps is smallest."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitloom.functions.bits import trailing_zeros, varint_length, zigzag
+from bitloom.operators.transforms import runs_of
 
 MODES = ("bytes", "varint", "delta-varint", "zero-bytes", "zero-varint")
 
@@ -56,8 +59,42 @@ def restored(gaps: DataFrame) -> DataFrame:
     return gaps.select("k", "i", (start + total).alias("v"))
 
 
-def fixed_width(rel: DataFrame, width: int) -> DataFrame:
-    """Byte relation -> little-endian integers of ``width`` (1 to 7) bytes: ``k, t, v``; only texts whose length fits."""
-    rows = rel.where((F.col("n") % width == 0) & (F.col("n") >= 3 * width))
-    power = F.pow(F.lit(256.0), F.col("pos") % width).cast("long")
-    return rows.groupBy("k", F.floor(F.col("pos") / width).alias("t")).agg(F.sum(F.col("b") * power).cast("long").alias("v"))
+#: Widths in the order in which they are tried.
+WIDTHS = (3, 4, 2, 5, 6, 7, 8, 1)
+
+
+def fixed_widths(df: DataFrame) -> DataFrame:
+    """``k, bytes`` -> ``k, width, n, falls, chosen``: bytes read as little-endian integers of each width
+    that divides them into three or more; ``falls`` counts values not above the one before, and
+    ``chosen`` marks the first width of WIDTHS without any."""
+    kind = df.schema["k"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            at = 0
+            for t in runs_of(batch.column(1)) if batch.num_rows else []:
+                rows, widths, counts, falls = [], [], [], []
+                for w in WIDTHS:
+                    fits = np.flatnonzero((t.sizes % w == 0) & (t.sizes >= 3 * w))
+                    mask = np.zeros(len(t.sizes), dtype=bool)
+                    mask[fits] = True
+                    part = t.data[mask[t.row]].reshape(-1, w)
+                    value = np.zeros(len(part), dtype=np.uint64)
+                    for i in range(w):
+                        value |= part[:, i].astype(np.uint64) << np.uint64(8 * i)
+                    owner = np.repeat(np.arange(len(fits)), t.sizes[fits] // w)
+                    fall = np.flatnonzero((owner[1:] == owner[:-1]) & (value[1:] <= value[:-1])) + 1
+                    rows.append(fits)
+                    widths.append(np.full(len(fits), w))
+                    counts.append(t.sizes[fits] // w)
+                    falls.append(np.bincount(owner[fall], minlength=len(fits)))
+                rows, widths, counts, falls = (np.concatenate(x) for x in (rows, widths, counts, falls))
+                first = np.full(len(t.sizes), len(rows))
+                np.minimum.at(first, rows[falls == 0], np.flatnonzero(falls == 0))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(rows + at)), pa.array(widths.astype(np.int32)), pa.array(counts.astype(np.int64)), pa.array(falls.astype(np.int64)), pa.array(first[rows] == np.arange(len(rows)))],
+                    names=["k", "width", "n", "falls", "chosen"],
+                )
+                at += len(t.sizes)
+
+    return df.select("k", "bytes").mapInArrow(run, f"k {kind}, width int, n long, falls long, chosen boolean")

@@ -1,61 +1,115 @@
-"""Reversible byte transforms as windows and closed-form permutations.
-
-A byte relation has one row per byte: ``k`` (text), ``n`` (its length), ``pos``, ``b``.
-Residuals are a lag over the position; their inverses are running sums.  Permutations
-move each byte to a position computed from ``n`` and ``pos``: no sort, no shuffle.
-Null texts have no bytes.
+"""Reversible byte transforms of whole texts, inside the row.
+
+A plan is a tuple of steps, each a name and its numbers; every step maps the bytes of
+a text to as many bytes and has an inverse.  Spark hands Arrow batches of texts to a
+kernel that takes all texts of a batch at once (a few numpy passes over their joined
+bytes; residuals are shifts, inverses running sums that start anew at each text,
+permutations closed-form places), so no byte is exploded, sorted or shuffled.
+Null texts count as empty; empty ones stay empty.
 """
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
+
+#: Bytes of text that a kernel takes at once; a longer text is taken whole.
+SPAN = 1 << 20
+
+
+class Texts:
+    """Joined bytes of a run of texts, and where each begins."""
 
-from bitloom.functions.bits import bits_for_count, text_bytes
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        self.data, self.offsets = data, offsets
+        self.sizes = np.diff(offsets)
+        self.row = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.pos = np.arange(len(data)) - offsets[:-1][self.row]
 
+    def with_data(self, data: np.ndarray) -> "Texts":
+        out = object.__new__(Texts)
+        out.__dict__ = self.__dict__ | {"data": data}
+        return out
 
-def byte_relation(df: DataFrame, key: Column, text: Column) -> DataFrame:
-    rows = df.select(key.alias("k"), text_bytes(text).alias("_b"))
-    return rows.select("k", F.size("_b").cast("long").alias("n"), F.posexplode("_b").alias("pos", "b")).select("k", "n", F.col("pos").cast("long").alias("pos"), "b")
+    @property
+    def n(self) -> np.ndarray:
+        return self.sizes[self.row]
 
+    @property
+    def begin(self) -> np.ndarray:
+        return self.offsets[:-1][self.row]
 
-def _at(rel: DataFrame, pos: Column) -> DataFrame:
-    return rel.select("k", "n", pos.cast("long").alias("pos"), "b")
 
+def runs_of(column) -> list[Texts]:
+    """The texts of a binary column in runs of about SPAN bytes."""
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    body = column.buffers()[2]
+    data = np.frombuffer(body, dtype=np.uint8) if body is not None else np.zeros(0, np.uint8)
+    out, at = [], 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SPAN, side="right")) - 1)
+        out.append(Texts(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]))
+        at = to
+    return out
 
-def _lanes(period: int):
-    """Positions of one residue, in order."""
-    return Window.partitionBy("k", F.col("pos") % period).orderBy("pos")
 
+def _before(t: Texts, period: int) -> np.ndarray:
+    """The byte ``period`` places before each, 0 where there is none."""
+    out = np.zeros_like(t.data)
+    out[period:] = t.data[:-period]
+    out[t.pos < period] = 0
+    return out
 
-def delta(rel: DataFrame, period: int = 1) -> DataFrame:
+
+def _running(t: Texts, period: int, total: Callable, less: Callable) -> np.ndarray:
+    """Running totals of each text along the places of one residue."""
+    to = _gathered(t, period)
+    lanes = np.empty_like(t.data)
+    lanes[to] = t.data
+    sums = total(lanes)
+    start = np.sort(to[t.pos < period])
+    base = np.concatenate([[0], sums])[start].astype(np.uint8)
+    return less(sums, np.repeat(base, np.diff(np.append(start, len(lanes)))))[to]
+
+
+def delta(t: Texts, period: int = 1) -> np.ndarray:
     """Each byte less the one ``period`` before, modulo 256."""
-    return rel.withColumn("b", F.pmod(F.col("b") - F.lag("b", period, 0).over(Window.partitionBy("k").orderBy("pos")), F.lit(256)).cast("int"))
+    return t.data - _before(t, period)
+
 
+def undo_delta(t: Texts, period: int = 1) -> np.ndarray:
+    return _running(t, period, lambda x: np.cumsum(x, dtype=np.uint8), np.subtract)
 
-def undo_delta(rel: DataFrame, period: int = 1) -> DataFrame:
-    return rel.withColumn("b", (F.sum("b").over(_lanes(period)) % 256).cast("int"))
 
+def xor(t: Texts, period: int = 1) -> np.ndarray:
+    return t.data ^ _before(t, period)
 
-def xor(rel: DataFrame, period: int = 1) -> DataFrame:
-    return rel.withColumn("b", F.col("b").bitwiseXOR(F.lag("b", period, 0).over(Window.partitionBy("k").orderBy("pos"))))
 
+def undo_xor(t: Texts, period: int = 1) -> np.ndarray:
+    return _running(t, period, np.bitwise_xor.accumulate, np.bitwise_xor)
 
-def undo_xor(rel: DataFrame, period: int = 1) -> DataFrame:
-    return rel.withColumn("b", F.bit_xor("b").over(_lanes(period).rowsBetween(Window.unboundedPreceding, 0)))
 
+def _gathered(t: Texts, period: int) -> np.ndarray:
+    r, extra = t.pos % period, t.n % period
+    return t.begin + r * (t.n // period) + np.minimum(r, extra) + t.pos // period
 
-def gather(rel: DataFrame, period: int) -> DataFrame:
-    """Positions of residue 0 first, then those of residue 1, and so on."""
-    r, q, extra = F.col("pos") % period, F.floor(F.col("n") / period), F.col("n") % period
-    return _at(rel, r * q + F.least(r, extra) + F.floor(F.col("pos") / period))
 
+def _moved(t: Texts, to: np.ndarray) -> np.ndarray:
+    out = np.empty_like(t.data)
+    out[to] = t.data
+    return out
 
-def undo_gather(rel: DataFrame, period: int) -> DataFrame:
-    q, extra = F.floor(F.col("n") / period), F.col("n") % period
-    long_ = extra * (q + 1)  # the first residues have one position more
-    early = F.col("pos") < long_
-    r = F.when(early, F.floor(F.col("pos") / (q + 1))).otherwise(extra + F.floor((F.col("pos") - long_) / F.greatest(q, F.lit(1))))
-    i = F.when(early, F.col("pos") % (q + 1)).otherwise((F.col("pos") - long_) % F.greatest(q, F.lit(1)))
-    return _at(rel, i * period + r)
+
+def gather(t: Texts, period: int) -> np.ndarray:
+    """Places of residue 0 first, then those of residue 1, and so on."""
+    return _moved(t, _gathered(t, period))
+
+
+def undo_gather(t: Texts, period: int) -> np.ndarray:
+    return t.data[_gathered(t, period)]
 
 
 def heads(n: Column, period: int, head: int) -> Column:
@@ -63,86 +117,199 @@ def heads(n: Column, period: int, head: int) -> Column:
     return F.floor(n / period) * head + F.least(F.lit(head), n % period)
 
 
-def head_tail(rel: DataFrame, period: int, head: int) -> DataFrame:
+def _heads(n: np.ndarray, period: int, head: int) -> np.ndarray:
+    return n // period * head + np.minimum(head, n % period)
+
+
+def _split(t: Texts, period: int, head: int) -> np.ndarray:
+    r, i = t.pos % period, t.pos // period
+    return t.begin + np.where(r < head, i * head + r, _heads(t.n, period, head) + i * (period - head) + r - head)
+
+
+def head_tail(t: Texts, period: int, head: int) -> np.ndarray:
     """The first ``head`` bytes of every period, then the others."""
-    r, i = F.col("pos") % period, F.floor(F.col("pos") / period)
-    return _at(rel, F.when(r < head, i * head + r).otherwise(heads(F.col("n"), period, head) + i * (period - head) + r - head))
+    return _moved(t, _split(t, period, head))
 
 
-def undo_head_tail(rel: DataFrame, period: int, head: int) -> DataFrame:
-    h = heads(F.col("n"), period, head)
-    t, rest = F.col("pos") - h, period - head
-    first = F.floor(F.col("pos") / head) * period + F.col("pos") % head
-    return _at(rel, F.when(F.col("pos") < h, first).otherwise(F.floor(t / rest) * period + head + t % rest))
+def undo_head_tail(t: Texts, period: int, head: int) -> np.ndarray:
+    return t.data[_split(t, period, head)]
 
 
-def on_tail(rel: DataFrame, period: int, head: int, change) -> DataFrame:
-    """Apply ``change`` to the part behind the heads, as a text of its own."""
-    h = heads(F.col("n"), period, head)
-    both = rel.withColumn("_h", h)
-    first = both.where(F.col("pos") < F.col("_h")).select("k", "n", "pos", "b")
-    tail = both.where(F.col("pos") >= F.col("_h"))
-    part = tail.select(F.struct("k", "n", "_h").alias("k"), (F.col("n") - F.col("_h")).alias("n"), (F.col("pos") - F.col("_h")).alias("pos"), "b")
-    back = change(part).select(F.col("k.k").alias("k"), F.col("k.n").alias("n"), (F.col("pos") + F.col("k._h")).alias("pos"), "b")
-    return first.unionByName(back)
+def _on_tail(change: Callable) -> Callable:
+    """A change of the part behind the heads, as a text of its own."""
 
+    def run(t: Texts, period: int, head: int, *numbers: int) -> np.ndarray:
+        behind = t.pos >= _heads(t.n, period, head)
+        sizes = t.sizes - _heads(t.sizes, period, head)
+        out = t.data.copy()
+        out[behind] = change(Texts(t.data[behind], np.concatenate([[0], np.cumsum(sizes)])), *numbers)
+        return out
+
+    return run
 
-def bit_planes(rel: DataFrame) -> DataFrame:
-    """Bit 0 of all bytes, then bit 1 of all bytes, and so on, eight to a byte, low bit first."""
-    bits = rel.select("k", "n", "pos", "b", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("i")).where(F.expr("(b >> i) & 1 = 1 OR (pos = 0 AND i = 0)"))
-    place = F.col("i") * F.col("n") + F.col("pos")
-    lit = F.when(F.expr("(b >> i) & 1 = 1"), F.call_function("shiftleft", F.lit(1), (place % 8).cast("int"))).otherwise(0)
-    some = bits.groupBy("k", "n", F.floor(place / 8).alias("pos")).agg(F.sum(lit).cast("int").alias("b"))
-    # bytes without a set bit
-    grid = rel.select("k", "n", "pos").withColumn("b", F.lit(0))
-    return some.unionByName(grid).groupBy("k", "n", "pos").agg(F.sum("b").cast("int").alias("b"))
 
+def _planes(t: Texts) -> np.ndarray:
+    """Where each bit goes: bit i of all bytes before bit i + 1, low bit first."""
+    return (t.begin * 8 + t.pos)[:, None] + np.arange(8)[None] * t.n[:, None]
 
-def undo_bit_planes(rel: DataFrame) -> DataFrame:
-    bits = rel.select("k", "n", "pos", "b", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("i"))
-    place = F.col("pos") * 8 + F.col("i")
-    bit = F.expr("(b >> i) & 1")
-    return bits.groupBy("k", "n", (place % F.col("n")).alias("pos")).agg(F.sum(F.call_function("shiftleft", bit, F.floor(place / F.col("n")).cast("int"))).cast("int").alias("b"))
+
+def bit_planes(t: Texts) -> np.ndarray:
+    """Bit 0 of all bytes, then bit 1 of all bytes, and so on, eight to a byte, low bit first."""
+    bits = np.empty(len(t.data) * 8, dtype=np.uint8)
+    bits[_planes(t).ravel()] = np.unpackbits(t.data, bitorder="little")
+    return np.packbits(bits, bitorder="little")
 
 
-def digest(rel: DataFrame, prefix: str = "") -> DataFrame:
-    """Order-sensitive sums of each text's bytes: two relations with equal digests agree."""
-    return rel.groupBy("k").agg(
-        F.count("*").alias(prefix + "n"), F.sum(F.col("b") * (F.col("pos") % 65521 + 1)).cast("long").alias(prefix + "s1"), F.sum(F.col("b") * (F.col("pos") * 7 % 4099 + 1)).cast("long").alias(prefix + "s2")
-    )
+def undo_bit_planes(t: Texts) -> np.ndarray:
+    return np.packbits(np.unpackbits(t.data, bitorder="little")[_planes(t).ravel()], bitorder="little")
 
 
-PLANS = {
-    "identity": lambda r: r, "delta": delta, "xor": xor, "delta-4": lambda r: delta(r, 4), "xor-4": lambda r: xor(r, 4), "bit-planes": bit_planes,
+#: Steps by name: forth and back.
+STEPS = {
+    "delta": (delta, undo_delta), "xor": (xor, undo_xor), "gather": (gather, undo_gather), "head-tail": (head_tail, undo_head_tail), "bit-planes": (bit_planes, undo_bit_planes),
+    "tail-delta": (_on_tail(delta), _on_tail(undo_delta)), "tail-xor": (_on_tail(xor), _on_tail(undo_xor)), "tail-gather": (_on_tail(gather), _on_tail(undo_gather)),
 }
 
 
-def plan_sizes(rel: DataFrame, plans=tuple(PLANS)) -> DataFrame:
-    """Bytes of each text as fixed-width ids after each plan: ``k, plan, size``."""
-    out = None
-    for name in plans:
-        made = PLANS[name](rel).select("k", F.lit(name).alias("plan"), "b")
-        out = made if out is None else out.union(made)
-    s = out.groupBy("k", "plan", "b").agg(F.count("*").alias("n")).groupBy("k", "plan").agg(F.sum("n").alias("n"), F.count("*").alias("s"))
-    return s.select("k", "plan", (F.ceil(F.col("n") * bits_for_count(F.col("s")) / 8) + F.col("s")).cast("long").alias("size"))
+def applied(t: Texts, plan) -> Texts:
+    for name, *numbers in plan:
+        t = t.with_data(STEPS[name][0](t, *numbers))
+    return t
+
+
+def undone(t: Texts, plan) -> Texts:
+    for name, *numbers in reversed(plan):
+        t = t.with_data(STEPS[name][1](t, *numbers))
+    return t
+
+
+def byte_texts(df: DataFrame, key: Column, text: Column) -> DataFrame:
+    """``k, bytes``: the UTF-8 bytes of each text."""
+    return df.select(key.alias("k"), F.encode(F.coalesce(text, F.lit("")), "UTF-8").alias("bytes"))
+
+
+def _added(df: DataFrame, source: str, name: str, change: Callable) -> DataFrame:
+    place, schema = df.columns.index(source), StructType([*df.schema.fields, StructField(name, BinaryType())])
+
+    def run(batches):
+        for batch in batches:
+            column = batch.column(place)
+            sizes = np.diff(np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]) if len(column) else np.zeros(0, np.int32)
+            made = [change(t).data for t in runs_of(column)] if len(column) else []
+            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            body = np.ascontiguousarray(np.concatenate(made) if made else np.zeros(0, np.uint8))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.Array.from_buffers(pa.binary(), len(column), [None, pa.py_buffer(offsets), pa.py_buffer(body)])], names=schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
+def transformed(df: DataFrame, plan, source: str = "bytes", name: str = "made") -> DataFrame:
+    """``df`` with the bytes of ``source`` after the plan."""
+    return _added(df, source, name, lambda t: applied(t, plan))
+
+
+def restored(df: DataFrame, plan, source: str = "made", name: str = "back") -> DataFrame:
+    """``df`` with the bytes of ``source`` before the plan."""
+    return _added(df, source, name, lambda t: undone(t, plan))
+
+
+#: Plans that every text tries, in the order that settles ties.
+PLANS = {"identity": (), "delta": (("delta",),), "xor": (("xor",),), "delta-4": (("delta", 4),), "xor-4": (("xor", 4),), "bit-planes": (("bit-planes",),)}
+PERIODS = range(2, 17)
+#: Bytes that naming a plan costs.
+NAMED = 28
+
+
+def _same(t: Texts, samples: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each text and period: probed places whose byte equals the one a period before, and places probed."""
+    same, total = (np.zeros((len(t.sizes), len(PERIODS)), dtype=np.int64) for _ in range(2))
+    for j, p in enumerate(PERIODS):
+        step = np.maximum(1, (t.sizes - p) // np.maximum(1, np.minimum(samples, t.sizes - 2)))
+        probed = np.flatnonzero((t.pos >= p) & ((t.pos - p) % step[t.row] == 0))
+        total[:, j] = np.bincount(t.row[probed], minlength=len(t.sizes))
+        same[:, j] = np.bincount(t.row[probed], weights=t.data[probed] == t.data[probed - p], minlength=len(t.sizes))
+    return same, total
 
 
-def best_plan(sizes: DataFrame, plans=tuple(PLANS)) -> DataFrame:
-    """The plan of least size for each text; ties go to the earlier plan."""
-    rank = F.array_position(F.array(*[F.lit(p) for p in plans]), F.col("plan"))
-    return sizes.groupBy("k").agg(F.min(F.struct("size", rank.alias("rank"), "plan")).alias("x")).select("k", "x.plan", "x.size")
+def _top(same: np.ndarray, total: np.ndarray, top: int) -> np.ndarray:
+    """Places of the best periods in PERIODS; ties go to the smaller."""
+    return np.argsort(-(same / np.maximum(total, 1)), axis=1, kind="stable")[:, :top]
 
 
-def period_scores(rel: DataFrame, max_period: int = 16, top: int = 3, least: int = 2048, samples: int = 20_000) -> DataFrame:
-    """The periods at which bytes most often equal the byte one period before.
+def period_scores(df: DataFrame, top: int = 3, least: int = 2048, samples: int = 20_000) -> DataFrame:
+    """``k, period, same, total, place``: the periods at which bytes most often equal the byte one period before.
 
     Texts under ``least`` bytes have none; long ones are probed at every step-th place.
-    Ties go to the smaller period.  One window serves all periods."""
-    order = Window.partitionBy("k").orderBy("pos")
-    lags = [F.struct(F.lit(p).cast("int").alias("p"), (F.col("b") == F.lag("b", p).over(order)).cast("int").alias("same")) for p in range(2, max_period + 1)]
-    rows = rel.where(F.col("n") >= least).withColumn("_l", F.array(*lags)).select("k", "n", "pos", F.explode("_l").alias("l")).where(F.col("pos") >= F.col("l.p"))
-    step = F.greatest(F.lit(1), F.floor((F.col("n") - F.col("l.p")) / F.least(F.lit(samples), F.col("n") - 2)))
-    rows = rows.where((F.col("pos") - F.col("l.p")) % step == 0)
-    score = rows.groupBy("k", F.col("l.p").alias("period")).agg(F.sum("l.same").cast("long").alias("same"), F.count("*").alias("total"))
-    rank = F.row_number().over(Window.partitionBy("k").orderBy((F.col("same") / F.col("total")).desc(), "period"))
-    return score.withColumn("place", rank).where(F.col("place") <= top)
+    Ties go to the smaller period."""
+    kind = df.schema["k"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            column, at = batch.column(1), 0
+            for t in runs_of(column) if len(column) else []:
+                same, total = _same(t, samples)
+                best = _top(same, total, top)
+                rows = np.repeat(np.arange(len(best)), top)
+                best = best.ravel()
+                place = np.tile(np.arange(1, top + 1), len(t.sizes))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(rows + at)), pa.array(np.array(PERIODS)[best].astype(np.int32)), pa.array(same[rows, best]), pa.array(total[rows, best]), pa.array(place.astype(np.int32))],
+                    names=["k", "period", "same", "total", "place"],
+                )
+                at += len(t.sizes)
+
+    return df.select("k", "bytes").where(F.octet_length("bytes") >= least).mapInArrow(run, f"k {kind}, period int, same long, total long, place int")
+
+
+def _id_sizes(t: Texts) -> np.ndarray:
+    """Bytes of each text as fixed-width ids of its distinct bytes, with their table."""
+    symbols = (np.bincount(t.row * 256 + t.data, minlength=len(t.sizes) * 256).reshape(-1, 256) > 0).sum(axis=1)
+    bits = np.maximum(1, np.ceil(np.log2(np.maximum(symbols, 1)))).astype(np.int64)
+    return (t.sizes * bits + 7) // 8 + symbols
+
+
+def _some(t: Texts, rows: np.ndarray) -> Texts:
+    keep = np.zeros(len(t.sizes), dtype=bool)
+    keep[rows] = True
+    return Texts(t.data[keep[t.row]], np.concatenate([[0], np.cumsum(t.sizes[rows])]))
+
+
+def plan_sizes(df: DataFrame, top: int = 3, least: int = 2048, samples: int = 20_000) -> DataFrame:
+    """``k, plans``: for each text (empty ones have none) an array of ``size, rank, plan``: its bytes as
+    fixed-width ids after each plan of PLANS, and after residuals at its best periods."""
+    kind, names = df.schema["k"].dataType.simpleString(), list(PLANS)
+
+    def run(batches):
+        for batch in batches:
+            column, at = batch.column(1), 0
+            for t in runs_of(column) if len(column) else []:
+                rows = [(np.arange(len(t.sizes)), _id_sizes(applied(t, PLANS[p])), i, p) for i, p in enumerate(names)]
+                long_ = np.flatnonzero(t.sizes >= least)
+                if len(long_):
+                    best = _top(*_same(_some(t, long_), samples), top)
+                    for j, p in enumerate(PERIODS):
+                        who, place = np.nonzero(best == j)
+                        if len(who):
+                            part = _some(t, long_[who])
+                            for i, name in enumerate(("delta", "xor")):
+                                rows.append((long_[who], _id_sizes(applied(part, ((name, p),))), len(names) + 2 * place + i, f"{name}-{p}"))
+                owner = np.concatenate([r for r, *_ in rows])
+                order = np.argsort(owner, kind="stable")
+                size = np.concatenate([s for _, s, *_ in rows])[order]
+                rank = np.concatenate([np.broadcast_to(x, len(r)) for r, _, x, _ in rows])[order].astype(np.int32)
+                plan = np.array([p for r, _, _, p in rows for _ in range(len(r))], dtype=object)[order]
+                items = pa.StructArray.from_arrays([pa.array(size), pa.array(rank), pa.array(plan, pa.string())], names=["size", "rank", "plan"])
+                offsets = np.searchsorted(owner[order], np.arange(len(t.sizes) + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(t.sizes)), pa.ListArray.from_arrays(pa.array(offsets), items)], names=["k", "plans"])
+                at += len(t.sizes)
+
+    return df.select("k", "bytes").where(F.octet_length("bytes") > 0).mapInArrow(run, f"k {kind}, plans array<struct<size:bigint,rank:int,plan:string>>")
+
+
+def best_plan(sizes: DataFrame) -> DataFrame:
+    """The plan of least size for each text; ties go to the earlier plan.  A plan must beat the
+    text as it is by more than the bytes that naming it costs (``beats``)."""
+    best = F.array_min("plans")
+    plain = F.element_at(F.filter("plans", lambda x: x["plan"] == "identity"), 1)["size"]
+    out = sizes.select("k", best["plan"].alias("plan"), best["size"].alias("size"), plain.alias("plain"))
+    return out.withColumn("beats", F.col("size") + NAMED < F.col("plain"))

@@ -10,24 +10,20 @@ from bitloom.sources.tables import table
 from bitloom.streaming import blocks as C
 
 
-def _rel(spark, sf) -> DataFrame:
-    return T.byte_relation(table(spark, sf, "documents"), F.col("doc_id"), F.col("text"))
+def _texts(spark, sf) -> DataFrame:
+    return T.byte_texts(table(spark, sf, "documents"), F.col("doc_id"), F.col("text")).where(F.octet_length("bytes") > 0)
 
 
 def _hist(spark, sf) -> DataFrame:
     return S.histogram(table(spark, sf, "documents"), F.col("doc_id"), F.col("text"))
 
 
-def _with_inverse(apply, undo):
-    """Digest of the transformed bytes, and whether the inverse gives the text's own digest."""
+def _round_trip(*plan):
+    """Digest of each text's bytes after the plan, and whether the inverse gives the text back."""
 
     def run(spark, sf):
-        rel = _rel(spark, sf)
-        made = apply(rel)
-        own, back = T.digest(rel, "own_"), T.digest(undo(made), "back_")
-        same = (F.col("own_s1") == F.col("back_s1")) & (F.col("own_s2") == F.col("back_s2")) & (F.col("own_n") == F.col("back_n"))
-        out = T.digest(made).join(own, "k").join(back, "k")
-        return out.select(F.col("k").alias("doc_id"), "n", "s1", "s2", same.alias("restored"))
+        both = T.restored(T.transformed(_texts(spark, sf), plan), plan)
+        return both.select(F.col("k").alias("doc_id"), F.octet_length("made").cast("long").alias("n"), F.md5("made").alias("digest"), (F.col("bytes") == F.col("back")).alias("restored"))
 
     return run
 
@@ -37,7 +33,7 @@ WITH hexed AS (SELECT doc_id AS k, hex(encode(coalesce(text, ''))) AS h FROM doc
 listed AS (SELECT k, length(h) // 2 AS n, regexp_extract_all(h, '..') AS p FROM hexed),
 rel AS (SELECT k, n, generate_subscripts(p, 1) - 1 AS pos, CAST('0x' || unnest(p) AS INTEGER) AS b FROM listed)"""
 DIGEST = """
-SELECT k AS doc_id, count(*) AS n, CAST(sum(b * (pos % 65521 + 1)) AS BIGINT) AS s1, CAST(sum(b * (pos * 7 % 4099 + 1)) AS BIGINT) AS s2, TRUE AS restored
+SELECT k AS doc_id, count(*) AS n, md5(unhex(string_agg(printf('%02X', b), '' ORDER BY pos))) AS digest, TRUE AS restored
 FROM out GROUP BY k"""
 
 
@@ -67,15 +63,6 @@ def _sql_tail(change: str) -> str:
     return f"SELECT k, n, pos, CASE WHEN pos < {h} THEN b ELSE {value} END AS b FROM t1"
 
 
-def _then(*steps):
-    def run(rel):
-        for s in steps:
-            rel = s(rel)
-        return rel
-
-    return run
-
-
 def bits_of(key: str = "doc_id"):
     def run(spark, sf):
         h = S.symbol_ids(_hist(spark, sf))
@@ -95,16 +82,19 @@ def huffman(spark, sf):
     total = h.groupBy("k").agg(F.sum("freq").alias("n"), F.count("*").alias("symbols"), F.sum(F.col("freq") * F.log2("freq")).alias("flog"))
     entropy = F.col("n") * F.log2("n") - F.col("flog")
     fits = (F.col("coded_bits") >= entropy - 1e-6) & (F.col("coded_bits") < entropy + F.col("n") + F.when(F.col("symbols") == 1, 1).otherwise(0))
-    return size.join(total, "k").select(F.col("k").alias("doc_id"), F.col("n").cast("long").alias("n"), fits.alias("within_bound"))
+    return size.join(total, "k").select(F.col("k").alias("doc_id"), F.col("n").cast("long").alias("n"), "coded_bits", "huffman", fits.alias("within_bound"))
 
 
 def codes(spark, sf):
-    """Canonical codes are prefix-free: code spaces of a text sum to one and never overlap."""
+    """Canonical codes are prefix-free: code spaces of a text sum to one and never overlap; no code is shorter in all."""
     c = S.canonical_codes(S.code_lengths(_hist(spark, sf)))
     order = Window.partitionBy("k").orderBy("length", "b")
     low = F.col("code") * F.pow(F.lit(2.0), -F.col("length"))
     c = c.withColumn("low", low).withColumn("gap", F.lead("low").over(order) - F.col("low") - F.pow(F.lit(2.0), -F.col("length")))
-    return c.groupBy(F.col("k").alias("doc_id")).agg(F.count("*").alias("symbols"), (F.coalesce(F.min("gap"), F.lit(0.0)) == 0.0).alias("prefix_free"))
+    return c.groupBy(F.col("k").alias("doc_id")).agg(
+        F.count("*").alias("symbols"), F.sum(F.col("freq") * F.col("length")).cast("long").alias("coded_bits"), F.sum(F.pow(F.lit(2.0), -F.col("length"))).alias("space"),
+        (F.coalesce(F.min("gap"), F.lit(0.0)) == 0.0).alias("prefix_free"),
+    )
 
 
 def method(spark, sf):
@@ -123,12 +113,6 @@ def coded_method(spark, sf):
     return S.choose(s.select("k", each.alias("c")).select("k", "c.method", "c.total")).withColumnRenamed("k", "doc_id")
 
 
-def gate(spark, sf):
-    s = S.index_sizes(_hist(spark, sf))
-    payload = F.ceil(F.col("n") * F.col("bits") / 8)
-    return s.select(F.col("k").alias("doc_id"), S.circuit_allowed(F.col("symbols"), payload, F.lit(16)).alias("wide"), S.circuit_allowed(F.col("symbols"), payload, F.lit(8)).alias("narrow"))
-
-
 def methods(spark, sf):
     """Texts and bytes by chosen method."""
     return method(spark, sf).groupBy("method").agg(F.count("*").alias("texts"), F.sum("total").cast("long").alias("bytes"))
@@ -145,13 +129,23 @@ def payloads(spark, sf):
     return d.groupBy(F.md5("t").alias("hash"), F.octet_length("t").cast("long").alias("bytes")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc"))
 
 
+def encoded_once(spark, sf):
+    """Each text's size as fixed-width ids, worked out once for equal texts."""
+    d = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    d = d.withColumn("hash", F.md5("text")).where("text <> ''")
+    first = d.groupBy("hash").agg(F.min("doc_id").alias("encoded_as"))
+    some = d.join(first.select(F.col("encoded_as").alias("doc_id"), "hash"), ["doc_id", "hash"], "left_semi").dropDuplicates(["hash"])
+    sizes = S.index_sizes(S.histogram(some, F.col("hash"), F.col("text"))).select(F.col("k").alias("hash"), "indexed")
+    return d.select("doc_id", "hash").join(first.join(sizes, "hash"), "hash").select("doc_id", "encoded_as", "indexed")
+
+
 def head_bytes(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n"))
     return d.select("doc_id", *[T.heads(F.col("n"), p, h).cast("long").alias(f"heads_{p}_{h}") for p, h in ((4, 1), (8, 3), (257, 1))])
 
 
 def best_plan(spark, sf):
-    return T.best_plan(T.plan_sizes(_rel(spark, sf))).withColumnRenamed("k", "doc_id")
+    return T.best_plan(T.plan_sizes(_texts(spark, sf))).withColumnRenamed("k", "doc_id")
 
 
 def groups(spark, sf):
@@ -182,11 +176,38 @@ def _plan_sql() -> str:
         " FROM t0, (SELECT CAST(i AS INTEGER) AS i FROM range(8) r(i)) GROUP BY ALL",
     }
     every = " UNION ALL ".join(f"SELECT k, '{name}' AS plan, {i} AS rank, b FROM ({sql})" for i, (name, sql) in enumerate(parts.items()))
-    return BYTES + f""", t0 AS (SELECT * FROM rel), e AS ({every}), s AS (SELECT k, plan, rank, count(*) AS n, count(DISTINCT b) AS s FROM e GROUP BY ALL)
-SELECT k AS doc_id, plan, CAST((n * CAST(greatest(1, ceil(log2(s))) AS BIGINT) + 7) // 8 + s AS BIGINT) AS size FROM s
+    return PERIODS + f""", t0 AS (SELECT * FROM rel),
+near AS (SELECT r.k, t.period, t.place, r.b, coalesce(q.b, 0) AS before FROM top t JOIN rel r ON r.k = t.k LEFT JOIN rel q ON q.k = r.k AND q.pos = r.pos - t.period),
+e AS ({every}
+  UNION ALL SELECT k, 'delta-' || period, 4 + 2 * place, ((b - before) % 256 + 256) % 256 FROM near
+  UNION ALL SELECT k, 'xor-' || period, 5 + 2 * place, xor(b, before) FROM near),
+s AS (SELECT k, plan, rank, count(*) AS n, count(DISTINCT b) AS s FROM e GROUP BY ALL),
+sized AS (SELECT *, CAST((n * CAST(greatest(1, ceil(log2(s))) AS BIGINT) + 7) // 8 + s AS BIGINT) AS size FROM s)
+SELECT k AS doc_id, plan, size, max(CASE WHEN rank = 0 THEN size END) OVER (PARTITION BY k) AS plain, size + 28 < plain AS beats FROM sized
 QUALIFY row_number() OVER (PARTITION BY k ORDER BY size, rank) = 1"""
 
 
+PERIODS = BYTES + """, pairs AS (
+  SELECT k, p.i AS period, CASE WHEN b = lag(b, CAST(p.i AS INTEGER)) OVER (PARTITION BY k, p.i ORDER BY pos) THEN 1 ELSE 0 END AS same, pos, n
+  FROM rel, range(2, 17) p(i) WHERE n >= 2048),
+scored AS (SELECT k, CAST(period AS INTEGER) AS period, CAST(sum(same) AS BIGINT) AS same, count(*) AS total FROM pairs
+      WHERE pos >= period AND (pos - period) % greatest(1, (n - period) // least(20000, n - 2)) = 0 GROUP BY ALL),
+top AS (SELECT k, period, same, total, CAST(row_number() OVER (PARTITION BY k ORDER BY same::DOUBLE / total DESC, period) AS INTEGER) AS place
+FROM scored QUALIFY place <= 3)"""
+
+#: Bits of a minimum-redundancy code: the two smallest counts of a text merge until one is left.
+MERGES = BYTES.replace("WITH hexed", "WITH RECURSIVE hexed") + """, counted AS (SELECT k, b, count(*) AS f FROM rel GROUP BY ALL),
+merges AS (
+  SELECT k, list_sort(list(f)) AS l, CAST(CASE WHEN count(*) = 1 THEN sum(f) ELSE 0 END AS BIGINT) AS bits FROM counted GROUP BY k
+  UNION ALL
+  SELECT k, list_sort(list_append(l[3:], l[1] + l[2])), CAST(bits + l[1] + l[2] AS BIGINT) FROM merges WHERE len(l) > 1),
+whole AS (SELECT k, sum(f) AS n, count(*) AS symbols, sum(f * log2(f)) AS flog FROM counted GROUP BY k),
+coded AS (SELECT k, CAST(n AS BIGINT) AS n, symbols, flog, bits, (bits + 7) // 8 + 2 * symbols + 36 AS huffman,
+          (n * CAST(greatest(1, ceil(log2(symbols))) AS BIGINT) + 7) // 8 + symbols + 36 AS idx FROM merges JOIN whole USING (k) WHERE len(l) = 1),
+chosen AS (SELECT k, CASE WHEN huffman < least(idx, n + 36) THEN 'indexed-huffman' WHEN idx < n + 36 THEN 'indexed-raw' ELSE 'raw-copy' END AS method,
+           CAST(least(n + 36, idx, huffman) AS BIGINT) AS total FROM coded)"""
+
+
 def series(spark, sf) -> DataFrame:
     """Event times of each user in microseconds, distinct, in order."""
     e = table(spark, sf, "events").select(F.col("user_id").alias("k"), F.unix_micros(F.col("ts").cast("timestamp")).alias("v")).distinct()
@@ -225,22 +246,19 @@ def gap_restored(spark, sf):
     return both.groupBy(F.col("k").alias("user_id")).agg(F.count("*").alias("n"), F.sum("again").cast("decimal(38,0)").cast("string").alias("total"), F.min((F.col("v") == F.col("again"))).alias("restored"))
 
 
-def fixed_width(spark, sf):
-    """Texts whose bytes, read as three-byte integers, happen to increase strictly; all others by how far they do."""
-    v = G.fixed_width(_rel(spark, sf), 3)
-    g = G.gap_rows(v)
-    return g.groupBy(F.col("k").alias("doc_id")).agg(F.count("*").alias("n"), F.sum("v").cast("long").alias("total"), F.count_if(F.col("gap") <= 0).alias("falls"))
+def fixed_widths(spark, sf):
+    return G.fixed_widths(_texts(spark, sf)).withColumnRenamed("k", "doc_id")
 
 
 def periods(spark, sf):
-    return T.period_scores(_rel(spark, sf)).withColumnRenamed("k", "doc_id")
+    return T.period_scores(_texts(spark, sf)).withColumnRenamed("k", "doc_id")
 
 
 def chunks(spark, sf):
+    """Blocks of eight 256-byte chunks, put together again: digests of their bytes."""
     out = C.text_chunks(table(spark, sf, "documents"), F.col("doc_id"), F.col("text"), 256)
-    return out.groupBy("k", (F.floor(F.col("chunk") / 8)).alias("block")).agg(
-        F.count("*").alias("chunks"), F.sum("size").cast("long").alias("bytes"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "hex"))), lambda c: c["hex"]), "").cast("binary")).alias("digest")
-    ).withColumnRenamed("k", "doc_id")
+    blocks = C.joined(out.withColumn("k", F.struct("k", F.floor(F.col("chunk") / 8).alias("block"))))
+    return blocks.select(F.col("k.k").alias("doc_id"), F.col("k.block").alias("block"), "chunks", F.col("size").alias("bytes"), F.md5("bytes").alias("digest"))
 
 
 def history(spark, sf):
@@ -248,15 +266,9 @@ def history(spark, sf):
 
 
 def resumed(spark, sf):
-    """Bytes that a reader gets who starts at the second block of each text."""
-    out = C.text_chunks(table(spark, sf, "documents"), F.col("doc_id"), F.col("text"), 2048).where("chunk >= 1")
-    return out.groupBy(F.col("k").alias("doc_id")).agg(F.sum("size").cast("long").alias("bytes"), F.count("*").alias("blocks"))
-
-
-def packed(spark, sf):
-    """Every text packed by its smallest candidate and unpacked again."""
-    p = C.pack(table(spark, sf, "documents").select(F.col("doc_id").alias("k"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("bytes")))
-    return C.unpack(p).select(F.col("k").alias("doc_id"), F.octet_length("bytes").cast("long").alias("n"), (F.md5("bytes") == F.col("digest")).alias("restored"), (F.col("total") <= F.octet_length("bytes") + S.HEADER).alias("never_larger"))
+    """The bytes that a reader gets who starts at the second block of four 512-byte chunks of each text."""
+    out = C.text_chunks(table(spark, sf, "documents"), F.col("doc_id"), F.col("text"), 512)
+    return C.resume(out, 4, 4).select(F.col("k").alias("doc_id"), F.col("size").alias("bytes"), "chunks", F.md5("bytes").alias("digest"))
 
 
 def registry() -> dict:
@@ -270,39 +282,26 @@ def registry() -> dict:
         "SELECT k, n, (i * n + pos) // 8 AS pos, CAST(sum(((b >> i) & 1) << CAST((i * n + pos) % 8 AS INTEGER)) AS INTEGER) AS b"
         " FROM t0, (SELECT CAST(i AS INTEGER) AS i FROM range(8) r(i)) GROUP BY ALL"
     )
-    on_tail = lambda f: lambda rel: T.on_tail(rel, 8, 1, f)
-    ht1, uht1 = lambda r: T.head_tail(r, 8, 1), lambda r: T.undo_head_tail(r, 8, 1)
+    ht1 = ("head-tail", 8, 1)
     return {
-        "t1_delta": (_with_inverse(T.delta, T.undo_delta), _sql(d1)),
-        "t2_xor": (_with_inverse(T.xor, T.undo_xor), _sql(x1)),
-        "t3_bit_planes": (_with_inverse(T.bit_planes, T.undo_bit_planes), _sql(planes)),
-        "t4_bit_planes_delta": (_with_inverse(_then(T.bit_planes, T.delta), _then(T.undo_delta, T.undo_bit_planes)), _sql(planes, _sql_delta("t1", 1))),
-        "t4_bit_planes_xor": (_with_inverse(_then(T.bit_planes, T.xor), _then(T.undo_xor, T.undo_bit_planes)), _sql(planes, _sql_xor("t1", 1))),
-        "t5_head_tail": (_with_inverse(lambda r: T.head_tail(r, 8, 3), lambda r: T.undo_head_tail(r, 8, 3)), _sql(ht)),
-        "t6_gather": (_with_inverse(lambda r: T.gather(r, 4), lambda r: T.undo_gather(r, 4)), _sql(g4)),
-        "t7_periodic_delta": (_with_inverse(lambda r: T.delta(r, 4), lambda r: T.undo_delta(r, 4)), _sql(_sql_delta("t0", 4))),
-        "t7_periodic_xor": (_with_inverse(lambda r: T.xor(r, 4), lambda r: T.undo_xor(r, 4)), _sql(_sql_xor("t0", 4))),
-        "t8_gather_delta": (_with_inverse(lambda r: T.delta(T.gather(r, 4)), lambda r: T.undo_gather(T.undo_delta(r), 4)), _sql(g4, _sql_delta("t1", 1))),
-        "t8_gather_xor": (_with_inverse(lambda r: T.xor(T.gather(r, 4)), lambda r: T.undo_gather(T.undo_xor(r), 4)), _sql(g4, _sql_xor("t1", 1))),
-        "t9_tail_gather": (_with_inverse(_then(ht1, on_tail(lambda r: T.gather(r, 3))), _then(on_tail(lambda r: T.undo_gather(r, 3)), uht1)), _sql(h1, tail_gather)),
-        "t9_tail_gather_delta": (
-            _with_inverse(_then(ht1, on_tail(lambda r: T.gather(r, 3)), T.delta), _then(T.undo_delta, on_tail(lambda r: T.undo_gather(r, 3)), uht1)),
-            _sql(h1, tail_gather, _sql_delta("t2", 1)),
-        ),
-        "t10_tail_delta": (_with_inverse(_then(ht1, on_tail(lambda r: T.delta(r, 3))), _then(on_tail(lambda r: T.undo_delta(r, 3)), uht1)), _sql(h1, _sql_tail("delta"))),
-        "t10_tail_xor": (_with_inverse(_then(ht1, on_tail(lambda r: T.xor(r, 3))), _then(on_tail(lambda r: T.undo_xor(r, 3)), uht1)), _sql(h1, _sql_tail("xor"))),
-        "t11_head_tail_delta": (_with_inverse(lambda r: T.delta(T.head_tail(r, 8, 3)), lambda r: T.undo_head_tail(T.undo_delta(r), 8, 3)), _sql(ht, _sql_delta("t1", 1))),
-        "t11_head_tail_xor": (_with_inverse(lambda r: T.xor(T.head_tail(r, 8, 3)), lambda r: T.undo_head_tail(T.undo_xor(r), 8, 3)), _sql(ht, _sql_xor("t1", 1))),
-        "t14_period_scores": (
-            periods,
-            BYTES + """, pairs AS (
-  SELECT k, p.i AS period, CASE WHEN b = lag(b, CAST(p.i AS INTEGER)) OVER (PARTITION BY k, p.i ORDER BY pos) THEN 1 ELSE 0 END AS same, pos, n
-  FROM rel, range(2, 17) p(i) WHERE n >= 2048),
-s AS (SELECT k, CAST(period AS INTEGER) AS period, CAST(sum(same) AS BIGINT) AS same, count(*) AS total FROM pairs
-      WHERE pos >= period AND (pos - period) % greatest(1, (n - period) // least(20000, n - 2)) = 0 GROUP BY ALL)
-SELECT k AS doc_id, period, same, total, CAST(row_number() OVER (PARTITION BY k ORDER BY same::DOUBLE / total DESC, period) AS INTEGER) AS place
-FROM s QUALIFY place <= 3""",
-        ),
+        "t1_delta": (_round_trip(("delta",)), _sql(d1)),
+        "t2_xor": (_round_trip(("xor",)), _sql(x1)),
+        "t3_bit_planes": (_round_trip(("bit-planes",)), _sql(planes)),
+        "t4_bit_planes_delta": (_round_trip(("bit-planes",), ("delta",)), _sql(planes, _sql_delta("t1", 1))),
+        "t4_bit_planes_xor": (_round_trip(("bit-planes",), ("xor",)), _sql(planes, _sql_xor("t1", 1))),
+        "t5_head_tail": (_round_trip(("head-tail", 8, 3)), _sql(ht)),
+        "t6_gather": (_round_trip(("gather", 4)), _sql(g4)),
+        "t7_periodic_delta": (_round_trip(("delta", 4)), _sql(_sql_delta("t0", 4))),
+        "t7_periodic_xor": (_round_trip(("xor", 4)), _sql(_sql_xor("t0", 4))),
+        "t8_gather_delta": (_round_trip(("gather", 4), ("delta",)), _sql(g4, _sql_delta("t1", 1))),
+        "t8_gather_xor": (_round_trip(("gather", 4), ("xor",)), _sql(g4, _sql_xor("t1", 1))),
+        "t9_tail_gather": (_round_trip(ht1, ("tail-gather", 8, 1, 3)), _sql(h1, tail_gather)),
+        "t9_tail_gather_delta": (_round_trip(ht1, ("tail-gather", 8, 1, 3), ("delta",)), _sql(h1, tail_gather, _sql_delta("t2", 1))),
+        "t10_tail_delta": (_round_trip(ht1, ("tail-delta", 8, 1, 3)), _sql(h1, _sql_tail("delta"))),
+        "t10_tail_xor": (_round_trip(ht1, ("tail-xor", 8, 1, 3)), _sql(h1, _sql_tail("xor"))),
+        "t11_head_tail_delta": (_round_trip(("head-tail", 8, 3), ("delta",)), _sql(ht, _sql_delta("t1", 1))),
+        "t11_head_tail_xor": (_round_trip(("head-tail", 8, 3), ("xor",)), _sql(ht, _sql_xor("t1", 1))),
+        "t14_period_scores": (periods, PERIODS + " SELECT k AS doc_id, period, same, total, place FROM top"),
         "p1_histogram": (bits_of(), BYTES + " SELECT k AS doc_id, b, count(*) AS freq, CAST(dense_rank() OVER (PARTITION BY k ORDER BY b) - 1 AS INTEGER) AS id FROM rel GROUP BY k, b"),
         "p3_index_sizes": (
             sizes,
@@ -310,13 +309,12 @@ FROM s QUALIFY place <= 3""",
             " w AS (SELECT *, CAST(greatest(1, ceil(log2(symbols))) AS INTEGER) AS bits FROM s)"
             " SELECT k AS doc_id, n, symbols, bits, n + 36 AS raw, (n * bits + 7) // 8 + symbols + 36 AS indexed FROM w",
         ),
-        "p4_huffman_bound": (huffman, BYTES + " SELECT k AS doc_id, count(*) AS n, TRUE AS within_bound FROM rel GROUP BY k"),
-        "p5_canonical_codes": (codes, BYTES + " SELECT k AS doc_id, count(DISTINCT b) AS symbols, TRUE AS prefix_free FROM rel GROUP BY k"),
-        "p9_circuit_gate": (
-            gate,
-            BYTES + ", s AS (SELECT k, count(*) AS n, count(DISTINCT b) AS symbols FROM rel GROUP BY k)"
-            " SELECT k AS doc_id, symbols <= 64 AND (n * CAST(greatest(1, ceil(log2(symbols))) AS BIGINT) + 7) // 8 >= 4096 AS wide, FALSE AS narrow FROM s",
+        "p4_huffman_bound": (
+            huffman,
+            MERGES + " SELECT k AS doc_id, n, bits AS coded_bits, CAST(huffman AS BIGINT) AS huffman,"
+            " bits >= n * log2(n) - flog - 1e-6::DOUBLE AND bits < n * log2(n) - flog + n + CASE WHEN symbols = 1 THEN 1 ELSE 0 END AS within_bound FROM coded",
         ),
+        "p5_canonical_codes": (codes, MERGES + " SELECT k AS doc_id, symbols, bits AS coded_bits, CASE WHEN symbols = 1 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS space, TRUE AS prefix_free FROM coded"),
         "c2_choose_method": (
             method,
             BYTES + ", s AS (SELECT k, count(*) AS n, count(DISTINCT b) AS symbols FROM rel GROUP BY k),"
@@ -329,8 +327,13 @@ FROM s QUALIFY place <= 3""",
             " w AS (SELECT k, n + 36 AS raw, (n * CAST(greatest(1, ceil(log2(symbols))) AS BIGINT) + 7) // 8 + symbols + 36 AS idx FROM s)"
             " SELECT CASE WHEN idx < raw THEN 'indexed-raw' ELSE 'raw-copy' END AS method, count(*) AS texts, CAST(sum(least(raw, idx)) AS BIGINT) AS bytes FROM w GROUP BY 1",
         ),
-        "c2_choose_coded_method": (coded_method, None),
-        "c1_coded_methods_used": (coded_methods, None),
+        "c2_choose_coded_method": (coded_method, MERGES + " SELECT k AS doc_id, method, total FROM chosen"),
+        "c1_coded_methods_used": (coded_methods, MERGES + " SELECT method, count(*) AS texts, CAST(sum(total) AS BIGINT) AS bytes FROM chosen GROUP BY method"),
+        "c10_encoded_once": (
+            encoded_once,
+            BYTES + ", s AS (SELECT k, count(*) AS n, count(DISTINCT b) AS symbols FROM rel GROUP BY k), f AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS encoded_as FROM documents)"
+            " SELECT f.doc_id, encoded_as, (n * CAST(greatest(1, ceil(log2(symbols))) AS BIGINT) + 7) // 8 + symbols + 36 AS indexed FROM f JOIN s ON f.doc_id = s.k",
+        ),
         "p10_equal_payloads": (payloads, "SELECT md5(coalesce(text, '')) AS hash, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS bytes, count(*) AS copies, min(doc_id) AS first_doc FROM documents GROUP BY 1, 2"),
         "t13_head_bytes": (
             head_bytes,
@@ -339,12 +342,13 @@ FROM s QUALIFY place <= 3""",
         ),
         "t16_best_plan": (best_plan, _plan_sql()),
         "g9_best_groups": (groups, GROUPS),
-        "c3_pack_round_trip": (packed, "SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n, TRUE AS restored, TRUE AS never_larger FROM documents"),
         "d1_fixed_width": (
-            fixed_width,
-            BYTES + ", v AS (SELECT k, pos // 3 AS t, CAST(sum(b * CASE pos % 3 WHEN 0 THEN 1 WHEN 1 THEN 256 ELSE 65536 END) AS BIGINT) AS v FROM rel WHERE n % 3 = 0 AND n >= 9 GROUP BY ALL),"
-            " g AS (SELECT *, v - lag(v) OVER (PARTITION BY k ORDER BY t) AS gap FROM v)"
-            " SELECT k AS doc_id, count(*) AS n, CAST(sum(v) AS BIGINT) AS total, count(*) FILTER (WHERE gap <= 0) AS falls FROM g GROUP BY k",
+            fixed_widths,
+            BYTES + ", w AS (SELECT CAST(x.w AS BIGINT) AS w, row_number() OVER () AS place FROM (SELECT unnest([3, 4, 2, 5, 6, 7, 8, 1]) AS w) x),"
+            " v AS (SELECT k, w, place, pos // w AS t, sum(b * (1::HUGEINT << CAST(8 * (pos % w) AS INTEGER))) AS v FROM rel JOIN w ON n % w = 0 AND n >= 3 * w GROUP BY ALL),"
+            " g AS (SELECT *, v <= lag(v) OVER (PARTITION BY k, w ORDER BY t) AS fall FROM v),"
+            " f AS (SELECT k, w, place, count(*) AS n, count(*) FILTER (WHERE fall) AS falls FROM g GROUP BY ALL)"
+            " SELECT k AS doc_id, CAST(w AS INTEGER) AS width, n, falls, coalesce(place = min(CASE WHEN falls = 0 THEN place END) OVER (PARTITION BY k), FALSE) AS chosen FROM f",
         ),
         "d6_gap_sizes": (gap_sizes, SERIES + " SELECT k AS user_id, * EXCLUDE (k) FROM sizes"),
         "d7_gap_mode": (
@@ -358,11 +362,12 @@ SELECT k AS user_id, n, shift, o.mode AS mode, o.size AS size FROM o WHERE o.siz
             chunks,
             "WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), c AS (SELECT doc_id, h, unnest(range(CAST(ceil(length(h) / 4096.0) AS BIGINT))) AS block FROM h),"
             " b AS (SELECT doc_id, block, substr(h, block * 4096 + 1, 4096) AS part FROM c)"
-            " SELECT doc_id, block, CAST(ceil(length(part) / 512.0) AS BIGINT) AS chunks, CAST(length(part) // 2 AS BIGINT) AS bytes, md5(part) AS digest FROM b",
+            " SELECT doc_id, block, CAST(ceil(length(part) / 512.0) AS BIGINT) AS chunks, CAST(length(part) // 2 AS BIGINT) AS bytes, md5(unhex(part)) AS digest FROM b",
         ),
         "g14_resume": (
             resumed,
-            "SELECT doc_id, CAST(octet_length(encode(text)) - 2048 AS BIGINT) AS bytes, CAST(ceil(octet_length(encode(text)) / 2048.0) - 1 AS BIGINT) AS blocks FROM documents WHERE octet_length(encode(text)) > 2048",
+            "WITH h AS (SELECT doc_id, substr(hex(encode(coalesce(text, ''))), 4097) AS part FROM documents WHERE octet_length(encode(text)) > 2048)"
+            " SELECT doc_id, CAST(length(part) // 2 AS BIGINT) AS bytes, CAST(ceil(length(part) / 1024.0) AS BIGINT) AS chunks, md5(unhex(part)) AS digest FROM h",
         ),
         "g15_history": (
             history,

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bitloom.operators import boolean as B
-from bitloom.sources.tables import table
+from bitloom.functions.bits import float_bits
+from bitloom.sources.tables import keep, table
 
 BITS = 6
 ATTRIBUTES = ("l_quantity >= 25", "l_discount >= 0.05", "l_tax >= 0.04", "l_linestatus = 'F'", "l_linenumber >= 4", "l_extendedprice >= 50000")
@@ -31,20 +32,15 @@ def truth(spark, sf) -> DataFrame:
 
 
 def _sets(spark, sf):
-    """On, don't-care and allowed sets; a few dozen rows per function, computed once."""
-    rows = [tuple(r) for r in B.states(truth(spark, sf)).collect()]  # functions x 64 rows
-    made = lambda keep: spark.createDataFrame([(f, m) for f, m, s in rows if s in keep], "fn string, minterm int")
-    return made({"ON"}), made({"DC"}), made({"ON", "DC"})
-
-
-def _few(df: DataFrame) -> DataFrame:
-    """Materialise a small relation (cubes of a handful of functions) as a literal one."""
-    return df.sparkSession.createDataFrame([tuple(r) for r in df.collect()], df.schema)
+    """On, don't-care and allowed sets, from one table of states."""
+    st = keep(B.states(truth(spark, sf)), "states")
+    of = lambda *names: st.where(F.col("state").isin(*names)).select("fn", "minterm")
+    return of("ON"), of("DC"), of("ON", "DC")
 
 
 def _primes(spark, sf):
     on, dc, allowed = _sets(spark, sf)
-    return on, dc, allowed, _few(B.primes(allowed, BITS))
+    return on, dc, allowed, keep(B.primes(allowed, BITS), "primes")
 
 
 def states(spark, sf):
@@ -101,13 +97,26 @@ def consensus(spark, sf):
 
 
 def redundant(spark, sf):
-    on, dc, _, p = _primes(spark, sf)
-    return B.redundant(p, dc, BITS)
+    """Of all implicants, those that others and don't-cares make redundant."""
+    _, dc, allowed = _sets(spark, sf)
+    return B.redundant(keep(B.cube_implicants(allowed, BITS), "implicants"), dc, BITS)
 
 
 def irredundant(spark, sf):
-    on, _, _, p = _primes(spark, sf)
-    return B.irredundant_step(p, on)
+    """Of all implicants, those each of whose on-minterms another one covers too."""
+    on, _, allowed = _sets(spark, sf)
+    return B.irredundant_step(keep(B.cube_implicants(allowed, BITS), "implicants"), on)
+
+
+def pruned(spark, sf):
+    """Primes that stay when redundant ones go one by one, smallest mask and value first."""
+    _, dc, _, p = _primes(spark, sf)
+    return B.prune_redundant(p, dc, BITS)
+
+
+def by_objective(spark, sf):
+    on, dc, _ = _sets(spark, sf)
+    return B.minimise(on, dc, BITS, B.OBJECTIVES)
 
 
 def weights(spark, sf):
@@ -128,28 +137,36 @@ def better(spark, sf):
     return B.better(raw.union(short), "area").select("fn", "cover", "terms", "literals", "area")
 
 
-def greedy(spark, sf):
-    """The compiled cover of each function as a filter over ``lineitem``: rows and quantity it selects."""
-    on, _, _, p = _primes(spark, sf)
-    cover = B.greedy_cover(p, on, BITS)
+def _compiled(cover: DataFrame, bits: list):
+    """One condition over ``fn`` and bit columns for a cover of some dozens of cubes."""
     by_fn: dict = {}
-    for r in cover.collect():  # tens of cubes
+    for r in cover.collect():  # the text of the condition, not data
         by_fn.setdefault(r["fn"], []).append((r["mask"], r["value"]))
-    bits = [F.expr(a) for a in ATTRIBUTES]
-    rows = table(spark, sf, "lineitem")
-    chosen = F.lit(False)
-    for fn, cubes in by_fn.items():
-        chosen = chosen | ((F.col("l_returnflag") == fn) & B.column_of(cubes, bits))
-    return rows.where(chosen).groupBy(F.col("l_returnflag").alias("fn")).agg(F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("long")).alias("quantity"))
+    said = F.lit(False)
+    for fn, cubes in sorted(by_fn.items()):
+        said = said | ((F.col("fn") == fn) & B.column_of(cubes, bits))
+    return said
+
+
+def greedy(spark, sf):
+    """The compiled cover of each function as a filter over ``lineitem``: rows and quantity it selects."""
+    on, dc, _ = _sets(spark, sf)
+    rows = table(spark, sf, "lineitem").withColumn("fn", F.col("l_returnflag"))
+    said = _compiled(B.minimise(on, dc, BITS), [F.expr(a) for a in ATTRIBUTES])
+    return rows.where(said).groupBy("fn").agg(F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("long")).alias("quantity"))
 
 
 def cover_table(spark, sf):
-    """The table that the compiled cover states, against the data: every on-minterm, no off-minterm."""
+    """Two covers against the whole table, don't-cares included: how many minterms differ, and the first."""
     on, _, _, p = _primes(spark, sf)
-    hit = B.chart(B.greedy_cover(p, on, BITS), truth(spark, sf)).select("fn", "minterm").distinct().withColumn("said", F.lit(True))
-    both = B.states(truth(spark, sf)).join(hit, ["fn", "minterm"], "left").where("state <> 'DC'")
+    covers = B.essential(p, on).withColumn("cover", F.lit("essential")).union(B.useful(p, on).withColumn("cover", F.lit("useful")))
+    keyed = covers.select(F.concat_ws("|", "cover", "fn").alias("fn"), "mask", "value")
+    st = B.states(truth(spark, sf)).withColumn("cover", F.explode(F.array(F.lit("essential"), F.lit("useful"))))
+    st = st.withColumn("key", F.concat_ws("|", "cover", "fn"))
+    hit = B.chart(keyed, st.select(F.col("key").alias("fn"), "minterm")).select(F.col("fn").alias("key"), "minterm").distinct().withColumn("said", F.lit(True))
+    both = st.join(hit, ["key", "minterm"], "left")
     wrong = F.coalesce("said", F.lit(False)) != (F.col("state") == "ON")
-    return both.groupBy("fn").agg(F.count("*").alias("checked"), F.count_if(wrong).alias("wrong"), F.min(F.when(wrong, F.col("minterm"))).alias("first_wrong"))
+    return both.groupBy("fn", "cover").agg(F.count("*").alias("checked"), F.count_if(wrong).alias("wrong"), F.min(F.when(wrong, F.col("minterm"))).alias("first_wrong"))
 
 
 def minimum(spark, sf):
@@ -165,15 +182,8 @@ def gates(spark, sf):
 def table_again(spark, sf):
     """All 64 minterms of each function as the compiled useful primes state them."""
     on, _, _, p = _primes(spark, sf)
-    by_fn: dict = {}
-    for r in B.useful(p, on).collect():  # tens of cubes
-        by_fn.setdefault(r["fn"], []).append((r["mask"], r["value"]))
     rows = coded(spark, sf).select("fn").distinct().withColumn("minterm", F.explode(F.sequence(F.lit(0), F.lit((1 << BITS) - 1))))
-    bits = [F.expr(f"(minterm >> {i}) & 1 = 1") for i in range(BITS)]
-    said = F.lit(False)
-    for fn, cubes in by_fn.items():
-        said = said | ((F.col("fn") == fn) & B.column_of(cubes, bits))
-    return rows.withColumn("value", said)
+    return rows.withColumn("value", _compiled(B.useful(p, on), [F.expr(f"(minterm >> {i}) & 1 = 1") for i in range(BITS)]))
 
 
 def bit_strings(spark, sf):
@@ -181,6 +191,11 @@ def bit_strings(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.reverse(F.bin("p_size")).alias("bits"))
 
 
+def price_bits(spark, sf):
+    """Prices of parts in single precision as bits, sign first."""
+    return table(spark, sf, "part").select("p_partkey", float_bits(F.col("p_retailprice").cast("float")).alias("bits"))
+
+
 @cache
 def _prefix() -> str:
     code = " + ".join(f"CASE WHEN {a} THEN {1 << i} ELSE 0 END" for i, a in enumerate(ATTRIBUTES))
@@ -217,6 +232,30 @@ costed AS (SELECT *, gates + inverters * 0.2::DOUBLE AS area, levels + gates * 0
            luts4 + levels * 0.05::DOUBLE AS cost4, luts6 + levels * 0.05::DOUBLE AS cost6 FROM sums)"""
 
 
+def _greedy_sql(p: str) -> str:
+    """Greedy choice by merit for each objective, then a sweep in the order of choice, as recursions over bit sets."""
+    weights = (
+        "SELECT mask, 'literals' AS objective, greatest(bit_count(mask), 1)::DOUBLE AS w FROM m UNION ALL SELECT mask, 'area', greatest(bit_count(mask), 1) + 0.8::DOUBLE FROM m"
+        " UNION ALL SELECT mask, 'delay', (CASE WHEN bit_count(mask) <= 1 THEN 1 WHEN bit_count(mask) <= 2 THEN 2 WHEN bit_count(mask) <= 4 THEN 3 ELSE 4 END)::DOUBLE FROM m"
+        " UNION ALL SELECT mask, 'lut4', ceil(greatest(bit_count(mask), 1) / 4.0)::DOUBLE FROM m UNION ALL SELECT mask, 'lut6', ceil(greatest(bit_count(mask), 1) / 6.0)::DOUBLE FROM m"
+    )
+    return (
+        "WITH RECURSIVE" + p.replace("\nWITH", "", 1)
+        + f", m AS (SELECT DISTINCT mask FROM used), weight AS ({weights}),"
+        " pool AS (SELECT fn, mask, value, bit_or(1::HUGEINT << minterm) AS bits FROM chart GROUP BY ALL),"
+        " goal AS (SELECT fn, bit_or(1::HUGEINT << minterm) AS want FROM ons GROUP BY fn),"
+        " pick AS (SELECT objective, fn, 0 AS turn, want AS rest, CAST(NULL AS INTEGER) AS mask, CAST(NULL AS INTEGER) AS value, 0::HUGEINT AS bits FROM goal, (SELECT DISTINCT objective FROM weight)"
+        " UNION ALL SELECT g.objective, g.fn, g.turn + 1, g.rest - (g.rest & q.bits), q.mask, q.value, q.bits"
+        " FROM pick g JOIN pool q ON q.fn = g.fn JOIN weight w ON w.mask = q.mask AND w.objective = g.objective WHERE (g.rest & q.bits) <> 0"
+        " QUALIFY row_number() OVER (PARTITION BY g.objective, g.fn ORDER BY bit_count(g.rest & q.bits) / w.w DESC, bit_count(g.rest & q.bits) DESC, q.mask, q.value) = 1),"
+        " chosen AS (SELECT objective, fn, turn, mask, value, bits, max(turn) OVER (PARTITION BY objective, fn) AS last FROM pick WHERE turn > 0),"
+        " walk AS (SELECT DISTINCT objective, fn, 1 AS i, []::INTEGER[] AS gone FROM chosen UNION ALL"
+        " SELECT w.objective, w.fn, w.i + 1, CASE WHEN min(g.want) & ~bit_or(CASE WHEN c.turn <> w.i AND NOT list_contains(w.gone, c.turn) THEN c.bits ELSE 0::HUGEINT END) = 0"
+        " THEN list_append(w.gone, w.i) ELSE w.gone END FROM walk w JOIN chosen c ON c.objective = w.objective AND c.fn = w.fn JOIN goal g ON g.fn = w.fn WHERE w.i <= c.last GROUP BY w.objective, w.fn, w.i, w.gone)"
+        " SELECT c.fn, c.objective, c.mask, c.value FROM chosen c JOIN walk w ON w.objective = c.objective AND w.fn = c.fn AND w.i = c.last + 1 WHERE NOT list_contains(w.gone, c.turn)"
+    )
+
+
 def registry() -> dict:
     p = _prefix()
     lonely = "lonely AS (SELECT fn, minterm FROM chart GROUP BY ALL HAVING count(*) = 1)"
@@ -240,7 +279,9 @@ def registry() -> dict:
         ),
         "b24_superfluous_cubes": (
             irredundant,
-            p + f", {lonely} SELECT fn, mask, value FROM prime EXCEPT SELECT c.fn, mask, value FROM chart c JOIN lonely l ON c.fn = l.fn AND c.minterm = l.minterm",
+            p + ", hit AS (SELECT i.fn, i.mask, i.value, o.minterm FROM imp i JOIN ons o ON o.fn = i.fn AND (o.minterm & i.mask) = i.value),"
+            " one AS (SELECT fn, minterm FROM hit GROUP BY ALL HAVING count(*) = 1)"
+            " SELECT fn, mask, value FROM imp EXCEPT SELECT h.fn, mask, value FROM hit h JOIN one l ON h.fn = l.fn AND h.minterm = l.minterm",
         ),
         "b25_absorption": (absorbed, p + " SELECT fn, mask, value FROM prime"),
         "b26_consensus": (consensus, p + " SELECT fn, mask, value FROM imp WHERE bit_count(mask) = 5"),
@@ -260,10 +301,23 @@ def registry() -> dict:
         ),
         "b42_redundant_terms": (
             redundant,
-            p + ", cov AS (SELECT p.fn, p.mask, p.value, CAST(r.i AS INTEGER) AS minterm FROM prime p, range(64) r(i) WHERE (CAST(r.i AS INTEGER) & p.mask) = p.value),"
+            p + ", cov AS (SELECT p.fn, p.mask, p.value, CAST(r.i AS INTEGER) AS minterm FROM imp p, range(64) r(i) WHERE (CAST(r.i AS INTEGER) & p.mask) = p.value),"
             " one AS (SELECT fn, minterm FROM cov GROUP BY ALL HAVING count(*) = 1), need AS (SELECT * FROM one EXCEPT SELECT fn, minterm FROM state WHERE state = 'DC')"
-            " SELECT fn, mask, value FROM prime EXCEPT SELECT c.fn, mask, value FROM cov c JOIN need n ON c.fn = n.fn AND c.minterm = n.minterm",
+            " SELECT fn, mask, value FROM imp EXCEPT SELECT c.fn, mask, value FROM cov c JOIN need n ON c.fn = n.fn AND c.minterm = n.minterm",
+        ),
+        "b43_pruned_in_order": (
+            pruned,
+            "WITH RECURSIVE" + p.replace("\nWITH", "", 1)
+            + ", num AS (SELECT fn, mask, value, row_number() OVER (PARTITION BY fn ORDER BY mask, value) AS i FROM prime),"
+            " cov AS (SELECT n.fn, n.i, bit_or(1::HUGEINT << CAST(r.i AS INTEGER)) AS m FROM num n, range(64) r(i) WHERE (CAST(r.i AS INTEGER) & n.mask) = n.value GROUP BY n.fn, n.i),"
+            " nots AS (SELECT fn, bit_or(CASE WHEN state = 'DC' THEN 1::HUGEINT << minterm ELSE 0::HUGEINT END) AS d, (SELECT max(i) FROM num z WHERE z.fn = state.fn) AS last FROM state GROUP BY fn),"
+            " walk AS (SELECT fn, 1::BIGINT AS i, []::BIGINT[] AS gone FROM nots UNION ALL"
+            " SELECT w.fn, w.i + 1, CASE WHEN bit_or(CASE WHEN c.i = w.i THEN c.m ELSE 0::HUGEINT END) & ~(bit_or(CASE WHEN c.i <> w.i AND NOT list_contains(w.gone, c.i) THEN c.m ELSE 0::HUGEINT END) | min(t.d)) = 0"
+            " THEN list_append(w.gone, w.i) ELSE w.gone END FROM walk w JOIN cov c ON c.fn = w.fn JOIN nots t ON t.fn = w.fn WHERE w.i <= t.last GROUP BY w.fn, w.i, w.gone)"
+            " SELECT n.fn, n.mask, n.value FROM num n JOIN nots t ON t.fn = n.fn JOIN walk w ON w.fn = n.fn AND w.i = t.last + 1 WHERE NOT list_contains(w.gone, n.i)",
         ),
+        "m6_covers_by_objective": (by_objective, _greedy_sql(p)),
+        "b7_float_bits": (price_bits, "SELECT p_partkey, CAST(CAST(CAST(p_retailprice AS FLOAT) AS BIT) AS VARCHAR) AS bits FROM part"),
         "b7_bit_strings": (bit_strings, "SELECT p_partkey, reverse(CASE WHEN p_size = 0 THEN '0' ELSE ltrim(bin(p_size), '0') END) AS bits FROM part"),
         "b14_minimum_cover": (
             minimum,
@@ -288,6 +342,10 @@ def registry() -> dict:
         ),
         "m9_cover_validated": (
             cover_table,
-            p + " SELECT fn, count(*) AS checked, CAST(0 AS BIGINT) AS wrong, CAST(NULL AS INTEGER) AS first_wrong FROM state WHERE state <> 'DC' GROUP BY fn",
+            p + f", {lonely}, ess AS (SELECT DISTINCT c.fn, mask, value FROM chart c JOIN lonely l ON c.fn = l.fn AND c.minterm = l.minterm),"
+            " covers AS (SELECT 'essential' AS cover, * FROM ess UNION ALL SELECT 'useful', * FROM used),"
+            " kinds AS (SELECT unnest(['essential', 'useful']) AS cover),"
+            " said AS (SELECT s.fn, k.cover, s.minterm, s.state = 'ON' AS want, EXISTS (SELECT 1 FROM covers c WHERE c.cover = k.cover AND c.fn = s.fn AND (s.minterm & c.mask) = c.value) AS got FROM state s, kinds k)"
+            " SELECT fn, cover, count(*) AS checked, count(*) FILTER (WHERE want <> got) AS wrong, min(CASE WHEN want <> got THEN minterm END) AS first_wrong FROM said GROUP BY fn, cover",
         ),
     }

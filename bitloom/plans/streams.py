@@ -1,19 +1,15 @@
 """Streaming queries: the tables read as streams, and the batch SQL that states the same result."""
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bitloom.operators import gaps as G
+from bitloom.sources.tables import scratch
 from bitloom.streaming.blocks import stream_blocks
 
 
 def _folder(spark) -> str:
-    """The shared folder of the session; one of our own only where it names none."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="bitloom-")
-    return f"{path}/stream-{uuid.uuid4().hex}"
+    return scratch(spark, "stream")
 
 
 def _table_stream(spark, sf: str, name: str) -> DataFrame:

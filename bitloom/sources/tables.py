@@ -1,24 +1,45 @@
-"""Tables of a folder of Parquet files, and byte relations made from their columns."""
+"""Tables of a folder of Parquet files, and intermediate tables in the folder that the cluster shares."""
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+import tempfile
+import uuid
 
-from bitloom.functions.bits import text_bytes
+from pyspark.sql import DataFrame, SparkSession
+
+_OWN: dict[str, str] = {}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def files(spark: SparkSession, path: str) -> DataFrame:
-    """Whole files as rows ``path, length, content``."""
-    return spark.read.format("binaryFile").load(path).select("path", "length", "content")
+def shared_dir(spark: SparkSession) -> str:
+    """The session's shared folder.  Only a local session without one gets a folder of its own;
+    on a cluster its absence is an error."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="bitloom-")
+    return _OWN[app]
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below the folder of this application, which ``sweep`` deletes as a whole."""
+    return f"{shared_dir(spark)}/bitloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def byte_rows(df: DataFrame, key: Column, text: Column) -> DataFrame:
-    """One row per byte of each text: ``k, pos, b``."""
-    return df.select(key.alias("k"), F.posexplode(text_bytes(text)).alias("pos", "b"))
+def keep(df: DataFrame, name: str = "t") -> DataFrame:
+    """Write ``df`` to the shared folder and return a frame that reads it back: the lineage is
+    cut, the loss of an executor costs nothing, and the planner knows the size."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).alias(name)
 
 
-def documents_bytes(spark: SparkSession, folder: str) -> DataFrame:
-    return byte_rows(table(spark, folder, "documents"), F.col("doc_id"), F.col("text"))
+def sweep(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; no result may still read them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/bitloom-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,15 +1,10 @@
 """Texts as chunks and restartable blocks, in batch and as a stream."""
 
-import hashlib
-import lzma
-import zlib
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitloom.functions.bits import bits_for_count
-from bitloom.operators.byte_stats import HEADER, METHODS, ORDER
+from bitloom.operators.byte_stats import HEADER, byte_counts
 
 
 def text_chunks(df: DataFrame, key: Column, text: Column, size: int) -> DataFrame:
@@ -17,14 +12,29 @@ def text_chunks(df: DataFrame, key: Column, text: Column, size: int) -> DataFram
     rows = df.select(key.alias("k"), F.encode(F.coalesce(text, F.lit("")), "UTF-8").alias("_d")).where(F.octet_length("_d") > 0)
     rows = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((F.octet_length("_d") - 1) / size))))
     part = F.substring("_d", (F.col("chunk") * size + 1).cast("int"), F.lit(size))
-    return rows.select("k", F.col("chunk").cast("long").alias("chunk"), F.octet_length(part).alias("size"), F.hex(part).alias("hex"))
+    return rows.select("k", F.col("chunk").cast("long").alias("chunk"), F.octet_length(part).alias("size"), part.alias("bytes"))
+
+
+def joined(chunks: DataFrame) -> DataFrame:
+    """``k, bytes, size, chunks``: each key's chunks put together in their order."""
+    parts = F.array_sort(F.collect_list(F.struct("chunk", F.hex("bytes").alias("hex"))))
+    made = chunks.groupBy("k").agg(parts.alias("_p"), F.sum("size").cast("long").alias("size"), F.count("*").alias("chunks"))
+    return made.select("k", F.unhex(F.array_join(F.transform("_p", lambda c: c["hex"]), "")).alias("bytes"), "size", "chunks")
+
+
+def resume(chunks: DataFrame, start: int, interval: int) -> DataFrame:
+    """What a reader gets who begins at chunk ``start``, which must begin a block of ``interval``
+    chunks.  The chunks before are filtered out, not read over."""
+    if interval < 1 or start < 0 or start % interval:
+        raise ValueError(f"chunk {start} does not begin a block of {interval}")
+    return joined(chunks.where(F.col("chunk") >= start))
 
 
 def block_methods(df: DataFrame, key: Column, text: Column, size: int) -> DataFrame:
     """The smaller of raw bytes and fixed-width ids for each block: ``k, block, method``."""
-    pieces = text_chunks(df, key, text, size)
-    bytes_ = F.regexp_extract_all("hex", F.lit(".."), F.lit(0))
-    rows = pieces.select("k", F.col("chunk").alias("block"), F.col("size").cast("long").alias("n"), F.size(F.array_distinct(bytes_)).cast("long").alias("s"))
+    pieces = text_chunks(df, key, text, size).select(F.struct("k", "chunk").alias("k"), "bytes")
+    rows = byte_counts(pieces).groupBy("k").agg(F.sum("freq").alias("n"), F.count("*").alias("s"))
+    rows = rows.select("k.k", F.col("k.chunk").alias("block"), "n", "s")
     indexed = F.ceil(F.col("n") * bits_for_count(F.col("s")) / 8) + F.col("s")
     return rows.select("k", "block", F.when(indexed < F.col("n"), "indexed-raw").otherwise("raw-copy").alias("method"))
 
@@ -45,7 +55,7 @@ def best_groups(chunks: DataFrame, interval: int) -> DataFrame:
     taken where it is strictly smaller.  ``k, block, chunks, plain, best``: the block as
     single pieces, and at its best."""
     rows = chunks.withColumn("block", F.floor(F.col("chunk") / interval)).withColumn("i", F.col("chunk") % interval)
-    byte = rows.select("k", "block", "i", F.explode(F.regexp_extract_all("hex", F.lit(".."), F.lit(0))).alias("b")).groupBy("k", "block", "i", "b").agg(F.count("*").alias("n"))
+    byte = byte_counts(rows.select(F.struct("k", "block", "i").alias("k"), "bytes")).select("k.k", "k.block", "k.i", "b", F.col("freq").alias("n"))
     # a chunk is part of every range that holds it
     lo = byte.withColumn("lo", F.explode(F.sequence(F.lit(0), F.col("i").cast("int"))))
     ranges = lo.withColumn("hi", F.explode(F.sequence(F.col("i").cast("int") + 1, F.lit(interval))))
@@ -67,70 +77,6 @@ def best_groups(chunks: DataFrame, interval: int) -> DataFrame:
     return whole.join(plain, ["k", "block"])
 
 
-try:
-    import zstandard
-except ImportError:  # the codec is optional
-    zstandard = None
-
-_XZ = [{"id": lzma.FILTER_LZMA2, "preset": 9}]
-
-
-def _candidates(data: bytes):
-    yield "raw-copy", data
-    if data:
-        yield "raw-deflate", zlib.compress(data, 9)
-        if zstandard is not None:
-            yield "raw-zstd", zstandard.ZstdCompressor(level=19).compress(data)
-        yield "raw-xz", lzma.compress(data, lzma.FORMAT_RAW, filters=_XZ)
-
-
-def _restore(method: str, payload: bytes, size: int) -> bytes:
-    if method == "raw-deflate":
-        out = zlib.decompress(payload)
-    elif method == "raw-zstd":
-        out = zstandard.ZstdDecompressor().decompress(payload, max_output_size=size)
-    elif method == "raw-xz":
-        out = lzma.decompress(payload, lzma.FORMAT_RAW, filters=_XZ)
-    else:
-        out = payload
-    if len(out) != size:
-        raise ValueError(f"{method}: {len(out)} bytes, {size} expected")
-    return out
-
-
-def pack(df: DataFrame) -> DataFrame:
-    """``k, bytes`` -> ``k, method, size, total, digest, payload`` with the smallest general codec.
-
-    A candidate may win only if it reads back; ties go by the fixed order of methods."""
-    kind = df.schema["k"].dataType
-
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for data in batch.column(1).to_pylist():
-                data = data or b""
-                made = [(HEADER + len(p), ORDER.index(m), m, p) for m, p in _candidates(data) if _restore(m, p, len(data)) == data]
-                total, _, method, payload = min(made)
-                rows.append((METHODS.index(method), len(data), total, hashlib.md5(data).hexdigest(), payload))
-            cols = list(zip(*rows)) or [()] * 5
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, type=t) for c, t in zip(cols, kinds)]], names=["k", "method", "size", "total", "digest", "payload"])
-
-    return df.select("k", "bytes").mapInArrow(run, f"k {kind.simpleString()}, method int, size long, total long, digest string, payload binary")
-
-
-def unpack(packs: DataFrame) -> DataFrame:
-    """``k, bytes, digest, total`` of packed rows."""
-    kind = packs.schema["k"].dataType
-
-    def run(batches):
-        for batch in batches:
-            data = [_restore(METHODS[m], p, s) for m, p, s in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary()), batch.column(4), batch.column(5)], names=["k", "bytes", "digest", "total"])
-
-    return packs.select("k", "method", "payload", "size", "digest", "total").mapInArrow(run, f"k {kind.simpleString()}, bytes binary, digest string, total long")
-
-
 def stream_blocks(chunks: DataFrame, interval: int) -> DataFrame:
     """A stream of ``k, chunk, size, at`` (event time) -> per block of ``interval`` chunks
     its chunks and bytes, once the watermark has passed it; late chunks are dropped."""

@@ -1,5 +1,6 @@
 """Transforms against direct loops, gaps and packs against round trips."""
 
+import random
 from collections import Counter
 
 import pytest
@@ -11,49 +12,92 @@ from bitloom.operators import transforms as T
 from bitloom.plans import encodings as E
 from bitloom.streaming import blocks as C
 
-TEXTS = ["", "a", "abcabcabcabc\nxyzxyzxyz\n", "é" * 11, "the quick brown fox " * 9 + "!"]
+TEXTS = ["", "a", "abcabcabcabc\nxyzxyzxyz\n", "é" * 11, "the quick brown fox " * 9 + "!", "ab" * 700_000]
 
 
 @pytest.fixture(scope="module")
-def rel(spark):
+def docs(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)] + [(99, None)], "id long, text string")
-    return T.byte_relation(df, F.col("id"), F.col("text"))
+    return T.byte_texts(df, F.col("id"), F.col("text")).withColumn("extra", F.lit("x"))
 
 
-def texts(rel):
-    out = {}
-    for r in rel.orderBy("k", "pos").collect():
-        out.setdefault(r["k"], []).append(r["b"])
-    return {k: bytes(v) for k, v in out.items()}
+def shifted(b, p):
+    return [b[i - p] if i >= p else 0 for i in range(len(b))]
 
 
-WANT = {i: t.encode() for i, t in enumerate(TEXTS) if t}
-
-CASES = [
-    (T.delta, T.undo_delta, lambda b: bytes((x - (b[i - 1] if i else 0)) % 256 for i, x in enumerate(b))),
-    (T.xor, T.undo_xor, lambda b: bytes(x ^ (b[i - 1] if i else 0) for i, x in enumerate(b))),
-    (lambda r: T.delta(r, 3), lambda r: T.undo_delta(r, 3), lambda b: bytes((x - (b[i - 3] if i > 2 else 0)) % 256 for i, x in enumerate(b))),
-    (lambda r: T.gather(r, 4), lambda r: T.undo_gather(r, 4), lambda b: b"".join(b[i::4] for i in range(4))),
-    (
-        lambda r: T.head_tail(r, 5, 2), lambda r: T.undo_head_tail(r, 5, 2),
-        lambda b: bytes(x for i, x in enumerate(b) if i % 5 < 2) + bytes(x for i, x in enumerate(b) if i % 5 >= 2),
-    ),
-    (T.bit_planes, T.undo_bit_planes, None),
-]
+def direct(b, name, *x):
+    """The step by plain loops."""
+    if name == "delta":
+        return bytes((u - v) % 256 for u, v in zip(b, shifted(b, *(x or (1,)))))
+    if name == "xor":
+        return bytes(u ^ v for u, v in zip(b, shifted(b, *(x or (1,)))))
+    if name == "gather":
+        return b"".join(b[i :: x[0]] for i in range(x[0]))
+    if name == "head-tail":
+        return bytes(u for i, u in enumerate(b) if i % x[0] < x[1]) + bytes(u for i, u in enumerate(b) if i % x[0] >= x[1])
+    if name == "bit-planes":
+        bits = [b[i] >> k & 1 for k in range(8) for i in range(len(b))]
+        return bytes(sum(v << j for j, v in enumerate(bits[i : i + 8])) for i in range(0, len(bits), 8))
+    head = sum(i % x[0] < x[1] for i in range(len(b)))
+    return b[:head] + direct(b[head:], name.removeprefix("tail-"), *x[2:])
 
 
-@pytest.mark.parametrize("case", range(len(CASES)))
-def test_transforms(rel, case):
-    apply, undo, direct = CASES[case]
-    made = apply(rel)
-    if direct:
-        assert texts(made) == {k: direct(b) for k, b in WANT.items()}
-    assert texts(undo(made)) == WANT
+PLANS = [
+    (), (("delta",),), (("xor",),), (("delta", 3),), (("xor", 7),), (("gather", 4),), (("head-tail", 5, 2),), (("bit-planes",),), (("bit-planes",), ("xor",)),
+    (("head-tail", 8, 1), ("tail-xor", 8, 1, 3)), (("head-tail", 8, 1), ("tail-gather", 8, 1, 3), ("delta",)), (("head-tail", 8, 3), ("tail-delta", 8, 3, 2)),
+]
 
 
-def test_tail_transforms(rel):
-    there = T.on_tail(T.head_tail(rel, 8, 1), 8, 1, lambda r: T.xor(r, 3))
-    assert texts(T.undo_head_tail(T.on_tail(there, 8, 1, lambda r: T.undo_xor(r, 3)), 8, 1)) == WANT
+@pytest.mark.parametrize("plan", PLANS, ids=str)
+def test_transforms(docs, plan):
+    out = T.restored(T.transformed(docs, plan), plan)
+    for r in out.collect():
+        want = (TEXTS[r["k"]] if r["k"] != 99 else "").encode()
+        assert bytes(r["bytes"]) == bytes(r["back"]) == want and r["extra"] == "x"
+        for step in plan:
+            want = direct(want, *step)
+        assert bytes(r["made"]) == want
+    assert "Exchange" not in out._jdf.queryExecution().toString()
+
+
+def test_plans_are_the_smallest(spark):
+    rows = [(0, bytes(i * 3 % 256 for i in range(4000))), (1, bytes(i * i % 7 + i % 5 * 30 for i in range(3000))), (2, b"abc"), (3, b""), (4, b"xyzw" * 900)]
+    made = {r["k"]: r["plans"] for r in T.plan_sizes(spark.createDataFrame(rows, "k long, bytes binary")).collect()}
+    best = {r["k"]: r for r in T.best_plan(T.plan_sizes(spark.createDataFrame(rows, "k long, bytes binary"))).collect()}
+    assert set(made) == {0, 1, 2, 4}
+    for k, data in rows:
+        if not data:
+            continue
+        n = len(data)
+        score = lambda p: -sum(data[i] == data[i - p] for i in range(p, n, max(1, (n - p) // min(20_000, n - 2)))) / len(range(p, n, max(1, (n - p) // min(20_000, n - 2))))
+        plans = dict(T.PLANS) | ({f"{s}-{p}": ((s, p),) for p in sorted(range(2, 17), key=lambda p: (score(p), p))[:3] for s in ("delta", "xor")} if n >= 2048 else {})
+        assert {x["plan"] for x in made[k]} == set(plans)
+        for x in made[k]:
+            out = data
+            for step in plans[x["plan"]]:
+                out = direct(out, *step)
+            symbols = len(set(out))
+            assert x["size"] == -(-n * max(1, (symbols - 1).bit_length()) // 8) + symbols
+        assert best[k]["size"] == min(x["size"] for x in made[k]) and best[k]["beats"] == (best[k]["size"] + 28 < best[k]["plain"])
+    assert best[0]["beats"] and not best[2]["beats"]
+
+
+def test_widths_by_a_plain_loop(spark):
+    rng = random.Random(3)
+    up = lambda w, n: b"".join(v.to_bytes(w, "little") for v in sorted(rng.sample(range(256 ** min(w, 6)), n)))
+    rows = [(i, up(w, n)) for i, (w, n) in enumerate([(3, 40), (4, 9), (2, 5), (8, 3), (1, 7), (5, 11), (7, 12)])] + [(50, b""), (51, b"aa"), (52, b"cba" * 8), (53, b"\xff" * 48)]
+    got: dict = {}
+    for r in G.fixed_widths(spark.createDataFrame(rows, "k long, bytes binary")).collect():
+        got.setdefault(r["k"], {})[r["width"]] = (r["n"], r["falls"], r["chosen"])
+    for k, data in rows:
+        want, first = {}, True
+        for w in G.WIDTHS:
+            if len(data) % w == 0 and len(data) >= 3 * w:
+                v = [int.from_bytes(data[i : i + w], "little") for i in range(0, len(data), w)]
+                falls = sum(b <= a for a, b in zip(v, v[1:]))
+                want[w] = (len(v), falls, falls == 0 and first)
+                first = first and falls > 0
+        assert got.get(k, {}) == want
 
 
 def test_codes_are_optimal_and_prefix_free(spark):
@@ -80,19 +124,15 @@ def test_gaps(spark):
     assert [back["a", i] for i in range(5)] == v
 
 
-def test_pack_round_trip(spark):
-    data = [b"", b"x", b"ab" * 5000, bytes(range(256)) * 3, None]
-    df = spark.createDataFrame([(i, d) for i, d in enumerate(data)], "k long, bytes binary")
-    packed = C.pack(df)
-    assert all(r["total"] <= r["size"] + S.HEADER for r in packed.collect())
-    assert {r["k"]: bytes(r["bytes"]) for r in C.unpack(packed).collect()} == {i: d or b"" for i, d in enumerate(data)}
-
-
-def test_corrupt_pack_is_an_error(spark):
-    df = C.pack(spark.createDataFrame([(1, b"ab" * 5000)], "k long, bytes binary"))
-    broken = df.withColumn("size", F.col("size") + 1)
-    with pytest.raises(Exception, match="expected"):
-        C.unpack(broken).collect()
+def test_resume_begins_at_a_block(spark):
+    df = spark.createDataFrame([(1, "é" * 700), (2, "short")], "id long, text string")
+    chunks = C.text_chunks(df, F.col("id"), F.col("text"), 100)
+    got = {r["k"]: (bytes(r["bytes"]), r["chunks"]) for r in C.resume(chunks, 8, 4).collect()}
+    assert got == {1: (("é" * 700).encode()[800:], 6)}
+    assert {r["k"]: bytes(r["bytes"]) for r in C.resume(chunks, 0, 4).collect()} == {1: ("é" * 700).encode(), 2: b"short"}
+    for start, interval in ((2, 4), (-4, 4), (0, 0)):
+        with pytest.raises(ValueError, match="does not begin"):
+            C.resume(chunks, start, interval)
 
 
 def test_coded_choice_is_the_smallest(spark, tmp_path):
