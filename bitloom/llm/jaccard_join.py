@@ -46,9 +46,9 @@ from bitloom.llm.components import connected_components
 from bitloom.llm.store import drop, materialize
 
 #: Sets of one side of a comparison; also the ids of one key that a task holds.
-BLOCK = 256
+BLOCK = 100
 #: Pivots of a large group in each round.
-PIVOTS = 24
+PIVOTS = 16
 #: Index rows that a task merges by key before they are shuffled.
 MERGED = 1 << 20
 BAND = 1.4

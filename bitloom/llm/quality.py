@@ -1,11 +1,14 @@
-"""Quality classifier: a factorisation machine over hashed words and structure statistics of the text.
+"""Quality classifier: a factorisation machine over hashed words, structure statistics and metadata.
 
     y(x) = w0 + sum_i w_i x_i + 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2)
 
 The identity makes the pairwise term linear in the words of a text.  Features are
 computed by numpy passes over the bytes of many documents at once; the model is a
-small table that travels with the task.  Training uses at most ``max_train``
-labelled documents (a documented bound); scoring covers every whole text.
+small table that travels with the task.  Metadata are the numeric columns named in
+``labelled.METADATA`` (the stated number of characters), on a logarithmic scale, with
+a mark where a row has none; ids, languages and sources are never read.  Training
+uses at most ``max_train`` labelled documents (a documented bound); scoring covers
+every whole text.
 """
 
 import numpy as np
@@ -14,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bitloom.llm import kernels as K
-from bitloom.llm.labelled import held_out, score_texts, training_rows
+from bitloom.llm.labelled import METADATA, held_out, score_texts, training_rows
 
 BUCKETS = 1 << 16
 RANK = 8
@@ -31,7 +34,7 @@ _CLASS[128:] = 6
 for _i, _b in enumerate(_SYMBOLS):
     _CLASS[_b] = 7 + _i
 N_CLASS = 7 + len(_SYMBOLS)
-N_STATS = N_CLASS + 9
+N_STATS = N_CLASS + 9 + 2 * len(METADATA)
 
 
 class Features:
@@ -41,15 +44,27 @@ class Features:
         self.index, self.value, self.count, self.stats = index, value, count, stats
 
 
-def featurise(texts) -> Features:
+def featurise(texts, meta=None) -> Features:
+    """Features of texts and of their metadata (a list column of doubles; null: none)."""
     data, offsets = K.utf8(texts)
-    parts = [_span(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in K.spans(offsets)]
+    meta = _metadata(meta, len(offsets) - 1)
+    parts = [_span(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], meta[a:b]) for a, b in K.spans(offsets)]
     if not parts:
         return Features(np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0, np.int64), np.zeros((0, N_STATS), np.float32))
     return Features(*[np.concatenate(x) for x in zip(*parts)])
 
 
-def _span(data, offsets):
+def _metadata(meta, n: int) -> np.ndarray:
+    """Logarithms of the metadata, 0 where there is none or no number of 0 or more, and marks of these."""
+    if meta is None:
+        values = np.full((n, len(METADATA)), np.nan)
+    else:
+        values = meta.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, len(METADATA))
+    there = np.isfinite(values) & (values >= 0)
+    return np.concatenate([np.log1p(np.where(there, values, 0)), ~there], axis=1)
+
+
+def _span(data, offsets, meta):
     n = len(offsets) - 1
     size = np.diff(offsets)
     of_byte = np.repeat(np.arange(n), size)
@@ -70,7 +85,7 @@ def _span(data, offsets):
     ended = np.bincount(docs, weights=K.PUNCT[last], minlength=n) / many
     short = np.bincount(docs, weights=length <= 2, minlength=n) / many
     long_ = np.bincount(docs, weights=length > 20, minlength=n) / many
-    stats = np.column_stack([shares, np.log1p(size), np.log1p(count), mean / 10, spread / 10, distinct / many, np.log1p(newlines), ended, short, long_])
+    stats = np.column_stack([shares, np.log1p(size), np.log1p(count), mean / 10, spread / 10, distinct / many, np.log1p(newlines), ended, short, long_, meta])
     index = (values & K.U64(BUCKETS - 1)).astype(np.int64)
     value = (1 / np.sqrt(np.maximum(distinct, 1)))[of]
     return index, value.astype(np.float32), distinct, stats.astype(np.float32)
@@ -154,12 +169,12 @@ class FactorisationMachine:
                 self.w0 -= rate * err.sum() / np.sqrt(g0)
         return self
 
-    def score(self, texts) -> np.ndarray:
+    def score(self, texts, meta=None) -> np.ndarray:
         """Scores of texts, document by document in bounded spans."""
         data, offsets = K.utf8(texts)
-        out = np.zeros(len(offsets) - 1)
+        out, meta = np.zeros(len(offsets) - 1), _metadata(meta, len(offsets) - 1)
         for a, b in K.spans(offsets):
-            f = Features(*_span(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
+            f = Features(*_span(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], meta[a:b]))
             out[a:b] = 1 / (1 + np.exp(-np.clip(self.margins(f), -30, 30)))
         return out
 
@@ -167,12 +182,13 @@ class FactorisationMachine:
 _FIELDS = "doc_id long, y int, index array<int>, value float, stats array<float>"
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = 12_000) -> FactorisationMachine:
-    """Features are made on the executors; the driver gets those of ``max_train`` texts."""
+def train(docs: DataFrame, labels: DataFrame, max_train: int = 12_000, max_bytes: int = 1 << 26) -> FactorisationMachine:
+    """Features are made on the executors; the driver gets those of at most about ``max_train``
+    texts and ``max_bytes`` bytes."""
 
     def run(batches):
         for batch in batches:
-            f = featurise(batch.column(1))
+            f = featurise(batch.column(1), batch.column(3))
             per = np.zeros(len(f.count), np.float32)
             per[f.count > 0] = 1 / np.sqrt(f.count[f.count > 0])
             yield pa.RecordBatch.from_arrays(
@@ -180,7 +196,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 12_000) -> Factor
                 names=["doc_id", "y", "index", "value", "stats"],
             )
 
-    rows = training_rows(docs, labels, "quality", max_train).select("doc_id", "text", F.col("y").cast("int"))
+    rows = training_rows(docs, labels, "quality", max_train, max_bytes).select("doc_id", "text", F.col("y").cast("int"), "meta")
     got = rows.mapInArrow(run, _FIELDS).orderBy("doc_id").toArrow().combine_chunks()
     if not got.num_rows:
         return FactorisationMachine().fit(featurise(pa.array([], pa.string())), np.zeros(0))
@@ -192,20 +208,23 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 12_000) -> Factor
     return FactorisationMachine().fit(f, got.column("y").to_numpy().astype(float))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, max_train: int = 12_000) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, max_train: int = 12_000, max_bytes: int = 1 << 26) -> DataFrame:
     """``docs`` (with ``doc_id`` and ``text``) and a column ``_score`` from 0 to 1.
 
     Learns only from labelled rows that are not held out; no label, language,
     source or id enters a score.  Null and empty texts get the score of a text
     without words.  Without labels of both kinds every score is the labels' mean
-    (0.5 without labels).  Repeated rows score alike; an empty table stays empty.
+    (0.5 without labels).  Repeated rows score alike; an empty table stays empty.  An
+    input column ``_score`` is replaced.  Null, negative or unreadable metadata count
+    as none, as does a table without these columns.
     """
-    model = train(docs, labels, max_train)
+    docs = docs.drop("_score")
+    model = train(docs, labels, max_train, max_bytes)
     return score_texts(docs, model.score)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    out = score_quality(docs.select("doc_id", "text"), labels)
+    out = score_quality(docs.select("doc_id", "text", "n_chars"), labels)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.3).cast("int").alias("predicted"))

@@ -2,35 +2,21 @@
 
 Intermediate results that several later steps read are written as Parquet under
 ``spark.checkpoint.dir``.  Such a table cuts the lineage, survives the loss of
-any executor, and gives the planner real sizes.
+any executor, and gives the planner real sizes.  Tables that a step has replaced are
+dropped at once; those that a returned frame still reads go with ``sweep``, which
+deletes the folder of the application.
 """
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from bitloom.sources.tables import keep, shared_dir, sweep
 
-
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a local one is made only where none is set."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="bitloom-")
-    return _OWN[app]
+__all__ = ["drop", "materialize", "shared_dir", "sweep"]
 
 
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` to the shared folder and return a frame that reads it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/bitloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path).alias(name)
+    return keep(df, name)
 
 
 def drop(df: DataFrame) -> None:

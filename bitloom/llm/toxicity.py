@@ -7,8 +7,9 @@ logistic layer turns the pooled responses into a score.  One coordinate of each
 embedding starts from the word's signed association with the label among the
 training texts, the rest from noise; everything is then trained by gradient steps.
 
-Thresholds are calibrated by language on the training rows and offered as extra
-columns; the language never enters the score.
+A fifth of the labelled rows is put aside: the net doesn't train on them.  On these
+the score's middle and the thresholds by language are calibrated; the thresholds are
+extra columns, and the language never enters the score.
 """
 
 import numpy as np
@@ -113,7 +114,6 @@ class ConvNet:
         seen = np.full((BUCKETS + 1, DIM), 1e-2, np.float32)
         weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
         weight = np.minimum(weight, 4)
-        passes = max(2, min(passes, 60_000 // n + 1))
         for _ in range(passes):
             order = rng.permutation(n)
             for at in range(0, n, batch):
@@ -150,10 +150,10 @@ class ConvNet:
                 for k in names:
                     memory[k] = memory[k] + grads[k] ** 2
                     setattr(self, k, (getattr(self, k) - rate * grads[k] / np.sqrt(memory[k])).astype(np.float32))
-        return self.calibrate(ids, counts, y)
+        return self
 
     def calibrate(self, ids, counts, y):
-        """Place 0.5 where the training rows are best told apart."""
+        """Place 0.5 where these rows are best told apart."""
         z = self.all_logits(ids, counts)
         cut = best_cut(z, y)
         self.shift = float(cut)
@@ -166,7 +166,7 @@ class ConvNet:
     def scorer(self):
         net, cache = self, []
 
-        def score(texts) -> np.ndarray:
+        def score(texts, _) -> np.ndarray:
             if not cache:  # once a worker: the table is larger than the net that travels
                 cache.append(net.table())
             data, offsets = K.utf8(texts)
@@ -207,41 +207,58 @@ def best_cut(z: np.ndarray, y: np.ndarray) -> float:
     return float((low + high) / 2)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = 8_000, min_lang: int = 50) -> tuple[ConvNet, dict[str, float]]:
-    """The net and a threshold on the score for each language with ``min_lang`` labels."""
+def train(docs: DataFrame, labels: DataFrame, max_train: int = 8_000, max_bytes: int = 1 << 26, min_lang: int = 50) -> tuple[ConvNet, dict[str, float]]:
+    """The net and a threshold on the score for each language with ``min_lang`` labels put aside.
+
+    Words are hashed on the executors; the driver gets those of at most about ``max_train``
+    texts and ``max_bytes`` bytes."""
 
     def run(batches):
         for batch in batches:
             ids, counts = word_ids(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), K.ragged(ids.ravel(), 2 * counts)], names=["doc_id", "lang", "y", "ids"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (0, 2, 3, 4)), K.ragged(ids.ravel(), 2 * counts)], names=["doc_id", "lang", "y", "aside", "ids"])
 
-    rows = training_rows(docs, labels, "toxic", max_train).select("doc_id", "text", "lang", F.col("y").cast("int"))
-    got = rows.mapInArrow(run, "doc_id long, lang string, y int, ids array<int>").orderBy("doc_id").toArrow().combine_chunks()
+    rows = training_rows(docs, labels, "toxic", max_train, max_bytes).select("doc_id", "text", "lang", F.col("y").cast("int"), "aside")
+    got = rows.mapInArrow(run, "doc_id long, lang string, y int, aside boolean, ids array<int>").orderBy("doc_id").toArrow().combine_chunks()
     if not got.num_rows:
         return ConvNet().fit(np.zeros((0, 2), np.int32), np.zeros(0, np.int64), np.zeros(0)), {}
     lists = got.column("ids").combine_chunks()
     counts = np.diff(lists.offsets.to_numpy()).astype(np.int64) // 2
     ids, y = lists.flatten().to_numpy().reshape(-1, 2), got.column("y").to_numpy().astype(float)
-    net = ConvNet().fit(ids, counts, y)
-    score = 1 / (1 + np.exp(-np.clip(net.all_logits(ids, counts) - net.shift, -30, 30)))
-    lang = np.array(got.column("lang").to_pylist(), dtype=object)
+    aside = got.column("aside").to_numpy(zero_copy_only=False)
+    if aside.sum() < 20 or not 0 < y[aside].mean() < 1:  # too few to calibrate on
+        aside = np.zeros(len(y), dtype=bool)
+    ends = np.cumsum(counts)
+
+    def part(mask):
+        return ids[K.arange_runs((ends - counts)[mask], counts[mask])], counts[mask], y[mask]
+
+    net = ConvNet().fit(*part(~aside))
+    if y.min() == y.max():
+        return net, {}
+    test = part(aside if aside.any() else ~aside)
+    net.calibrate(*test)
+    score = 1 / (1 + np.exp(-np.clip(net.all_logits(*test[:2]) - net.shift, -30, 30)))
+    lang, y = np.array(got.column("lang").to_pylist(), dtype=object)[aside if aside.any() else ~aside], test[2]
     cuts = {x: best_cut(score[lang == x], y[lang == x]) for x in sorted({x for x in lang if x is not None}) if (lang == x).sum() >= min_lang and 0 < y[lang == x].mean() < 1}
     return net, cuts
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = 8_000) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = 8_000, max_bytes: int = 1 << 26) -> DataFrame:
     """``docs`` (with ``doc_id``, ``text`` and ``lang``) and ``_score, _lang_threshold, _flagged``.
 
     Learns only from labelled rows that are not held out; the score reads the text
     alone.  ``_lang_threshold`` is the cut calibrated for the row's language (0.5
     for a null or rare language) and ``_flagged`` compares the score with it.  Null
     and empty texts count as texts without words.  Without labels of both kinds all
-    scores are the labels' mean (0.5 without labels).  Empty tables stay empty.
+    scores are the labels' mean (0.5 without labels).  Empty tables stay empty.  Input
+    columns with these names are replaced.
     """
-    net, cuts = train(docs, labels, max_train)
+    docs = docs.drop("_score", "_lang_threshold", "_flagged")
+    net, cuts = train(docs, labels, max_train, max_bytes)
     out = score_texts(docs, net.scorer())
     cut = F.lit(0.5)
-    for lang, at in cuts.items():
+    for lang, at in cuts.items():  # none without a column lang
         cut = F.when(F.col("lang") == lang, F.lit(at)).otherwise(cut)
     return out.withColumn("_lang_threshold", cut).withColumn("_flagged", F.col("_score") >= F.col("_lang_threshold"))
 

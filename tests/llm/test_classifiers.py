@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from bitloom.llm import kernels as K
 from bitloom.llm import quality, toxicity
-from bitloom.llm.labelled import held_out
+from bitloom.llm.labelled import held_out, training_rows
 
 WORDS = [f"{a}{b}" for a in "ka lo mi ru te so".split() for b in "na po ri ved sul dor".split()]
 
@@ -90,3 +90,38 @@ def test_passes_do_not_depend_on_the_input_size():
         fm._forward = lambda f: (calls.append(len(f.count)), forward(f))[1]
         fm.fit(quality.featurise(pa.array([f"w{i % 7}" for i in range(n)])), np.arange(n) % 2, batch=640)
         assert sum(calls) == 30 * n
+
+
+def test_metadata_and_clashing_columns(labelled):
+    docs, labels = labelled
+    base = docs.drop("_score")
+    plain = {r["doc_id"]: r["_score"] for r in quality.score_quality(base, labels).collect()}
+    odd = base.withColumn("_score", F.lit("old")).withColumn("_flagged", F.lit(1)).withColumn("meta", F.lit(2)).withColumn("y", F.lit(3)).withColumn("aside", F.lit(4))
+    for score in (quality.score_quality, toxicity.score_toxicity):
+        out = score(odd, labels)
+        assert out.columns.count("_score") == 1 and all(0 <= r["_score"] <= 1 and (r["meta"], r["y"], r["aside"]) == (2, 3, 4) for r in out.collect())
+    for kind in (F.char_length("text"), F.when(F.col("doc_id") % 2 == 0, F.char_length("text")), F.lit("no number"), F.lit(-5)):
+        got = {r["doc_id"]: r["_score"] for r in quality.score_quality(base.withColumn("n_chars", kind), labels).collect()}
+        assert got.keys() == plain.keys() and all(0 <= x <= 1 for x in got.values())
+
+
+def test_training_sample_is_bounded(labelled):
+    docs, labels = labelled
+    rows = training_rows(docs, labels, "toxic", 100, 1 << 20).collect()
+    assert 50 < len(rows) < 150 and all(r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 for r in rows)
+    few = training_rows(docs, labels, "toxic", 10_000, 10_000).collect()
+    assert 0 < sum(len(r["text"]) for r in few) < 20_000
+    assert {r["doc_id"] for r in rows if r["aside"]} == {r["doc_id"] for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 1}
+
+
+def test_scores_by_brute_force(labelled):
+    """Every row's score is the model's own for its whole text alone."""
+    docs, labels = labelled
+    net, cuts = toxicity.train(docs, labels)
+    model = quality.train(docs, labels)
+    one = net.scorer()
+    for r in toxicity.score_toxicity(docs, labels).collect()[::7]:
+        assert abs(r["_score"] - one(pa.array([r["text"]], pa.string()), None)[0]) < 1e-5
+        assert r["_flagged"] == (r["_score"] >= cuts.get(r["lang"], 0.5))
+    for r in quality.score_quality(docs, labels).collect()[::7]:
+        assert abs(r["_score"] - model.score(pa.array([r["text"]], pa.string()))[0]) < 1e-5

@@ -65,3 +65,35 @@ def test_budgets_are_used_up_to_the_last_document_that_fits(spark):
     for r in got:
         key = r["source"], int(hashlib.md5(str(r["doc_id"] if r["doc_id"] is not None else "null").encode()).hexdigest()[:15], 16)
         assert r["_taken"] == r["_size"] * (plan[r["source"]][0] // plan[r["source"]][1] + (key in taken)), r
+
+
+def first_fit(rows):
+    """Words taken of each ``(id, text, source)``, and each source's size and target, by plain loops."""
+    import hashlib
+
+    place = lambda i: int(hashlib.md5(str(i if i is not None else "null").encode()).hexdigest()[:15], 16)
+    size = [len((t or "").split()) for _, t, _ in rows]
+    sources = sorted({s for _, _, s in rows}, key=lambda s: (s is None, s or ""))
+    whole = {s: sum(n for n, r in zip(size, rows) if r[2] == s) for s in sources}
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(sources)}
+    target, open_ = {}, set(sources)
+    left = 1.5 * sum(whole.values())
+    while open_:  # sources above their cap are settled, the excess goes to the others
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if level * weight[s] > 2 * whole[s]}
+        for s in full or open_:
+            target[s] = 2.0 * whole[s] if full else level * weight[s]
+            left -= target[s] if full else 0
+        open_ -= full or open_
+    taken = {}
+    for s in sources:
+        copies = target[s] // whole[s] if whole[s] else 0
+        rest, units = target[s] - copies * whole[s], {}
+        for n, (i, _, source) in zip(size, rows):
+            if source == s and n:
+                units[place(i)] = units.get(place(i), 0) + n
+        for h in sorted(units):
+            more = units[h] <= rest
+            rest -= units[h] * more
+            taken[s, h] = int(copies) + more
+    return [n * taken.get((s, place(i)), 0) for n, (i, _, s) in zip(size, rows)], {s: (whole[s], target[s]) for s in sources}
