@@ -51,8 +51,8 @@ def word_ids(texts) -> tuple[np.ndarray, np.ndarray]:
 
 
 def padded(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Texts in one sequence with padding between them, so that no window spans two
-    texts; also each text's first place.  A text without words is one padding word."""
+    """Texts in one sequence with padding between them, so that no window that begins in a
+    text reaches another; also each text's first place.  A text without words is one padding word."""
     room = np.maximum(counts, 1) + max(WIDTHS) - 1
     first = np.cumsum(room) - room
     out = np.zeros((int(room.sum()) + max(WIDTHS), 2), dtype=np.int32)
@@ -98,7 +98,8 @@ class ConvNet:
         if not len(counts):
             return np.zeros(0)
         seq, first = padded(ids, counts)
-        pooled = np.maximum.reduceat(self.responses(seq, self.table() if table is None else table), first, axis=0)
+        ends = np.column_stack([first, first + np.maximum(counts, 1)]).ravel()  # windows that begin in the padding don't count
+        pooled = np.maximum.reduceat(self.responses(seq, self.table() if table is None else table), ends, axis=0)[::2]
         return np.tanh(pooled + self.bias).astype(float) @ self.out.astype(float) + float(self.out_bias)
 
     def fit(self, ids: np.ndarray, counts: np.ndarray, y: np.ndarray, passes: int = 6, batch: int = 32, rate: float = 0.01, seed: int = 9):
@@ -121,8 +122,8 @@ class ConvNet:
                 seq, first = padded(ids[K.arange_runs((ends - counts)[rows], counts[rows])], counts[rows])
                 used, inverse = np.unique(seq, return_inverse=True)
                 got = self.responses(inverse.reshape(seq.shape), self.embed[used] @ self.taps)
-                bounds = np.append(first, len(got))
-                place = np.stack([first[i] + got[bounds[i] : bounds[i + 1]].argmax(axis=0) for i in range(len(rows))])
+                long_ = np.maximum(counts[rows], 1)
+                place = np.stack([first[i] + got[first[i] : first[i] + long_[i]].argmax(axis=0) for i in range(len(rows))])
                 pooled = np.take_along_axis(got, place, axis=0)
                 hidden = np.tanh(pooled + self.bias)
                 z = hidden @ self.out + self.out_bias

@@ -125,3 +125,17 @@ def test_scores_by_brute_force(labelled):
         assert r["_flagged"] == (r["_score"] >= cuts.get(r["lang"], 0.5))
     for r in quality.score_quality(docs, labels).collect()[::7]:
         assert abs(r["_score"] - model.score(pa.array([r["text"]], pa.string()))[0]) < 1e-5
+
+
+def test_a_score_depends_on_its_text_alone():
+    """The same text among others, in any order, and by itself."""
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice(WORDS) for _ in range(rng.randrange(40))) for _ in range(200)] + [None, "", "\n", "x" * 3000]
+    y = np.array([float(rng.random() < 0.3) for _ in texts])
+    ids, counts = toxicity.word_ids(pa.array(texts))
+    score = toxicity.ConvNet().fit(ids, counts, y).calibrate(ids, counts, y).scorer()
+    model = quality.FactorisationMachine().fit(quality.featurise(pa.array(texts)), y)
+    for f in (lambda t: score(t, None), model.score):
+        together = f(pa.array(texts, pa.string()))
+        assert np.abs(together - f(pa.array(texts[::-1], pa.string()))[::-1]).max() < 1e-5
+        assert max(abs(x - f(pa.array([t], pa.string()))[0]) for x, t in zip(together, texts)) < 1e-5
