@@ -19,7 +19,9 @@ lies in exactly one context and equal strings meet under one anchor hash.
 4. The intervals of each text are merged and cut out.
 
 Equality of contexts is decided by 128 bits of hashes, equality of strings inside
-different contexts by their bytes.
+different contexts by their bytes.  An anchor with over ``GROUP`` different contexts
+would make one task of them; there each string is a row of its own and equal ones are
+counted by 128 bits of hashes, which spreads them over the cluster.
 """
 
 import numpy as np
@@ -35,8 +37,8 @@ from bitloom.llm.store import materialize
 GRAM = 64
 #: Bytes of a document handled at once; longer ones are cut, with overlap.
 CHUNK = 1 << 19
-#: Contexts of one anchor that one index takes; beyond, strings meet one by one.
-GROUP = 20_000
+#: Contexts of one anchor that one index takes; beyond, strings meet one by one, by 128 bits of hashes.
+GROUP = 1_000
 #: Bytes of context text in one index.
 TEXT = 1 << 20
 #: Contexts that a task compares with each other before they are shuffled.
@@ -414,9 +416,10 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     # anchors with very many different contexts: every string is a row of its own
     starts = fetched.join(F.broadcast(crowds.select("h")) if crowds.count() <= 100_000 else crowds.select("h"), "h", "left_semi")
     starts = starts.select("id", "tag", "lo", "bytes", F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - length)).alias("at"))
-    starts = starts.select("id", "tag", (F.col("lo") + F.col("at")).alias("a"), F.md5(F.substring("bytes", F.col("at") + 1, F.lit(length))).alias("string"))
-    twice = starts.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string")
-    marks = marks.union(starts.join(twice, "string", "left_semi").select("id", "tag", "a", (F.col("a") + length).alias("b")))
+    starts = starts.select("id", "tag", (F.col("lo") + F.col("at")).alias("a"), F.substring("bytes", F.col("at") + 1, F.lit(length)).alias("s"))
+    starts = starts.select("id", "tag", "a", F.xxhash64("s").alias("s1"), F.xxhash64(F.lit(7), "s").alias("s2"))
+    twice = starts.groupBy("s1", "s2").agg(F.count("*").alias("n")).where("n > 1").select("s1", "s2")
+    marks = marks.union(starts.join(twice, ["s1", "s2"], "left_semi").select("id", "tag", "a", (F.col("a") + length).alias("b")))
     marks = marks.union(met.where("kind = 0").select("id", "tag", F.col("lo").alias("a"), (F.col("hi") + length).alias("b")))
     marks = materialize(marks.groupBy("id", "tag").agg(F.collect_set(F.col("a") * 1024 + (F.col("b") - F.col("a"))).alias("_marks")), "marks")
 
