@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from bitloom.operators import byte_stats as S
 from bitloom.operators import gaps as G
 from bitloom.operators import transforms as T
-from bitloom.sources.tables import table
+from bitloom.sources.tables import scratch, table
 from bitloom.streaming import blocks as C
 
 
@@ -261,6 +261,22 @@ def chunks(spark, sf):
     return blocks.select(F.col("k.k").alias("doc_id"), F.col("k.block").alias("block"), "chunks", F.col("size").alias("bytes"), F.md5("bytes").alias("digest"))
 
 
+CODECS = ("none", "snappy", "gzip", "zstd", "lz4")
+
+
+def table_codecs(spark, sf):
+    """All texts written as Parquet with each of Spark's codecs: bytes of the files, smallest first."""
+    texts, made = table(spark, sf, "documents").select("doc_id", "text"), None
+    for i, codec in enumerate(CODECS):
+        path = scratch(spark, f"codec-{codec}")
+        texts.write.option("compression", codec).parquet(path)
+        size = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).agg(F.sum("length").alias("bytes"))
+        size = size.select(F.lit(codec).alias("codec"), F.lit(i).alias("rank"), "bytes")
+        made = size if made is None else made.union(size)
+    order = Window.orderBy("bytes", "rank")  # five rows
+    return made.select("codec", "bytes", F.row_number().over(order).alias("place"))
+
+
 def history(spark, sf):
     return C.carried(C.block_methods(table(spark, sf, "documents"), F.col("doc_id"), F.col("text"), 2048)).withColumnRenamed("k", "doc_id")
 
@@ -342,6 +358,7 @@ def registry() -> dict:
         ),
         "t16_best_plan": (best_plan, _plan_sql()),
         "g9_best_groups": (groups, GROUPS),
+        "c3_table_codecs": (table_codecs, None),
         "d1_fixed_width": (
             fixed_widths,
             BYTES + ", w AS (SELECT CAST(x.w AS BIGINT) AS w, row_number() OVER () AS place FROM (SELECT unnest([3, 4, 2, 5, 6, 7, 8, 1]) AS w) x),"

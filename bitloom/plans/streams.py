@@ -55,8 +55,9 @@ def event_windows(spark, sf) -> DataFrame:
 
 
 def gaps_by_user(spark, sf) -> DataFrame:
-    """Gap sizes of the series that a stream of events has written, deduplicated in its state."""
-    rows = _table_stream(spark, sf, "events").select(F.col("user_id").alias("k"), F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", "3650 days").dropDuplicates(["k", "ts"])
+    """Gap sizes of the series that a stream of events has written, deduplicated in its state, which
+    forgets a day behind the latest event."""
+    rows = _table_stream(spark, sf, "events").select(F.col("user_id").alias("k"), F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", "1 day").dropDuplicates(["k", "ts"])
     made = _drain(rows).withColumn("v", F.unix_micros("ts"))
     return G.best_mode(G.gap_sizes(made.select("k", F.col("v").alias("t"), "v"))).withColumnRenamed("k", "user_id")
 

@@ -155,3 +155,11 @@ def test_coded_choice_is_the_smallest(spark, tmp_path):
     assert {r["doc_id"]: (r["method"], r["total"]) for r in E.coded_method(spark, str(tmp_path)).collect()} == want
     used = {r["method"]: (r["texts"], r["bytes"]) for r in E.coded_methods(spark, str(tmp_path)).collect()}
     assert used == {m: (sum(x == m for x, _ in want.values()), sum(n for x, n in want.values() if x == m)) for m in {x for x, _ in want.values()}}
+
+
+def test_codecs_by_file_size(spark, tmp_path):
+    spark.createDataFrame([(i, f"a text that repeats {i % 5} " * 40) for i in range(500)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r["place"], r["codec"], r["bytes"]) for r in E.table_codecs(spark, str(tmp_path)).collect())
+    assert {c for _, c, _ in got} == set(E.CODECS) and [b for *_, b in got] == sorted(b for *_, b in got)
+    sizes = {c: b for _, c, b in got}
+    assert sizes["none"] == max(sizes.values()) and sizes["zstd"] < sizes["none"]
