@@ -91,7 +91,8 @@ class Reader:
         return turns
 
 
-SEGMENT = "conv_id long, turn long, part int, segment string, loss boolean, valid boolean"
+def _kind(df: DataFrame) -> str:
+    return df.schema["conv_id"].dataType.simpleString()
 
 
 def _same(a, b) -> bool:
@@ -104,10 +105,11 @@ def format_chat(conversations: DataFrame, template: Template = Template()) -> Da
 
     ``valid`` is false from the first turn on that the machine does not allow.
     Turns go by ``turn``, then role and text, nulls first; null roles and texts are
-    empty strings, a null ``conv_id`` is a conversation of its own.  Repeated rows
-    are turns like any others.  An empty table gives no segments.
+    empty strings, a null ``conv_id`` is a conversation of its own, and ids may be of any
+    type that sorts.  Repeated rows are turns like any others; other columns are left out.
+    An empty table gives no segments.
     """
-    rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    rows = conversations.select("conv_id", F.col("turn").cast("long"), F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
     def run(batches):
         conv, state, valid, started = None, None, True, False
@@ -121,19 +123,21 @@ def format_chat(conversations: DataFrame, template: Template = Template()) -> Da
                 for part, segment, loss in ((0, template.head(role), False), (1, template.escape(text), role in template.loss), (2, template.end, False)):
                     for column, value in zip(out, (cid, turn, part, segment, loss, valid)):
                         column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.bool_(), pa.bool_())
+            kinds = (batch.schema.field(0).type, pa.int64(), pa.int32(), pa.string(), pa.bool_(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(out, kinds)], names=["conv_id", "turn", "part", "segment", "loss", "valid"])
 
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, SEGMENT)
+    shape = f"conv_id {_kind(rows)}, turn long, part int, segment string, loss boolean, valid boolean"
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, shape)
 
 
 def read_back(segments: DataFrame, template: Template = Template()) -> DataFrame:
-    """Digests of formatted conversations, read from the segments as ``format_chat`` orders them."""
+    """Digests of formatted conversations, read from the segments as ``format_chat`` orders them;
+    segments in another order are an error."""
 
     def run(batches):
         conv, started = None, False
         reader = turns = loss = None
-        n = loss_chars = chars = 0
+        n = loss_chars = chars = awaited = 0
         valid, body = True, ""
 
         def close():
@@ -141,7 +145,10 @@ def read_back(segments: DataFrame, template: Template = Template()) -> DataFrame
 
         for batch in batches:
             done = []
-            for cid, segment, flag, ok in zip(*(batch.column(i).to_pylist() for i in (0, 3, 4, 5))):
+            for cid, part, segment, flag, ok in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5))):
+                if part != awaited or (part and not _same(cid, conv)):
+                    raise ValueError(f"segments out of order in conversation {cid}")
+                awaited = (part + 1) % 3
                 if not started or not _same(cid, conv):
                     if started:
                         done.append(close())
@@ -158,15 +165,16 @@ def read_back(segments: DataFrame, template: Template = Template()) -> DataFrame
                 for role, text in reader.feed(segment):
                     turns.update(f"{role}\n{text}\n".encode())
                     n += 1
-            yield _digests(done)
+            kind = batch.schema.field(0).type
+            yield _digests(done, kind)
         if started:
-            yield _digests([close()])
+            yield _digests([close()], kind)
 
-    return segments.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")
+    return segments.mapInArrow(run, f"conv_id {_kind(segments)}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")
 
 
-def _digests(rows) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_())
+def _digests(rows, kind) -> pa.RecordBatch:
+    kinds = (kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_())
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid"]
     columns = list(zip(*rows)) or [()] * len(kinds)
     return pa.RecordBatch.from_arrays([pa.array(list(c), type=k) for c, k in zip(columns, kinds)], names=names)

@@ -41,8 +41,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
     Null or empty text: one empty line, kept (a null text comes back null).  Null
     id: all rows with a null id count as one document, below every other id.
     Repeated rows count as one document and are treated alike.  An empty table
-    gives an empty table.
+    gives an empty table.  Input columns with the added names are replaced.
     """
+    docs = docs.drop("_n_lines", "_n_dropped")
     rows = docs.select(F.struct("*").alias("_row"))  # columns of the input can't clash with ours
     given_id, given_text = F.col("_row")[id_col], F.col("_row")[text_col]
     text = F.coalesce(given_text, F.lit(""))
@@ -58,6 +59,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
         .where(F.col("_n") >= min_docs).select("_h1", "_h2", "_keep")
     )
     hot = materialize(hot, "lines")
+    if hot.count() <= 1_000_000:  # 24 MB at most; beyond, lines meet their hashes by a shuffle that Spark splits where it is skewed
+        hot = F.broadcast(hot)
     gone = (
         hashed.join(hot, ["_h1", "_h2"])
         .where(~F.col("_id").eqNullSafe(F.col("_keep")))

@@ -1,5 +1,7 @@
 import hashlib
 
+import pytest
+
 from bitloom.llm.chat import PROBE, Reader, Template, format_chat, read_back
 
 ROWS = [
@@ -34,3 +36,16 @@ def test_reader_takes_pieces():
     for c in text:
         got += reader.feed(c)
     assert got == [("user", "a<"), ("assistant", PROBE + "\\")]
+
+
+def test_ids_of_other_types(spark):
+    rows = [("b", 0, "user", "hi"), ("b", 1, "assistant", "ho"), ("a 1", 0, "user", "who")]
+    got = {r["conv_id"]: r["n_turns"] for r in read_back(format_chat(spark.createDataFrame(rows, "conv_id string, turn int, role string, text string"))).collect()}
+    assert got == {"b": 2, "a 1": 1}
+
+
+def test_segments_out_of_order_are_an_error(spark):
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "ho")]
+    made = format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    with pytest.raises(Exception, match="out of order"):
+        read_back(made.coalesce(1).sortWithinPartitions("part", "turn")).collect()

@@ -39,3 +39,9 @@ def test_against_brute_force(spark, odd_docs):
 
 def test_empty_table(no_docs):
     assert dedup_lines(no_docs).collect() == []
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a\nb", "mine", 2, 3)], "doc_id long, text string, _n_lines string, _id int, _gone int")
+    (row,) = dedup_lines(df).collect()
+    assert (row["_n_lines"], row["_n_dropped"], row["_id"], row["_gone"], row["text"]) == (2, 0, 2, 3, "a\nb")
