@@ -4,6 +4,8 @@ A function is a set of rows; every operator works on many functions at once, key
 by ``fn``.  A cube is ``(mask, value)``: mask bits are fixed, value holds them.
 """
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -183,20 +185,16 @@ def greedy_cover(cubes: DataFrame, on: DataFrame) -> DataFrame:
     if "weight" not in cubes.columns:
         cubes = cubes.withColumn("weight", cube_weight(F.col("mask"), "literals"))
     hits = keep(_hits(cubes.select("fn", "mask", "value", "weight").distinct(), on.select("fn", "minterm").distinct()), "hits")
-    left, turns, turn = hits, [], 0
+    left, turns = hits, []
     while True:
         gain = left.groupBy("fn", "mask", "value").agg(F.count("*").alias("gain"), F.min("weight").alias("w"))
         best = gain.groupBy("fn").agg(F.max(F.struct((F.col("gain") / F.col("w")).alias("merit"), "gain", (-F.col("mask")).alias("m"), (-F.col("value")).alias("v"))).alias("x"))
-        best = keep(best.select("fn", (-F.col("x.m")).alias("mask"), (-F.col("x.v")).alias("value"), F.lit(turn).alias("turn")), "turn")
+        best = keep(best.select("fn", (-F.col("x.m")).alias("mask"), (-F.col("x.v")).alias("value"), F.lit(len(turns)).alias("turn")), "turn")
         if not best.take(1):
-            break
+            return reduce(DataFrame.union, turns, best)
         turns.append(best)
-        done = hits.join(best, ["fn", "mask", "value"], "left_semi").select("fn", "minterm")
-        left, turn = keep(left.join(done, ["fn", "minterm"], "left_anti"), "left"), turn + 1
-    out = best
-    for some in turns:
-        out = out.union(some)
-    return out
+        done = hits.join(reduce(DataFrame.union, turns), ["fn", "mask", "value"], "left_semi").select("fn", "minterm")
+        left = hits.join(done, ["fn", "minterm"], "left_anti")
 
 
 def _hits(cubes: DataFrame, minterms: DataFrame) -> DataFrame:
@@ -242,7 +240,8 @@ def minimise(on: DataFrame, dc: DataFrame, bits: int, objectives=("literals",))
     Primes of on- and don't-care minterms, chosen greedily by the objective's weights, swept for
     superfluous cubes in the order of choice.  A function without on-minterms has no rows."""
     on, dc = canonical(on, dc)
-    pool = useful(primes(on.union(dc), bits), on)
+    on = keep(on, "on")
+    pool = keep(useful(primes(on.union(dc), bits), on), "pool")
     each = F.explode(F.array(*[F.struct(F.lit(o).alias("objective"), cube_weight(F.col("mask"), o).alias("weight")) for o in objectives]))
     keyed = pool.select("fn", "mask", "value", each.alias("o")).select(F.struct("fn", "o.objective").alias("fn"), "mask", "value", "o.weight")
     wanted = keyed.select(F.col("fn").alias("key")).distinct().join(on, F.col("key")["fn"] == on["fn"]).select(F.col("key").alias("fn"), "minterm")
@@ -280,10 +279,7 @@ def minimum_cover(cubes: DataFrame, on: DataFrame) -> DataFrame:
         more = state.withColumn("rank", F.get("left", F.lit(0))).join(options, ["fn", "rank"])
         more = more.select("fn", F.array_except("left", "mins").alias("left"), (F.col("literals") + popcount(F.col("mask"))).alias("literals"), F.array_append("taken", F.struct("mask", "value")).alias("taken"))
         state = more.groupBy("fn", "left").agg(F.min(F.struct("literals", "taken")).alias("x")).select("fn", "left", "x.literals", "x.taken")
-    out = found[0]
-    for some in found[1:]:
-        out = out.union(some)
-    return out
+    return reduce(DataFrame.union, found)
 
 
 def gate_counts(cubes: DataFrame, bits: int) -> DataFrame:
