@@ -50,7 +50,7 @@ BLOCK = 100
 #: Pivots of a large group in each round.
 PIVOTS = 16
 #: Index rows that a task merges by key before they are shuffled.
-MERGED = 1 << 20
+MERGED = 1 << 18
 BAND = 1.4
 
 
@@ -218,7 +218,7 @@ def _index(k: int, bands: Bands):
 
     def run(batches):
         keys, ids, held = [], [], 0
-        for batch in K.pieces(batches, 1, 1 << 22):
+        for batch in K.pieces(batches, 1, 1 << 20):
             values, counts = doc_sets(batch.column(1), k)
             ends = np.cumsum(counts)
             rows = [index_rows(values[a:b], bands) for a, b in zip((ends - counts).tolist(), ends.tolist()) if a < b]

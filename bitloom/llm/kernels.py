@@ -77,7 +77,7 @@ def spans(offsets: np.ndarray, limit: int = SPAN, most: int = 50_000):
         at = to
 
 
-def pieces(batches, column: int, limit: int = 1 << 26):
+def pieces(batches, column: int, limit: int = 1 << 22):
     """The batches in slices of about ``limit`` bytes of text (a longer text is a slice of its own),
     so that what a kernel makes of one stays under the limits of Arrow's offsets."""
     for batch in batches:

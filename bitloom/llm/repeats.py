@@ -42,7 +42,7 @@ GROUP = 1_000
 #: Bytes of context text in one index.
 TEXT = 1 << 20
 #: Contexts that a task compares with each other before they are shuffled.
-MERGED = 1 << 19
+MERGED = 1 << 17
 
 
 def contexts(data: np.ndarray, offsets: np.ndarray, length: int):
