@@ -52,6 +52,40 @@ def index_sizes(hist: DataFrame) -> DataFrame:
     return s.select("k", "n", "symbols", "bits", (F.col("n") + HEADER).alias("raw"), (F.ceil(F.col("n") * F.col("bits") / 8) + F.col("symbols") + HEADER).alias("indexed"))
 
 
+def _packed(t) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's bytes as ids of as few bits as its alphabet needs, low bits first: the joined
+    payloads, their sizes, and the bits of an id."""
+    there = np.bincount(t.row * 256 + t.data, minlength=len(t.sizes) * 256).reshape(-1, 256) > 0
+    symbols = there.sum(axis=1)
+    bits = np.maximum(1, np.ceil(np.log2(np.maximum(symbols, 1)))).astype(np.int64)
+    ids = (np.cumsum(there, axis=1) - 1)[t.row, t.data]
+    size = (t.sizes * bits + 7) // 8
+    begin = np.cumsum(size) - size
+    out, wide = np.zeros(int(size.sum()) * 8, dtype=np.uint8), bits[t.row]
+    for i in range(8):
+        has = wide > i
+        out[(begin[t.row] * 8 + t.pos * wide + i)[has]] = ids[has] >> i & 1
+    return np.packbits(out, bitorder="little"), size, bits
+
+
+def index_payload(df: DataFrame) -> DataFrame:
+    """``k, bytes`` -> ``k, bits, payload``: ids of each text's bytes (ranks in its sorted alphabet),
+    packed low bits first.  Empty texts have an empty payload."""
+    kind = df.schema["k"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            at = 0
+            for t in runs_of(batch.column(1)) if batch.num_rows else []:
+                body, size, bits = _packed(t)
+                offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+                payload = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(body))])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(size)), pa.array(bits.astype(np.int32)), payload], names=["k", "bits", "payload"])
+                at += len(size)
+
+    return df.select("k", "bytes").mapInArrow(run, f"k {kind}, bits int, payload binary")
+
+
 def _lengths(freq: list[int]) -> list[int]:
     """Code lengths of a minimum-redundancy code; ties go to the node made first."""
     if len(freq) == 1:

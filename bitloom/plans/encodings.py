@@ -75,6 +75,12 @@ def sizes(spark, sf):
     return S.index_sizes(_hist(spark, sf)).withColumnRenamed("k", "doc_id")
 
 
+def payloads_of_ids(spark, sf):
+    """Digests of the packed ids of each text."""
+    out = S.index_payload(_texts(spark, sf))
+    return out.select(F.col("k").alias("doc_id"), "bits", F.octet_length("payload").cast("long").alias("bytes"), F.md5("payload").alias("digest"))
+
+
 def huffman(spark, sf):
     """Code cost against the entropy bound: it lies within one bit a byte of it."""
     h = _hist(spark, sf)
@@ -325,6 +331,12 @@ def registry() -> dict:
             " w AS (SELECT *, CAST(greatest(1, ceil(log2(symbols))) AS INTEGER) AS bits FROM s)"
             " SELECT k AS doc_id, n, symbols, bits, n + 36 AS raw, (n * bits + 7) // 8 + symbols + 36 AS indexed FROM w",
         ),
+        "p3_index_payload": (
+            payloads_of_ids,
+            BYTES + ", i AS (SELECT k, n, pos, dense_rank() OVER (PARTITION BY k ORDER BY b) - 1 AS id FROM rel), w AS (SELECT k, CAST(greatest(1, ceil(log2(max(id) + 1))) AS BIGINT) AS bits FROM i GROUP BY k),"
+            " p AS (SELECT k, bits, (pos * bits + j) // 8 AS place, CAST(sum(((id >> CAST(j AS INTEGER)) & 1) << CAST((pos * bits + j) % 8 AS INTEGER)) AS INTEGER) AS v FROM i JOIN w USING (k), range(8) r(j) WHERE j < bits GROUP BY ALL)"
+            " SELECT k AS doc_id, CAST(bits AS INTEGER) AS bits, count(*) AS bytes, md5(unhex(string_agg(printf('%02X', v), '' ORDER BY place))) AS digest FROM p GROUP BY k, bits",
+        ),
         "p4_huffman_bound": (
             huffman,
             MERGES + " SELECT k AS doc_id, n, bits AS coded_bits, CAST(huffman AS BIGINT) AS huffman,"

@@ -163,3 +163,13 @@ def test_codecs_by_file_size(spark, tmp_path):
     assert {c for _, c, _ in got} == set(E.CODECS) and [b for *_, b in got] == sorted(b for *_, b in got)
     sizes = {c: b for _, c, b in got}
     assert sizes["none"] == max(sizes.values()) and sizes["zstd"] < sizes["none"]
+
+
+def test_packed_ids_by_a_plain_loop(spark):
+    rows = [(i, t.encode()) for i, t in enumerate([*TEXTS[:5], "aaaa", "".join(map(chr, range(33, 127)))])] + [(90, bytes(range(256)) * 2)]
+    for r in S.index_payload(spark.createDataFrame(rows, "k long, bytes binary")).collect():
+        data = dict(rows)[r["k"]]
+        symbols = sorted(set(data))
+        width = max(1, (len(symbols) - 1).bit_length()) if symbols else 1
+        number = sum(symbols.index(b) << i * width for i, b in enumerate(data))
+        assert r["bits"] == width and bytes(r["payload"]) == number.to_bytes(-(-len(data) * width // 8), "little")
