@@ -4,7 +4,8 @@ Labels start as ids.  Each round every node takes the smallest label among its
 neighbours and its own label's label (pointer jumping), so rounds grow with the
 logarithm of a component's width on chains of labels.  Links are contracted to
 their labels and inner links are dropped each round, so a star or a clique is done
-after one round.  Every round is written to the shared folder; nothing is collected.
+after one round.  Every round is written to the shared folder, and deleted when the next
+has replaced it; nothing is collected.
 """
 
 from pyspark.sql import DataFrame
@@ -34,12 +35,16 @@ def connected_components(links: DataFrame) -> DataFrame:
                 jumped = labels.join(up, "label").select("node", F.col("above").alias("label"), (F.col("above") != F.col("label")).alias("moved"))
                 jumped = materialize(jumped, "cc")
                 moved = jumped.where("moved").take(1)
+                drop(labels)
                 labels = jumped.select("node", "label")
                 if not moved:
+                    drop(edges)
                     drop(outer)
                     return labels
         # each label takes the smallest label linked to it; then pointers are followed once
         ends = outer.union(outer.select(F.col("b").alias("a"), F.col("a").alias("b")))
         step = ends.groupBy(F.col("a").alias("label")).agg(F.min(F.least("a", "b")).alias("low"))
-        labels = materialize(labels.join(step, "label", "left").select("node", F.coalesce("low", "label").alias("label")), "cc")
+        before, labels = labels, materialize(labels.join(step, "label", "left").select("node", F.coalesce("low", "label").alias("label")), "cc")
+        drop(before)
+        drop(edges)
         edges = outer
