@@ -38,11 +38,11 @@ GRAM = 64
 #: Bytes of a document handled at once; longer ones are cut, with overlap.
 CHUNK = 1 << 19
 #: Contexts of one anchor that one index takes; beyond, strings meet one by one, by 128 bits of hashes.
-GROUP = 1_000
+GROUP = 20_000
 #: Bytes of context text in one index.
 TEXT = 1 << 20
 #: Contexts that a task compares with each other before they are shuffled.
-MERGED = 1 << 17
+MERGED = 1 << 18
 
 
 def contexts(data: np.ndarray, offsets: np.ndarray, length: int):
