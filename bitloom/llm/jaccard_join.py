@@ -20,7 +20,7 @@ these too, and in such a pair the smaller number is above x + 1.
 Jobs: one pass over the texts makes size, a 128-bit digest of the set and a parity
 sketch; equal sets are folded by digest; a second pass makes the index rows of one
 text of each set.  A task merges its rows of one key before the shuffle, and the
-reducer streams sorted rows, holding ``BLOCK`` ids of a key at most.  Groups with
+reducer streams sorted rows, holding ``HELD`` ids of a key at most.  Groups with
 the same members are folded, long ones by their smallest member.  Pairs in a group
 that the sketch can't refute (the parity sketch never counts more differences than
 there are) form coarse classes; inside these, whole sets are compared exactly.
@@ -45,10 +45,12 @@ from bitloom.llm import kernels as K
 from bitloom.llm.components import connected_components
 from bitloom.llm.store import drop, materialize
 
-#: Sets of one side of a comparison; also the ids of one key that a task holds.
-BLOCK = 100
+#: Sets of one side of a comparison.
+BLOCK = 256
+#: Ids of one key that a task holds; longer groups are named by their smallest id.
+HELD = 256
 #: Pivots of a large group in each round.
-PIVOTS = 16
+PIVOTS = 24
 #: Index rows that a task merges by key before they are shuffled.
 MERGED = 1 << 18
 BAND = 1.4
@@ -238,7 +240,7 @@ def _index(k: int, bands: Bands):
 
 def _groups(batches):
     """Members of each key, streamed from rows sorted by (key, id): ``g, id`` of groups of two
-    or more.  A group of up to BLOCK ids is named by its members; a longer one by its smallest
+    or more.  A group of up to HELD ids is named by its members; a longer one by its smallest
     id, so that the keys of one family make one group, and its ids go out as they come."""
     open_key, tail, long_name = None, np.zeros(0, np.int64), None
 
@@ -246,7 +248,7 @@ def _groups(batches):
         with np.errstate(over="ignore"):
             total = np.add.reduceat(K.mix(ids.view(np.uint64) + K.U64(0x9E3779B97F4A7C15)), starts)
             short = K.mix(total + counts.astype(np.uint64))
-        return np.where(counts > BLOCK, K.mix(ids[starts].view(np.uint64) ^ K.U64(0xD1B54A32D192ED03)), short)
+        return np.where(counts > HELD, K.mix(ids[starts].view(np.uint64) ^ K.U64(0xD1B54A32D192ED03)), short)
 
     def rows(g, ids):
         return pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(ids)], names=["g", "id"])
@@ -276,7 +278,7 @@ def _groups(batches):
         edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         counts = np.diff(np.append(edges, len(keys)))
         open_key, tail = keys[-1], ids[edges[-1] :]
-        if len(tail) > BLOCK:
+        if len(tail) > HELD:
             long_name = named(tail, np.zeros(1, np.int64), np.array([len(tail)]))[0]
             yield rows(np.full(len(tail), long_name), tail)
         big = np.flatnonzero(counts[:-1] > 1)

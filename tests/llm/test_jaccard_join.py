@@ -89,7 +89,7 @@ def test_bands_of_a_million_words_are_planned_at_once():
 
 def test_streamed_groups_hold_all_pairs_of_a_key(monkeypatch):
     """Rows of a task merged by key, then streamed in small batches: members of a key meet in a group."""
-    monkeypatch.setattr(J, "BLOCK", 8)
+    monkeypatch.setattr(J, "HELD", 8)
     rng = random.Random(7)
     held = [(rng.choice([1, 1, 1, 2, 3, *range(4, 400)]), i) for i in range(1500)]
     keys, ids = (np.array(x) for x in zip(*sorted(held)))
@@ -115,13 +115,13 @@ def test_large_group_of_near_copies(spark):
     rng = random.Random(11)
     base = [f"w{rng.randrange(500)}" for _ in range(100)]
     rows = []
-    for i in range(900):
+    for i in range(1300):
         words = list(base)
         start = rng.randrange(0, 88)
         for j in range(rng.randrange(0, 9)):
             words[start + j] = f"x{i % 60}_{j}"
         rows.append((i, " ".join(words)))
-    rows += [(1000 + i, " ".join(base[:60] + [f"y{i}_{j}" for j in range(40)])) for i in range(300)]
+    rows += [(2000 + i, " ".join(base[:60] + [f"y{i}_{j}" for j in range(40)])) for i in range(300)]
     got = link_classes(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80, 100).collect()
     assert {r["id"]: r["component_id"] for r in got} == brute(rows, 3, 80, 100)
 
