@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitloom.functions.bits import bits_for_count
-from bitloom.operators.transforms import byte_texts, runs_of
+from bitloom.operators.transforms import PIECE, Texts, blobs, byte_texts, counts_of, runs_of
 
 #: Methods by number.
 METHODS = ("raw-copy", "indexed-raw", "indexed-circuit", "indexed-huffman", "raw-deflate", "raw-zstd", "framed-raw", "recursive-circuit-xz", "monotonic-delta", "raw-xz")
@@ -26,13 +26,15 @@ def byte_counts(df: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             at = 0
-            for t in runs_of(batch.column(1)) if batch.num_rows else []:
-                n = np.bincount(t.row * 256 + t.data, minlength=len(t.sizes) * 256)
-                cell = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cell // 256 + at)), pa.array((cell % 256).astype(np.int32)), pa.array(n[cell].astype(np.int64))], names=["k", "b", "freq"])
-                at += len(t.sizes)
+            for t in runs_of(batch.column(1)):
+                n = counts_of(t)
+                row, byte = np.nonzero(n)
+                items = pa.StructArray.from_arrays([pa.array(byte.astype(np.int32)), pa.array(n[row, byte].astype(np.int64))], names=["b", "freq"])
+                offsets = np.searchsorted(row, np.arange(len(n) + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(n)), pa.ListArray.from_arrays(pa.array(offsets), items)], names=["k", "counts"])
+                at += len(n)
 
-    return df.select("k", "bytes").mapInArrow(run, f"k {kind}, b int, freq long")
+    return df.select("k", "bytes").mapInArrow(run, f"k {kind}, counts array<struct<b:int,freq:bigint>>").select("k", F.inline("counts"))
 
 
 def histogram(df: DataFrame, key: Column, text: Column) -> DataFrame:
@@ -52,20 +54,19 @@ def index_sizes(hist: DataFrame) -> DataFrame:
     return s.select("k", "n", "symbols", "bits", (F.col("n") + HEADER).alias("raw"), (F.ceil(F.col("n") * F.col("bits") / 8) + F.col("symbols") + HEADER).alias("indexed"))
 
 
-def _packed(t) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _packed(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each text's bytes as ids of as few bits as its alphabet needs, low bits first: the joined
     payloads, their sizes, and the bits of an id."""
-    there = np.bincount(t.row * 256 + t.data, minlength=len(t.sizes) * 256).reshape(-1, 256) > 0
+    there = counts_of(t) > 0
     symbols = there.sum(axis=1)
     bits = np.maximum(1, np.ceil(np.log2(np.maximum(symbols, 1)))).astype(np.int64)
-    ids = (np.cumsum(there, axis=1) - 1)[t.row, t.data]
-    size = (t.sizes * bits + 7) // 8
-    begin = np.cumsum(size) - size
-    out, wide = np.zeros(int(size.sum()) * 8, dtype=np.uint8), bits[t.row]
-    for i in range(8):
-        has = wide > i
-        out[(begin[t.row] * 8 + t.pos * wide + i)[has]] = ids[has] >> i & 1
-    return np.packbits(out, bitorder="little"), size, bits
+    ids = (np.cumsum(there, axis=1) - 1).astype(np.uint8)
+    # a piece has a whole number of bytes, as its ids are a multiple of eight
+    out = [
+        np.packbits(np.unpackbits(ids[row][x[at : at + PIECE]][:, None], axis=1, count=width, bitorder="little").ravel(), bitorder="little")
+        for row, (x, width) in enumerate(zip(t, bits.tolist())) for at in range(0, len(x), PIECE)
+    ]
+    return np.concatenate([np.zeros(0, np.uint8), *out]), (t.sizes * bits + 7) // 8, bits
 
 
 def index_payload(df: DataFrame) -> DataFrame:
@@ -76,11 +77,9 @@ def index_payload(df: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             at = 0
-            for t in runs_of(batch.column(1)) if batch.num_rows else []:
+            for t in runs_of(batch.column(1)):
                 body, size, bits = _packed(t)
-                offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-                payload = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(body))])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(size)), pa.array(bits.astype(np.int32)), payload], names=["k", "bits", "payload"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(size)), pa.array(bits.astype(np.int32)), blobs(body, size)], names=["k", "bits", "payload"])
                 at += len(size)
 
     return df.select("k", "bytes").mapInArrow(run, f"k {kind}, bits int, payload binary")

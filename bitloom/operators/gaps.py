@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitloom.functions.bits import trailing_zeros, varint_length, zigzag
-from bitloom.operators.transforms import runs_of
+from bitloom.operators.transforms import PIECE, runs_of
 
 MODES = ("bytes", "varint", "delta-varint", "zero-bytes", "zero-varint")
 
@@ -63,6 +63,18 @@ def restored(gaps: DataFrame) -> DataFrame:
 WIDTHS = (3, 4, 2, 5, 6, 7, 8, 1)
 
 
+def _falls(x: np.ndarray, w: int) -> int:
+    """Values of ``w`` bytes that are not above the one before, a piece at a time."""
+    out, values = 0, x.reshape(-1, w)
+    for at in range(0, len(values), PIECE):
+        part = values[max(0, at - 1) : at + PIECE]
+        value = np.zeros(len(part), dtype=np.uint64)
+        for i in range(w):
+            value |= part[:, i].astype(np.uint64) << np.uint64(8 * i)
+        out += np.count_nonzero(value[1:] <= value[:-1])
+    return out
+
+
 def fixed_widths(df: DataFrame) -> DataFrame:
     """``k, bytes`` -> ``k, width, n, falls, chosen``: bytes read as little-endian integers of each width
     that divides them into three or more; ``falls`` counts values not above the one before, and
@@ -72,22 +84,14 @@ def fixed_widths(df: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             at = 0
-            for t in runs_of(batch.column(1)) if batch.num_rows else []:
+            for t in runs_of(batch.column(1)):
                 rows, widths, counts, falls = [], [], [], []
                 for w in WIDTHS:
                     fits = np.flatnonzero((t.sizes % w == 0) & (t.sizes >= 3 * w))
-                    mask = np.zeros(len(t.sizes), dtype=bool)
-                    mask[fits] = True
-                    part = t.data[mask[t.row]].reshape(-1, w)
-                    value = np.zeros(len(part), dtype=np.uint64)
-                    for i in range(w):
-                        value |= part[:, i].astype(np.uint64) << np.uint64(8 * i)
-                    owner = np.repeat(np.arange(len(fits)), t.sizes[fits] // w)
-                    fall = np.flatnonzero((owner[1:] == owner[:-1]) & (value[1:] <= value[:-1])) + 1
                     rows.append(fits)
                     widths.append(np.full(len(fits), w))
                     counts.append(t.sizes[fits] // w)
-                    falls.append(np.bincount(owner[fall], minlength=len(fits)))
+                    falls.append(np.array([_falls(t.data[t.offsets[i] : t.offsets[i + 1]], w) for i in fits.tolist()], dtype=np.int64))
                 rows, widths, counts, falls = (np.concatenate(x) for x in (rows, widths, counts, falls))
                 first = np.full(len(t.sizes), len(rows))
                 np.minimum.at(first, rows[falls == 0], np.flatnonzero(falls == 0))
