@@ -1,12 +1,10 @@
 """Byte statistics, code lengths and candidate sizes of texts."""
 
-import heapq
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from bitloom.functions.bits import bits_for_count
 from bitloom.operators.transforms import PIECE, Texts, blobs, byte_texts, counts_of, runs_of
@@ -87,28 +85,59 @@ def index_payload(df: DataFrame) -> DataFrame:
 
 def _lengths(freq: list[int]) -> list[int]:
     """Code lengths of a minimum-redundancy code; ties go to the node made first."""
-    if len(freq) == 1:
+    n = len(freq)
+    if n == 1:
         return [1]
-    heap = [(f, i, (i,)) for i, f in enumerate(freq)]
-    heapq.heapify(heap)
-    out, made = [0] * len(freq), len(freq)
-    while len(heap) > 1:
-        a, b = heapq.heappop(heap), heapq.heappop(heap)
-        for i in a[2] + b[2]:
-            out[i] += 1
-        heapq.heappush(heap, (a[0] + b[0], made, a[2] + b[2]))
-        made += 1
+    order = sorted(range(n), key=freq.__getitem__)
+    weight, up, leaf, node = [freq[i] for i in order], [0] * (2 * n - 1), 0, n
+    for made in range(n, 2 * n - 1):  # made nodes come in order of weight, so the least is the next leaf or the next node
+        total = 0
+        for _ in range(2):
+            if leaf < n and (node == made or weight[leaf] <= weight[node]):
+                pick, leaf = leaf, leaf + 1
+            else:
+                pick, node = node, node + 1
+            up[pick] = made
+            total += weight[pick]
+        weight.append(total)
+    depth, out = [0] * (2 * n - 1), [0] * n
+    for i in range(2 * n - 3, -1, -1):
+        depth[i] = depth[up[i]] + 1
+    for i, at in enumerate(order):
+        out[at] = depth[i]
     return out
 
 
+@F.arrow_udf(returnType=ArrayType(IntegerType()))
+def _lengths_of(freqs: pa.Array) -> pa.Array:
+    made, ends = [], [0]
+    for at in range(0, len(freqs), 1024):
+        for freq in freqs.slice(at, 1024).to_pylist():
+            made.extend(_lengths(freq))
+            ends.append(len(made))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(made, pa.int32()))
+
+
+def code_tables(hist: DataFrame) -> DataFrame:
+    """``k, codes``: one row a text with an array of its ``b, freq, length``, at most 256."""
+    met = hist.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("b", "freq"))).alias("_s"))
+    met = met.withColumn("_l", _lengths_of(F.col("_s.freq")))
+    return met.select("k", F.zip_with("_s", "_l", lambda s, n: F.struct(s["b"].alias("b"), s["freq"].alias("freq"), n.alias("length"))).alias("codes"))
+
+
 def code_lengths(hist: DataFrame) -> DataFrame:
-    """``k, b, freq, length``: at most 256 rows of one text meet in a group."""
+    """``k, b, freq, length`` of a minimum-redundancy code for each text."""
+    return code_tables(hist).select("k", F.inline("codes"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("b")
-        return pdf.assign(length=_lengths(pdf["freq"].tolist()))
 
-    return hist.groupBy("k").applyInPandas(run, f"k {hist.schema['k'].dataType.simpleString()}, b int, freq long, length int")
+def coded_sizes(tables: DataFrame) -> DataFrame:
+    """Sizes of the raw copy, of fixed-width ids and of code words, inside the row of a text:
+    ``k, n, symbols, coded_bits, raw, indexed, huffman, codes``."""
+    total = lambda f: F.aggregate("codes", F.lit(0).cast("long"), lambda t, c: t + f(c))
+    s = tables.select("k", total(lambda c: c["freq"]).alias("n"), F.size("codes").cast("long").alias("symbols"), total(lambda c: c["freq"] * c["length"]).alias("coded_bits"), "codes")
+    indexed = F.ceil(F.col("n") * bits_for_count(F.col("symbols")) / 8) + F.col("symbols") + HEADER
+    huffman = F.ceil(F.col("coded_bits") / 8) + F.col("symbols") * 2 + HEADER
+    return s.select("k", "n", "symbols", "coded_bits", (F.col("n") + HEADER).alias("raw"), indexed.alias("indexed"), huffman.alias("huffman"), "codes")
 
 
 def canonical_codes(lengths: DataFrame) -> DataFrame:
@@ -129,11 +158,10 @@ def choose(candidates: DataFrame) -> DataFrame:
     of the best size before it."""
     rank = F.array_position(F.array(*[F.lit(m) for m in ORDER]), F.col("method"))
     rows = candidates.where("total IS NOT NULL").withColumn("rank", rank)
-    plain = rows.where("method <> 'indexed-circuit'")
+    plain = F.col("method") != "indexed-circuit"
     least = lambda cond: F.min(F.when(cond, F.struct("total", "rank", "method")))
-    best = plain.groupBy("k").agg(least(F.col("rank") <= 2).alias("early"), least(F.col("rank") > 2).alias("late"))
-    circuit = rows.where("method = 'indexed-circuit'").groupBy("k").agg(F.min(F.struct("total", "rank", "method")).alias("circuit"))
-    best = best.join(circuit, "k", "left")
+    best = rows.groupBy("k").agg(least(plain & (F.col("rank") <= 2)).alias("early"), least(plain & (F.col("rank") > 2)).alias("late"), least(~plain).alias("circuit"))
+    best = best.where("early IS NOT NULL OR late IS NOT NULL")
     saves = F.col("circuit.total") < F.col("early.total") - F.floor(F.col("early.total") / 100)
     first = F.when(F.coalesce(saves, F.lit(False)), F.col("circuit")).otherwise(F.col("early"))
     win = F.when(F.col("late").isNotNull() & (F.col("late.total") < first["total"]), F.col("late")).otherwise(first)

@@ -1,5 +1,6 @@
 """What the byte kernels hold, and plans that stay within a row: kernels are run on the driver."""
 
+import heapq
 import random
 import tracemalloc
 
@@ -46,3 +47,29 @@ def test_a_kernel_holds_a_few_times_its_longest_text(spark, monkeypatch, name):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 60_000_000
+
+
+def heap_lengths(freq):
+    heap, out, made = [(f, i, (i,)) for i, f in enumerate(freq)], [0] * len(freq), len(freq)
+    heapq.heapify(heap)
+    while len(heap) > 1:
+        a, b = heapq.heappop(heap), heapq.heappop(heap)
+        for i in a[2] + b[2]:
+            out[i] += 1
+        heapq.heappush(heap, (a[0] + b[0], made, a[2] + b[2]))
+        made += 1
+    return out if len(freq) > 1 else [1]
+
+
+def test_code_lengths_stay_in_the_row(spark):
+    """The lengths of a heap, ties included, without a pandas frame a text."""
+    rng = random.Random(2)
+    tables = {k: [rng.choice([1, 1, 2, 3, 5, 8, 1000]) * rng.randint(1, 3) for _ in range(rng.choice([1, 2, 3, 40, 256]))] for k in range(300)}
+    tables |= {400: [1] * 256, 401: [2**i for i in range(40)]}
+    hist = spark.createDataFrame([(k, b, f) for k, freq in tables.items() for b, f in enumerate(freq)], "k long, b int, freq long")
+    out = S.code_lengths(hist)
+    assert "InPandas" not in out._jdf.queryExecution().toString()
+    got: dict = {}
+    for r in out.collect():
+        got.setdefault(r["k"], {})[r["b"]] = (r["freq"], r["length"])
+    assert got == {k: dict(enumerate(zip(freq, heap_lengths(freq)))) for k, freq in tables.items()}
