@@ -40,6 +40,21 @@ def histogram(df: DataFrame, key: Column, text: Column) -> DataFrame:
     return byte_counts(byte_texts(df, key, text)).groupBy("k", "b").agg(F.sum("freq").alias("freq"))
 
 
+def byte_masks(df: DataFrame) -> DataFrame:
+    """``k, bytes`` -> ``k, size, m0, m1, m2, m3``: which bytes occur in each row, as the bits of four integers."""
+    kind = df.schema["k"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            at = 0
+            for t in runs_of(batch.column(1)):
+                words = np.packbits(counts_of(t) > 0, axis=1, bitorder="little").view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(words)), pa.array(t.sizes), *[pa.array(np.ascontiguousarray(words[:, i])) for i in range(4)]], names=["k", "size", "m0", "m1", "m2", "m3"])
+                at += len(words)
+
+    return df.select("k", "bytes").mapInArrow(run, f"k {kind}, size long, m0 long, m1 long, m2 long, m3 long")
+
+
 def symbol_ids(hist: DataFrame) -> DataFrame:
     """Each byte's id: its rank in the text's sorted alphabet."""
     return hist.withColumn("id", (F.dense_rank().over(Window.partitionBy("k").orderBy("b")) - 1).cast("int"))

@@ -1,10 +1,13 @@
 """Texts as chunks and restartable blocks, in batch and as a stream."""
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitloom.functions.bits import bits_for_count
-from bitloom.operators.byte_stats import HEADER, byte_counts
+from bitloom.operators.byte_stats import HEADER, byte_counts, byte_masks
 
 
 def text_chunks(df: DataFrame, key: Column, text: Column, size: int) -> DataFrame:
@@ -45,36 +48,39 @@ def carried(blocks: DataFrame) -> DataFrame:
 
 
 PIECE, GROUP, SPLIT = 10, 18, 2
+MASKS = ("m0", "m1", "m2", "m3")
 
 
 def best_groups(chunks: DataFrame, interval: int) -> DataFrame:
     """How to group the chunks of each block of ``interval`` so that the whole is smallest.
 
-    Every range of neighbouring chunks is a row with its cost as one group (fixed-width
-    ids of its bytes); ranges are joined to longer ones, shortest first, and a split is
-    taken where it is strictly smaller.  ``k, block, chunks, plain, best``: the block as
-    single pieces, and at its best."""
-    rows = chunks.withColumn("block", F.floor(F.col("chunk") / interval)).withColumn("i", F.col("chunk") % interval)
-    byte = byte_counts(rows.select(F.struct("k", "block", "i").alias("k"), "bytes")).select("k.k", "k.block", "k.i", "b", F.col("freq").alias("n"))
-    # a chunk is part of every range that holds it
-    lo = byte.withColumn("lo", F.explode(F.sequence(F.lit(0), F.col("i").cast("int"))))
-    ranges = lo.withColumn("hi", F.explode(F.sequence(F.col("i").cast("int") + 1, F.lit(interval))))
-    used = rows.groupBy("k", "block").agg((F.max("i") + 1).cast("int").alias("chunks"))
-    s = ranges.groupBy("k", "block", "lo", "hi", "b").agg(F.sum("n").alias("n")).groupBy("k", "block", "lo", "hi").agg(F.sum("n").alias("n"), F.count("*").alias("s"))
-    s = s.join(used, ["k", "block"]).where(F.col("hi") <= F.col("chunks"))
-    one = F.col("hi") - F.col("lo") == 1
-    cost = F.ceil(F.col("n") * bits_for_count(F.col("s")) / 8) + F.col("s") + HEADER + F.when(one, PIECE).otherwise(GROUP)
-    cost = s.select("k", "block", "chunks", "lo", "hi", cost.cast("long").alias("cost"))
-    best = cost.where(one)
+    A block is one row with the size and the set of bytes of each of its chunks.  The cost of
+    a range of neighbouring chunks as one group (fixed-width ids of its bytes) is an
+    expression over these; ranges are joined to longer ones, shortest first, and a split is
+    taken where it is strictly smaller.  ``k, block, chunks, best, plain``: the block at its
+    best, and as single pieces.  A block that lacks a chunk has no row."""
+    rows = byte_masks(chunks.select(F.struct("k", "chunk").alias("k"), "bytes")).select("k.k", "k.chunk", "size", *MASKS).where("size > 0 AND k IS NOT NULL")
+    rows = rows.withColumn("block", F.floor(F.col("chunk") / interval)).withColumn("i", (F.col("chunk") % interval).cast("int"))
+    here = lambda i, x: F.when(F.col("i") == i, F.col(x))
+    parts = [f(here(i, x)).alias(f"{x}_{i}") for i in range(interval) for x, f in (("size", F.sum), *((m, F.bit_or) for m in MASKS))]
+    block = rows.groupBy("k", "block").agg((F.max("i") + 1).alias("chunks"), *parts)
+    there = sum(F.col(f"size_{i}").isNotNull().cast("int") for i in range(interval))
+    block = block.where(there == F.col("chunks"))
+
+    def cost(lo: int, hi: int) -> Column:
+        n = reduce(add, [F.col(f"size_{i}") for i in range(lo, hi)])
+        s = reduce(add, [F.bit_count(reduce(Column.bitwiseOR, [F.col(f"{m}_{i}") for i in range(lo, hi)])) for m in MASKS])
+        return (F.ceil(n * bits_for_count(s) / 8) + s + HEADER + (PIECE if hi - lo == 1 else GROUP)).cast("long")
+
+    # a range past the last chunk has no cost, and no split
+    ranges = lambda span: [(lo, lo + span) for lo in range(interval - span + 1)]
+    best = lambda lo, hi: F.col(f"best_{lo}_{hi}")
+    block = block.withColumns({f"best_{lo}_{hi}": cost(lo, hi) for lo, hi in ranges(1)})
     for span in range(2, interval + 1):
-        left = best.select("k", "block", "lo", F.col("hi").alias("mid"), F.col("cost").alias("a"))
-        right = best.select("k", "block", F.col("lo").alias("mid"), "hi", F.col("cost").alias("b"))
-        split = left.join(right, ["k", "block", "mid"]).where(F.col("hi") - F.col("lo") == span).groupBy("k", "block", "lo", "hi").agg((F.min(F.col("a") + F.col("b")) + SPLIT).alias("split"))
-        longer = cost.where(F.col("hi") - F.col("lo") == span).join(split, ["k", "block", "lo", "hi"])
-        best = best.union(longer.select("k", "block", "chunks", "lo", "hi", F.least("cost", "split").alias("cost")))
-    whole = best.where((F.col("lo") == 0) & (F.col("hi") == F.col("chunks"))).select("k", "block", "chunks", F.col("cost").alias("best"))
-    plain = cost.where(one).groupBy("k", "block").agg(F.sum("cost").cast("long").alias("plain"))
-    return whole.join(plain, ["k", "block"])
+        splits = lambda lo, hi: [best(lo, mid) + best(mid, hi) + SPLIT for mid in range(lo + 1, hi)]
+        block = block.withColumns({f"best_{lo}_{hi}": F.least(cost(lo, hi), *splits(lo, hi)) for lo, hi in ranges(span)})
+    plain = reduce(add, [F.coalesce(best(lo, hi), F.lit(0)) for lo, hi in ranges(1)])
+    return block.select("k", "block", "chunks", F.element_at(F.array(*[best(0, hi) for hi in range(1, interval + 1)]), F.col("chunks")).alias("best"), plain.cast("long").alias("plain"))
 
 
 def stream_blocks(chunks: DataFrame, interval: int) -> DataFrame:

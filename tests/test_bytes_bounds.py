@@ -6,10 +6,12 @@ import tracemalloc
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from bitloom.operators import byte_stats as S
 from bitloom.operators import gaps as G
 from bitloom.operators import transforms as T
+from bitloom.streaming import blocks as C
 
 HT = ("head-tail", 8, 1)
 TRANSFORMS = {
@@ -73,3 +75,31 @@ def test_code_lengths_stay_in_the_row(spark):
     for r in out.collect():
         got.setdefault(r["k"], {})[r["b"]] = (r["freq"], r["length"])
     assert got == {k: dict(enumerate(zip(freq, heap_lengths(freq)))) for k, freq in tables.items()}
+
+
+def test_groups_of_chunks_by_a_plain_loop(spark):
+    """One exchange, the best of all groupings; a key in two rows counts their chunks together."""
+    rng = random.Random(3)
+    texts = {i: "".join(chr(rng.randrange(48, rng.choice([50, 64, 120]))) * rng.choice([1, 30]) for _ in range(rng.randrange(1, 120))) for i in range(60)}
+    df = spark.createDataFrame([*texts.items(), (7, "zz" * 20), (100, ""), (None, "abc")], "id long, text string")
+    for interval in (1, 3, 4):
+        out = C.best_groups(C.text_chunks(df, F.col("id"), F.col("text"), 64), interval)
+        assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hash") <= 1
+        parts: dict = {}
+        for k, text in [*texts.items(), (7, "zz" * 20)]:
+            for at in range(0, len(text), 64):
+                parts.setdefault((k, at // 64 // interval), {}).setdefault(at // 64 % interval, []).append(text[at : at + 64])
+        want = {}
+        for key, block in parts.items():
+            pieces = ["".join(block[i]) for i in range(len(block))]
+
+            def cost(lo, hi, pieces=pieces):
+                joined = "".join(pieces[lo:hi])
+                s = len(set(joined))
+                return -(-len(joined) * max(1, (s - 1).bit_length()) // 8) + s + 36 + (10 if hi - lo == 1 else 18)
+
+            def best(lo, hi):
+                return min([cost(lo, hi), *[best(lo, m) + best(m, hi) + 2 for m in range(lo + 1, hi)]])
+
+            want[key] = (len(pieces), best(0, len(pieces)), sum(cost(i, i + 1) for i in range(len(pieces))))
+        assert {(r["k"], r["block"]): (r["chunks"], r["best"], r["plain"]) for r in out.collect()} == want
