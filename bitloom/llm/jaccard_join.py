@@ -30,7 +30,13 @@ blocks of a larger group first meet some of its members, the pivots: n sets cost
 rows and a few pivots a block.  What the pivots link needs no more comparisons among
 itself; only sets in different components still meet, block by block, so a group of
 near copies costs rows in proportion to its size, times the blocks of sets that no
-pivot links.
+pivot links.  Where that is still more than ``FEW`` blocks a set (unlike sets that have a
+long passage in common, next to none of which are linked), the group's sets meet again
+by their rarest tokens: of a set of n, linked ones share ceil(num * n / den) tokens or
+more, so two linked sets share one of the first n + 1 - ceil(num * n / den) in any order
+that holds for all sets.  Tokens that many of these sets hold come last in it, so a
+passage in common is no longer a place to meet.  Groups of a token that are large
+nevertheless are compared block by block.
 """
 
 import math
@@ -51,6 +57,10 @@ BLOCK = 256
 HELD = 256
 #: Pivots of a large group in each round.
 PIVOTS = 24
+#: Blocks that a set of a large group meets on average, beyond which the group's sets meet by rare tokens.
+FEW = 4
+#: Tokens put last in the order of rarity, the commonest that there are, and how often one is seen at least.
+LISTED, OFTEN = 1 << 17, 8
 #: Index rows that a task merges by key before they are shuffled.
 MERGED = 1 << 18
 BAND = 1.4
@@ -141,6 +151,21 @@ def _segments(tokens, band, most, spare, m):
     return np.concatenate(out)
 
 
+def rare_tokens(tokens: np.ndarray, num: int, den: int, common: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The tokens of one set (sorted) of which a linked set has at least one among its own: the first
+    by an order with ``common`` tokens (sorted) last, these by ``place``."""
+    most = len(tokens) + 1 + -num * len(tokens) // den
+    if not len(common):
+        return tokens[:most]
+    at = np.searchsorted(common, tokens)
+    at[at == len(common)] = 0
+    listed = common[at] == tokens
+    rare = tokens[~listed]
+    if len(rare) < most:
+        rare = np.concatenate([rare, tokens[listed][np.argsort(place[at[listed]])]])
+    return rare[:most]
+
+
 def sketch(tokens: np.ndarray) -> np.ndarray:
     """Parity of the tokens in each of 2**k >= n places, at least 64, as bytes."""
     bits = 64
@@ -193,8 +218,9 @@ def _summaries(k: int):
     return run
 
 
-def _index(k: int, bands: Bands):
-    """Rows ``key, id, more`` of the index: an id, and other ids of the same key as bytes."""
+def _index(k: int, keys_of):
+    """Rows ``key, id, more`` of the index: an id, and other ids of the same key as bytes.
+    ``keys_of`` gives the keys of one set."""
 
     def merged(keys, ids):
         keys, ids = np.concatenate(keys), np.concatenate(ids)
@@ -223,7 +249,7 @@ def _index(k: int, bands: Bands):
         for batch in K.pieces(batches, 1, 1 << 20):
             values, counts = doc_sets(batch.column(1), k)
             ends = np.cumsum(counts)
-            rows = [index_rows(values[a:b], bands) for a, b in zip((ends - counts).tolist(), ends.tolist()) if a < b]
+            rows = [keys_of(values[a:b]) for a, b in zip((ends - counts).tolist(), ends.tolist()) if a < b]
             owner = batch.column(0).to_numpy()[counts > 0]
             if rows:
                 keys.append(np.concatenate(rows))
@@ -238,6 +264,32 @@ def _index(k: int, bands: Bands):
     return run
 
 
+def _repeated(k: int):
+    """Rows ``token, times``: tokens that occur in several of the sets that a task holds at once, and in how many.
+
+    A token of d among N sets, w of them taken at once, is left out only where no two of the d are ever
+    taken together, so it is seen some d * d * w / 2N times at least; tokens of one set alone make no row."""
+
+    def counted(values):
+        tokens, times = np.unique(np.concatenate(values), return_counts=True)
+        some = times > 1
+        return pa.RecordBatch.from_arrays([pa.array(tokens[some].view(np.int64)), pa.array(times[some])], names=["token", "times"])
+
+    def run(batches):
+        held, n = [], 0
+        for batch in K.pieces(batches, 1, 1 << 20):
+            values, _ = doc_sets(batch.column(1), k)
+            held.append(values)
+            n += len(values)
+            if n >= MERGED:
+                yield counted(held)
+                held, n = [], 0
+        if n:
+            yield counted(held)
+
+    return run
+
+
 def _groups(batches):
     """Members of each key, streamed from rows sorted by (key, id): ``g, id`` of groups of two
     or more.  A group of up to HELD ids is named by its members; a longer one by its smallest
@@ -424,13 +476,14 @@ def _folded(bits: int, size: int, to: int) -> int:
     return bits
 
 
-def _group_links(groups: DataFrame, payload, links) -> DataFrame:
+def _group_links(groups: DataFrame, payload, links, narrow=None) -> DataFrame:
     """Links ``a, b`` inside groups (``g, id``, distinct, materialised): enough to span all that there are.
 
     ``payload`` adds what ``links`` compares to rows ``id, _pair, _side``.  Groups of up to
     BLOCK members are one comparison.  Larger ones go through a round of pivots, and more while
     over eight blocks are outside of large components and each round leaves half as many;
-    then blocks of different components meet."""
+    then blocks of different components meet.  Groups where a member would meet over FEW
+    blocks are first made into smaller ones by ``narrow`` (ids -> ``g, id``), if given."""
     sizes = materialize(groups.groupBy("g").agg(F.count("*").alias("_size")).where(F.col("_size") > 1), "sizes")
     large = _few(sizes.where(F.col("_size") > BLOCK))
     rows = groups.join(sizes.where(F.col("_size") <= BLOCK), "g", "left_semi").select("id", F.col("g").alias("_pair"), F.lit(2).alias("_side"))
@@ -461,6 +514,17 @@ def _group_links(groups: DataFrame, payload, links) -> DataFrame:
         again = parts.where(F.col("_loose") > 8 * BLOCK)
         chosen = F.col("_part").isNull() & (F.pmod(F.xxhash64("id", F.lit(turn)), F.col("_loose")) < PIVOTS)
         found = materialize(found.union(_links(payload(_with_pivots(again, None, turn, chosen)), links)).distinct(), "links")
+    if narrow is not None:
+        # members of a group meet (n * n - sum of its components' squares) / BLOCK rows of blocks
+        n, inside = F.count("*"), F.sum(F.coalesce("_part", F.lit(0)))
+        wide = _few(parts.groupBy("g").agg((n * n - inside > FEW * BLOCK * n).alias("_wide")).where("_wide").select("g"))
+        if wide.take(1):
+            members = _few(parts.join(wide, "g", "left_semi").select("id", "c").distinct())
+            parts = parts.join(wide, "g", "left_anti")
+            finer = materialize(narrow(members.select("id")).join(members, "id"), "finer")
+            mixed = _few(finer.groupBy("g").agg((F.min("c") != F.max("c")).alias("_mixed")).where("_mixed").select("g"))
+            finer = finer.join(mixed, "g", "left_semi").select("g", "id")
+            found = materialize(found.union(_group_links(materialize(finer, "finer"), payload, links)).distinct(), "links")
     rest = materialize(_across(parts), "across")
     if not rest.take(1):
         return found
@@ -559,11 +623,21 @@ def link_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_
 
     # the lowest id of equal sets stands for all; it alone goes into the index
     chosen = _few(reps.select(F.col("rep").alias("id")).distinct())
-    rows = texts.join(chosen, "id", "left_semi").mapInArrow(_index(k, bands), "key long, id long, more binary")
-    groups = rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_groups, "g long, id long").distinct()
-    groups = materialize(groups, "groups")
+    rows = texts.join(chosen, "id", "left_semi").mapInArrow(_index(k, lambda t: index_rows(t, bands)), "key long, id long, more binary")
+    meet = lambda rows: rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_groups, "g long, id long").distinct()
+    groups = materialize(meet(rows), "groups")
+
+    def narrow(ids):
+        some = texts.join(ids, "id", "left_semi")
+        seen = some.mapInArrow(_repeated(k), "token long, times long").groupBy("token").agg(F.sum("times").alias("times")).where(F.col("times") >= OFTEN)
+        seen = seen.orderBy(F.desc("times"), "token").limit(LISTED).toArrow()
+        common = seen.column("token").to_numpy().view(np.uint64)
+        order = np.argsort(common)
+        common, place = common[order], -order
+        return meet(some.mapInArrow(_index(k, lambda t: rare_tokens(t, num, den, common, place)), "key long, id long, more binary"))
+
     info = full.join(chosen, "id", "left_semi").select("id", "n", "h1", "sketch").dropDuplicates(["id", "h1"]).drop("h1")
-    coarse = _group_links(groups, lambda rows: rows.join(info, "id").select("_pair", "_side", "id", "n", "sketch"), _coarse(bands))
+    coarse = _group_links(groups, lambda rows: rows.join(info, "id").select("_pair", "_side", "id", "n", "sketch"), _coarse(bands), narrow)
     drop(groups)
     coarse = connected_components(coarse)
     coarse = materialize(coarse.select(F.col("label").alias("g"), F.col("node").alias("id")), "classes")
@@ -577,7 +651,7 @@ def link_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_
         some = texts.join(_few(rows), "id").select("id", "text", "_pair", "_side")
         return some.mapInArrow(tokens, "_pair long, _side int, id long, n long, tokens binary").where("n > 0")
 
-    links = _group_links(coarse, whole, _exact(bands))
+    links = _group_links(coarse, whole, _exact(bands), narrow)
     if several:
         links = links.union(full.join(reps, ["h1", "h2", "n"]).join(same_id, "id", "left_semi").select(F.col("id").alias("a"), F.col("rep").alias("b")))
         links = materialize(links.distinct(), "links")

@@ -126,6 +126,46 @@ def test_large_group_of_near_copies(spark):
     assert {r["id"]: r["component_id"] for r in got} == brute(rows, 3, 80, 100)
 
 
+def test_rare_tokens_of_linked_sets_meet():
+    """Sets at the limit of similarity share one of their rarest tokens, whichever are called common."""
+    rng = random.Random(5)
+    for size in [1, 2, 4, 5, 9, 10, 11, 40, 99, 100, 300] * 20:
+        both = [rng.getrandbits(64) for _ in range(size)]
+        more = rng.randrange(0, size * 20 // 80 + 1)  # 80 of 100 hold for up to a quarter more
+        split = rng.randrange(0, more + 1)
+        a, b = ([*both, *(rng.getrandbits(64) for _ in range(n))] for n in (split, more - split))
+        assert 100 * size >= 80 * (size + more)
+        common = np.array(sorted(rng.sample(sorted({*a, *b}), rng.randrange(0, len({*a, *b}) + 1))), dtype=np.uint64)
+        place = np.array(rng.sample(range(len(common)), len(common)), dtype=np.int64)
+        x, y = (J.rare_tokens(np.array(sorted(s), dtype=np.uint64), 80, 100, common, place) for s in (a, b))
+        assert np.intersect1d(x, y).size
+        assert len(x) == len(a) + 1 - -(-80 * len(a) // 100)
+
+
+def test_unlike_sets_with_a_passage_in_common(spark, monkeypatch):
+    """Rows of comparisons grow with the sets, not with the square of a group that next to no links join."""
+    monkeypatch.setattr(J, "BLOCK", 16)
+    rng = random.Random(12)
+    base, made, links = [f"w{i}" for i in range(60)], [], J._links
+
+    def counted(rows, of):
+        made[-1] += rows.count()
+        return links(rows, of)
+
+    monkeypatch.setattr(J, "_links", counted)
+    for n in (150, 600):
+        rows = []
+        for i in range(n):
+            own = rows[-1][1].split()[60:] if i % 10 == 9 else [f"x{n}_{i}_{j}" for j in range(40)]
+            if i % 10 == 9:  # near the text before it
+                own[rng.randrange(40)] = "other"
+            rows.append((i, " ".join(base + own)))
+        made.append(0)
+        got = link_classes(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80, 100).collect()
+        assert {r["id"]: r["component_id"] for r in got} == brute(rows, 3, 80, 100)
+    assert made[1] < 6 * made[0], made
+
+
 def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a b c d e f", 1, 2, 3), (2, "a b c d e f", 1, 2, 3)], "doc_id long, text string, g int, id int, _pair int")
     assert {(r["id"], r["component_id"]) for r in link_classes(df).collect()} == {(1, 1), (2, 1)}
